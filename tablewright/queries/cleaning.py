@@ -140,7 +140,7 @@ def amounts(spark, sf):
 
 def masked(c):
     d = f"regexp_replace({c}, '[^0-9]+', '', 'g')"
-    return (f"CASE WHEN instr({c}, '@') = 1 THEN '<redacted>' WHEN instr({c}, '@') > 1 THEN concat(left({c}, 1), '***', substr({c}, instr({c}, '@'))) "
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN instr({c}, '@') = 1 THEN '<redacted>' WHEN instr({c}, '@') > 1 THEN concat(left({c}, 1), '***', substr({c}, instr({c}, '@'))) "
             f"WHEN length({d}) >= 6 THEN concat('****', right({d}, 4)) WHEN length({c}) <= 12 THEN '<redacted>' ELSE concat(left({c}, 2), '***', right({c}, 2)) END")
 
 
@@ -204,7 +204,7 @@ def display_id(spark, sf):
 
 @query("c22_first_text", rf"""
 SELECT id, CASE WHEN {SEG} <> '' THEN segment WHEN {STRIP.format('balance_text')} <> '' THEN balance_text ELSE '-' END AS first_text,
-  regexp_replace({STRIP.format("regexp_replace(concat(full_name, '  of ', gender, ' . '), '\s+', ' ', 'g')")}, '\.$', '') AS line FROM sheet""", uses=SHEET)
+  regexp_replace({STRIP.format("regexp_replace(concat(full_name, '  of ', gender, ' . '), '[[:space:]]+', ' ', 'g')")}, '\.$', '') AS line FROM sheet""", uses=SHEET)
 def first_text(spark, sf):
     raw = F.concat("full_name", F.lit("  of "), "gender", F.lit(" . "))
     return sheet(spark, sf).select("id", X.first_text(F.col("segment"), F.col("balance_text")).alias("first_text"), X.summary_line(raw).alias("line"))

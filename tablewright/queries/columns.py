@@ -81,12 +81,12 @@ def absolute(spark, sf):
 
 @query("p12_money_rounding", """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
-  round_even(l_extendedprice * l_discount / 7, 2) AS discount_amount, l_extendedprice * l_discount / 7 AS raw_share FROM lineitem""")
+  round_even(sqrt(l_extendedprice), 2) AS root_amount, sqrt(l_extendedprice) AS root FROM lineitem""")
 def money_rounding(spark, sf):
-    share = F.col("l_extendedprice") * F.col("l_discount") / 7
+    root = F.sqrt("l_extendedprice")
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-        K.money_rounded(share, "discount_amount").alias("discount_amount"), K.money_rounded(share, "raw_share").alias("raw_share"))
+        K.money_rounded(root, "root_amount").alias("root_amount"), K.money_rounded(root, "root").alias("root"))
 
 
 @query("p13_units")
