@@ -199,7 +199,7 @@ def timeline(jobs: DataFrame, logs: DataFrame) -> DataFrame:
     """Events of each job: created, completed / failed / review from its own columns, plus its non-redundant log rows."""
     state = normalized_status(F.col("status"))
     own = jobs.withColumn("_state", state)
-    created = own.select("id", F.col("uploaded_at").alias("at"), F.lit("upload created").alias("action"), F.col("file_name").alias("detail"))
+    created = own.select("id", F.col("uploaded_at").alias("happened"), F.lit("upload created").alias("action"), F.col("file_name").alias("detail"))
     ended = own.where(F.col("completed_at").isNotNull())
     verdict = (
         F.when(F.col("_state") == "succeeded", "workflow completed")
@@ -207,9 +207,9 @@ def timeline(jobs: DataFrame, logs: DataFrame) -> DataFrame:
         .when(F.col("_state").isin("awaiting_confirmation", "awaiting_clarification"), "interpretation review requested")
         .when(F.col("_state") == "quarantined", "workflow quarantined")
     )
-    closing = ended.select("id", F.col("completed_at").alias("at"), verdict.alias("action"), F.col("_state").alias("detail")).where("action IS NOT NULL")
+    closing = ended.select("id", F.col("completed_at").alias("happened"), verdict.alias("action"), F.col("_state").alias("detail")).where("action IS NOT NULL")
     noted = logs.join(own.select("id", "file_name", "completed_at"), "id")
     repeat = (F.col("action") == "upload created") & (F.col("detail").isin("workflow_created") | (F.col("detail") == F.col("file_name")))
     repeat = repeat | (F.col("action").isin("upload approved", "upload declined") & F.col("completed_at").isNotNull())
-    kept = noted.where(~F.coalesce(repeat, F.lit(False))).select("id", "at", "action", "detail")
+    kept = noted.where(~F.coalesce(repeat, F.lit(False))).select("id", "happened", "action", "detail")
     return created.unionByName(closing).unionByName(kept)

@@ -187,19 +187,19 @@ def ambiguity(spark, sf):
     return open_refs.groupBy("l_orderkey").agg(F.round(F.avg(confidence), 6).alias("score"))
 
 
-LOGS = """SELECT l_orderkey AS id, l_shipdate AS at, CASE l_linenumber % 4 WHEN 0 THEN 'upload created' WHEN 1 THEN 'upload approved' WHEN 2 THEN 'job retried' ELSE 'upload declined' END AS action,
+LOGS = """SELECT l_orderkey AS id, l_shipdate AS happened, CASE l_linenumber % 4 WHEN 0 THEN 'upload created' WHEN 1 THEN 'upload approved' WHEN 2 THEN 'job retried' ELSE 'upload declined' END AS action,
   CASE l_partkey % 2 WHEN 0 THEN 'workflow_created' ELSE concat('part ', cast(l_partkey AS string)) END AS detail FROM {lineitem}"""
 
 
 @query("d08_timeline", f"""
-SELECT id, strftime(at, '%Y-%m-%d %H:%M') AS at, action, detail FROM (
-  SELECT id, uploaded_at AS at, 'upload created' AS action, file_name AS detail FROM jobs
+SELECT id, strftime(happened, '%Y-%m-%d %H:%M') AS happened, action, detail FROM (
+  SELECT id, uploaded_at AS happened, 'upload created' AS action, file_name AS detail FROM jobs
   UNION ALL SELECT id, completed_at, CASE WHEN s = 'succeeded' THEN 'workflow completed' WHEN s IN ('failed', 'callback_failed', 'declined') THEN 'workflow failed'
       WHEN s = 'awaiting_confirmation' THEN 'interpretation review requested' WHEN s = 'quarantined' THEN 'workflow quarantined' END, s
     FROM (SELECT *, {STATUS_SQL} AS s FROM jobs) WHERE completed_at IS NOT NULL AND s IN ('succeeded', 'failed', 'callback_failed', 'declined', 'awaiting_confirmation', 'quarantined')
-  UNION ALL SELECT l.id, at, action, detail FROM ({LOGS.replace('{lineitem}', 'lineitem')}) l JOIN jobs j ON j.id = l.id
+  UNION ALL SELECT l.id, happened, action, detail FROM ({LOGS.replace('{lineitem}', 'lineitem')}) l JOIN jobs j ON j.id = l.id
     WHERE NOT (action = 'upload created' AND (detail = 'workflow_created' OR detail = file_name)) AND NOT (action IN ('upload approved', 'upload declined') AND completed_at IS NOT NULL))""",
        uses=JOBS)
 def timeline(spark, sf):
     logs = spark.sql(LOGS, lineitem=table(spark, sf, "lineitem"))
-    return K.timeline(jobs(spark, sf), logs).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm"))
+    return K.timeline(jobs(spark, sf), logs).withColumn("happened", F.date_format("happened", "yyyy-MM-dd HH:mm"))
