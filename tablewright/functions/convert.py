@@ -155,7 +155,7 @@ def event_key(given: Column, scope: Column, payload: Column) -> Column:
 
 
 def merge_json_maps(old: Column, new: Column, protected: tuple[str, ...]) -> Column:
-    """New keys win, but a protected key that already exists keeps its old value."""
-    incoming = F.map_filter(new, lambda k, _: ~(k.isin(*protected) & F.map_contains_key(old, k))) if protected else new
+    """New keys win, but protected keys are only ever taken from the old map."""
+    incoming = F.map_filter(new, lambda k, _: ~k.isin(*protected)) if protected else new
     kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(incoming, k))
     return F.map_concat(kept, incoming)

@@ -211,7 +211,7 @@ def first_text(spark, sf):
 
 
 @query("c23_merge_maps", """
-SELECT event_id, concat('k=', CASE WHEN event_id % 3 = 0 THEN 'new' ELSE props END, ',n=', cast(user_id AS string), ',note=old,status=', event_type) AS merged FROM events""")
+SELECT event_id, concat(CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('k=', props, ',') END, 'n=', cast(user_id AS string), ',note=old,status=', event_type) AS merged FROM events""")
 def merge_maps(spark, sf):
     old = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("status"), F.lit("old"), F.lit("note"), F.lit("old"))).otherwise(
         F.create_map(F.lit("k"), F.col("props"), F.lit("status"), F.lit("old"), F.lit("note"), F.lit("old")))

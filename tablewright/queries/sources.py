@@ -1 +1,172 @@
-from tablewright.queries.base import query  # noqa: F401
+"""Scans, file facts, sinks, records.
+
+The given tables are Parquet, so Spark first writes them in the format under test into a fresh shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablewright.queries.base import query, table, view
+from tablewright.session import shared_folder
+from tablewright.sources import files as R
+from tablewright.sources import sinks as W
+
+NA = "CASE c_custkey % 6 WHEN 0 THEN 'NA' WHEN 1 THEN 'n/a' WHEN 2 THEN 'NaN' WHEN 3 THEN concat('a, \"b\" ', c_mktsegment) ELSE c_mktsegment END"
+NA_SQL = "CASE WHEN c_custkey % 6 < 3 THEN NULL WHEN c_custkey % 6 = 3 THEN concat('a, \"b\" ', c_mktsegment) ELSE c_mktsegment END"
+
+
+def delimited(spark, sf, sep):
+    folder = shared_folder(spark)
+    df = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.expr(NA).alias("segment"))
+    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(folder)
+    return R.read_delimited(spark, folder, ["id", "segment"], sep)
+
+
+@query("s01_csv_scan", f"SELECT cast(c_custkey AS string) AS id, {NA_SQL} AS segment FROM customer")
+def csv_scan(spark, sf):
+    return delimited(spark, sf, ",")
+
+
+@query("s02_tsv_scan", f"SELECT cast(c_custkey AS string) AS id, {NA_SQL} AS segment FROM customer")
+def tsv_scan(spark, sf):
+    return delimited(spark, sf, "\t")
+
+
+def json_folder(spark, sf, wrapped):
+    """Documents of at most 500 rows each, one per file."""
+    folder = shared_folder(spark)
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.floor(F.col("p_partkey") / 500).alias("bucket"))
+    body = F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_size")))
+    doc = F.concat(F.lit('{"title": "parts", "rows": '), body, F.lit("}")) if wrapped else body
+    rows.groupBy("bucket").agg(doc.alias("value")).write.partitionBy("bucket").text(folder)
+    return f"{folder}/bucket=*"
+
+
+PART = "p_partkey bigint, p_name string, p_size bigint"
+PART_SQL = "SELECT p_partkey, p_name, cast(p_size AS BIGINT) AS p_size FROM part"
+
+
+@query("s03_json_array_scan", PART_SQL)
+def json_array(spark, sf):
+    return R.read_json_table(spark, json_folder(spark, sf, False), PART)
+
+
+@query("s03_json_object_scan", PART_SQL)
+def json_object(spark, sf):
+    return R.read_json_table(spark, json_folder(spark, sf, True), f"title string, rows array<struct<{PART.replace(' bigint', ': bigint').replace(' string', ': string')}>>")
+
+
+@query("s04_text_scan")
+def text_scan(spark, sf):
+    folder = shared_folder(spark)
+    table(spark, sf, "conversations").select("text").write.text(folder)
+    return R.read_lines(spark, folder)
+
+
+@query("s05_delimited_row_count", "SELECT count(*) AS row_count FROM orders")
+def row_count(spark, sf):
+    folder = shared_folder(spark)
+    table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").write.option("header", True).csv(folder)
+    return R.count_delimited_rows(spark, folder)
+
+
+@query("s06_preview", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS row_count FROM orders ORDER BY o_orderkey LIMIT 50")
+def preview(spark, sf):
+    return R.preview(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 50, ["o_orderkey"])
+
+
+@query("s07_file_facts")
+def file_facts(spark, sf):
+    return R.file_facts(spark, f"{sf}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "size_bytes", "fingerprint")
+
+
+@query("s08_drift_check", """
+SELECT 'lineitem' AS part, 'same' AS verdict FROM lineitem HAVING count(*) > 0
+UNION ALL SELECT 'orders', 'changed' FROM orders HAVING count(*) > 0 UNION ALL SELECT 'part', 'missing' FROM part HAVING count(*) > 0""")
+def drift(spark, sf):
+    now = R.file_facts(spark, f"{sf}/*.parquet").withColumn("part", F.regexp_extract("path", r"(\w+)\.parquet$", 1))
+    known = now.where(F.col("part").isin("lineitem", "orders", "part"))
+    before = known.withColumn("fingerprint", F.when(F.col("part") == "orders", F.lit("0" * 64)).otherwise(F.col("fingerprint")))
+    current = known.where("part <> 'part'")
+    return R.drifted(before, current).select(F.regexp_extract("path", r"(\w+)\.parquet$", 1).alias("part"), "verdict")
+
+
+@query("s09_csv_sink", "SELECT cast(event_id AS string) AS event_id, event_type, CASE WHEN event_id % 10 > 2 THEN cast(value AS string) END AS value FROM events")
+def csv_sink(spark, sf):
+    from tablewright.queries.cleaning import ODD
+
+    folder = shared_folder(spark)
+    W.write_csv(table(spark, sf, "events").withColumn("value", F.expr(ODD)).select("event_id", "event_type", "value"), folder)
+    return R.read_delimited(spark, folder, ["event_id", "event_type", "value"])
+
+
+@query("s10_json_sink", "SELECT event_id, event_type, CASE WHEN event_id % 10 > 2 THEN value END AS value, 'Events' AS title FROM events")
+def json_sink(spark, sf):
+    from tablewright.queries.cleaning import ODD
+
+    folder = shared_folder(spark)
+    W.write_json(table(spark, sf, "events").withColumn("value", F.expr(ODD)).select("event_id", "event_type", "value"), folder, "Events")
+    title = spark.read.schema("title string").json(f"{folder}/metadata")
+    return spark.read.schema("event_id bigint, event_type string, value double").json(f"{folder}/data").withColumn("title", title.scalar())
+
+
+@query("s11_text_sink", """
+SELECT concat(lpad(cast(n_nationkey AS string), greatest(w1, 11)::INTEGER, ' '), ' ', lpad(n_name, greatest(w2, 6)::INTEGER, ' ')) AS value
+FROM nation, (SELECT max(length(cast(n_nationkey AS string))) AS w1, max(length(n_name)) AS w2 FROM nation)""")
+def text_sink(spark, sf):
+    folder = shared_folder(spark)
+    W.write_text(table(spark, sf, "nation").select("n_nationkey", "n_name"), folder, "Nations")
+    return spark.read.text(f"{folder}/data")
+
+
+@query("s12_audit_bundle", """
+SELECT 'cleaned_data' AS part, count(*) AS n FROM orders UNION ALL SELECT 'filtered_data', count(*) FILTER (o_orderstatus = 'F') FROM orders
+UNION ALL SELECT 'audit_log', 0 UNION ALL SELECT 'warnings', 0 UNION ALL SELECT 'column_mapping', 0""")
+def bundle(spark, sf):
+    folder = shared_folder(spark)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    parts = W.write_bundle(folder, orders, orders.where("o_orderstatus = 'F'"))
+    out = None
+    for p in parts:
+        one = spark.read.parquet(f"{folder}/{p}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("s13_audit_shape", """
+SELECT CASE WHEN l_returnflag = 'R' THEN 'internal_preparation' ELSE 'user_requested' END AS step_kind, CASE WHEN l_returnflag = 'R' THEN 'filter_prep' END AS origin,
+  l_orderkey AS step, concat('["', l_returnflag, '","', l_linestatus, '"]') AS input_columns, NULL AS reason FROM lineitem
+UNION ALL SELECT 'user_requested', 'user', event_id, NULL, event_type FROM events""")
+def audit_shape(spark, sf):
+    lines = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", "filter_prep").alias("origin"), F.col("l_orderkey").alias("step"), F.array("l_returnflag", "l_linestatus").alias("input_columns"))
+    notes = table(spark, sf, "events").select(F.lit("user").alias("origin"), F.col("event_id").alias("step"), F.col("event_type").alias("reason"))
+    return R.shape_audit(lines, notes)
+
+
+@query("s14_to_records", """
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS record_index, concat('{"event_id":', event_id, ',"event_type":"', event_type, '"}') AS payload FROM events""")
+def to_records(spark, sf):
+    return R.to_records(table(spark, sf, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type"])
+
+
+PAYLOAD = """CASE o_orderkey % 5
+  WHEN 0 THEN concat('{"cleaned_data": [{"a": ', cast(o_orderkey AS string), ', "b": "x", "_private": 1}, {"a": 7, "b": "', o_orderstatus, '"}], "records": [{"a": 1, "b": "no"}]}')
+  WHEN 1 THEN concat('{"cleaned_preview": [{"a": ', cast(o_orderkey AS string), ', "b": "p"}], "record_count": 1}')
+  WHEN 2 THEN concat('{"cleaned_preview": [{"a": ', cast(o_orderkey AS string), ', "b": "short"}], "record_count": 9}')
+  WHEN 3 THEN concat('{"rows": [{"a": ', cast(o_orderkey AS string), ', "b": null}], "data": [{"a": 0, "b": "no"}]}')
+  ELSE '{"status": "empty"}' END"""
+
+
+@query("s15_from_records", """
+SELECT o_orderkey, 1::BIGINT AS record_index, o_orderkey AS a, CASE o_orderkey % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'p' END AS b FROM orders WHERE o_orderkey % 5 IN (0, 1, 3)
+UNION ALL SELECT o_orderkey, 2, 7, o_orderstatus FROM orders WHERE o_orderkey % 5 = 0""")
+def from_records(spark, sf):
+    results = table(spark, sf, "orders").select("o_orderkey", F.expr(PAYLOAD).alias("payload"))
+    return R.from_records(results, "o_orderkey", "payload", "a: bigint, b: string")
+
+
+@query("s16_job_table_scan", "SELECT o_orderkey, o_custkey FROM orders")
+def job_table(spark, sf):
+    return R.read_job_table(spark, "orders", folder=sf).select("o_orderkey", "o_custkey")
