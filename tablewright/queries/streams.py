@@ -1 +1,162 @@
-from tablewright.queries.base import query  # noqa: F401
+"""Event handling (X01-X08): batch forms beside streams run to the end over the same events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablewright.queries.base import query, table
+from tablewright.session import shared_folder
+from tablewright.streaming import events as E
+
+DOUBLE = "SELECT event_id, ts, user_id, event_type FROM events UNION ALL SELECT event_id, ts + INTERVAL 10 MINUTE, user_id, 'again' FROM events"
+
+
+def doubled(spark, sf):
+    """Every event arrives twice, ten minutes apart."""
+    df = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    return df.union(df.select("event_id", F.col("ts") + F.expr("interval 10 minutes"), "user_id", F.lit("again")))
+
+
+def stream(spark, sf, df=None):
+    """The events table as a file stream (a derived table is written first)."""
+    if df is None:
+        return E.read_events(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+    folder = shared_folder(spark)
+    df.write.parquet(folder)
+    return E.read_events(spark, folder, df.schema, files_per_batch=1000)
+
+
+def drained(spark, df, mode="append"):
+    out = shared_folder(spark)
+    E.run_to_end(df, f"{out}/checkpoint", E.save_batch(f"{out}/data"), mode)
+    return spark.read.parquet(f"{out}/data")
+
+
+@query("x01_once", "SELECT event_id, event_type FROM events")
+def once(spark, sf):
+    return E.once_batch(doubled(spark, sf)).select("event_id", "event_type")
+
+
+@query("x01_once_stream", "SELECT event_id, user_id FROM events")
+def once_stream(spark, sf):
+    unique = E.once(stream(spark, sf, doubled(spark, sf)))
+    return drained(spark, unique).select("event_id", "user_id")
+
+
+LATEST = """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
+
+
+@query("x02_upsert_latest", LATEST)
+def upsert(spark, sf):
+    return E.latest(table(spark, sf, "events").drop("props"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("x02_upsert_latest_stream", LATEST)
+def upsert_stream(spark, sf):
+    out = shared_folder(spark)
+    E.run_to_end(stream(spark, sf).drop("props"), f"{out}/checkpoint", E.upsert_into(f"{out}/data", ["user_id", "event_type"], ["ts", "event_id"]))
+    return E.current(spark, f"{out}/data", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+STATUS = "CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'Partial' WHEN 'error' THEN 'quarantined' WHEN 'signup' THEN 'running' ELSE 'complete' END"
+ERROR = "CASE WHEN event_id % 4 = 0 THEN 'broken' ELSE ' ' END"
+
+
+@query("x03_roll_forward", f"""
+WITH c AS (SELECT user_id AS job_id, ts, event_id, {STATUS} AS status, {ERROR} AS error, event_type FROM events),
+m AS (SELECT *, CASE WHEN status IN ('completed', 'complete') THEN CASE WHEN trim(error) <> '' THEN 'failed' ELSE 'succeeded' END WHEN status = 'Partial' THEN 'failed' ELSE status END AS state FROM c),
+l AS (SELECT job_id, state, ts, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS rn FROM m),
+e AS (SELECT job_id, string_agg(concat('last_', event_type, '=', event_id), ',' ORDER BY event_type) AS t FROM (SELECT job_id, event_type, event_id, row_number() OVER (PARTITION BY job_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM m) WHERE rn = 1 GROUP BY 1)
+SELECT l.job_id, state AS status, concat('intent_id=old,', t, ',status=', state) AS summary, strftime(ts, '%Y-%m-%d %H:%M:%S') AS completed_at FROM l JOIN e USING (job_id) WHERE rn = 1""")
+def roll_forward(spark, sf):
+    ev = table(spark, sf, "events")
+    summary = F.create_map(F.concat(F.lit("last_"), F.col("event_type")), F.col("event_id").cast("string"), F.lit("intent_id"), F.lit("new"), F.lit("status"), F.lit("x"))
+    callbacks = ev.select(F.col("user_id").alias("job_id"), "ts", "event_id", F.expr(STATUS).alias("status"), F.expr(ERROR).alias("error"), summary.alias("summary"))
+    jobs = ev.select(F.col("user_id").alias("job_id")).distinct().select(
+        "job_id", F.lit("queued").alias("status"), F.create_map(F.lit("intent_id"), F.lit("old"), F.lit("status"), F.lit("queued")).alias("summary"))
+    out = E.roll_forward(jobs, callbacks)
+    pairs = F.array_sort(F.transform(F.map_entries("summary"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.select("job_id", "status", F.array_join(pairs, ",").alias("summary"), F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at"))
+
+
+TREND = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query("x04_daily_trend", TREND)
+def trend(spark, sf):
+    return E.daily_trend_batch(table(spark, sf, "events"))
+
+
+@query("x04_daily_trend_stream", TREND)
+def trend_stream(spark, sf):
+    """Complete mode: with one finite source, windows inside the watermark would otherwise never close."""
+    out = shared_folder(spark)
+
+    def whole(df, batch):  # complete mode hands over the whole result each time
+        df.write.mode("overwrite").parquet(f"{out}/data")
+
+    E.run_to_end(E.daily_trend(stream(spark, sf)), f"{out}/checkpoint", whole, "complete")
+    return spark.read.parquet(f"{out}/data")
+
+
+@query("x05_session_expiry", """
+SELECT event_id AS session_id, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS expired_at, 'quarantined' AS state FROM events
+WHERE event_type = 'view' AND ts + INTERVAL 30 MINUTE < TIMESTAMP '2024-01-20'""")
+def expiry(spark, sf):
+    views = table(spark, sf, "events").where("event_type = 'view'").select(F.col("event_id").alias("session_id"), "ts")
+    return E.expire_sessions_batch(views, "2024-01-20").withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("x05_session_expiry_stream")
+def expiry_stream(spark, sf):
+    """Only sessions whose deadline the watermark has passed come out; the rest is still open."""
+    sessions = stream(spark, sf).where("event_type = 'view'").select(F.col("event_id").alias("session_id"), "ts")
+    return drained(spark, E.expire_sessions(sessions, "1 hour"))
+
+
+@query("x06_bursts_tumbling", """
+SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2""")
+def tumbling(spark, sf):
+    return E.bursts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "1 hour", 2)
+
+
+@query("x06_bursts_sliding", """
+SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n
+FROM (SELECT user_id, unnest(list_transform([0, 1, 2, 3, 4, 5], lambda i: time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL 10 MINUTE * i)) AS w FROM events) GROUP BY 1, 2 HAVING count(*) > 2""")
+def sliding(spark, sf):
+    return E.bursts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "1 hour", 2, "10 minutes")
+
+
+@query("x06_bursts_log", """
+SELECT user_id, at_us, n FROM (SELECT user_id, at_us, cast(count(*) OVER (PARTITION BY user_id ORDER BY at_us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS n
+  FROM (SELECT user_id, epoch_us(ts) AS at_us FROM events)) WHERE n > 2 GROUP BY 1, 2, 3""")
+def log(spark, sf):
+    return E.bursts_batch(table(spark, sf, "events"), "user_id", 3600, 2)
+
+
+ROUTED = f"""SELECT event_id, CASE WHEN s IN ('failed') THEN 'dead_letter' ELSE 'needs_review' END AS route FROM (
+  SELECT event_id, CASE event_type WHEN 'view' THEN 'failed' WHEN 'error' THEN 'quarantined' ELSE 'other' END AS s FROM events) WHERE s <> 'other'"""
+
+
+def with_status(df):
+    return df.withColumn("status", F.when(F.col("event_type") == "view", "partial").when(F.col("event_type") == "error", "rejected").otherwise("running"))
+
+
+@query("x07_routes", ROUTED)
+def routes(spark, sf):
+    return E.routed_batch(with_status(doubled(spark, sf))).select("event_id", "route")
+
+
+@query("x07_routes_stream", ROUTED)
+def routes_stream(spark, sf):
+    """The copies carry the type of the original here, so that either may come first."""
+    df = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    twice = df.union(df)
+    out = shared_folder(spark)
+    E.run_to_end(with_status(E.once(stream(spark, sf, twice))), f"{out}/checkpoint", E.route_into(f"{out}/data"))
+    return spark.read.parquet(f"{out}/data").select("event_id", "route")
+
+
+@query("x08_live_alerts", "SELECT event_id, 'again' AS event_type FROM events ORDER BY ts + INTERVAL 10 MINUTE DESC, event_id DESC LIMIT 500")
+def alerts(spark, sf):
+    return E.live_alerts(doubled(spark, sf)).select("event_id", "event_type")

@@ -24,20 +24,21 @@ def write_json(df: DataFrame, path: str, title: str = "Report") -> None:
     meta.write.mode("overwrite").json(f"{path}/metadata")
 
 
-def text_rows(df: DataFrame) -> DataFrame:
-    """Rows as aligned text: one pass finds the width of each column, the header is one more row."""
+def text_layout(df: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Cells as text and the width of each column, found in one pass."""
     shown = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NaN")).alias(c) for c in df.columns])
-    widths = shown.agg(*[F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(c) for c in df.columns]).first()
-    width = {c: widths[c] or len(c) for c in df.columns}
-    return shown.select(F.concat_ws(" ", *[F.lpad(c, width[c], " ") for c in df.columns]).alias("value"))
+    widest = shown.agg(*[F.max(F.length(c)).alias(c) for c in df.columns]).first()
+    return shown, {c: max(widest[c] or 0, len(c)) for c in df.columns}
 
 
 def write_text(df: DataFrame, path: str, title: str | None = None) -> None:
-    """``data`` as aligned text lines beside a ``title`` file."""
-    text_rows(df).write.mode("overwrite").text(f"{path}/data")
-    if title:
-        lines = df.sparkSession.createDataFrame([(title,), ("=" * len(title),)], "value string").coalesce(1)
-        lines.write.mode("overwrite").text(f"{path}/title")
+    """``data`` as aligned text lines beside a ``head`` file with title and column names."""
+    shown, width = text_layout(df)
+    shown.select(F.concat_ws(" ", *[F.lpad(c, width[c], " ") for c in df.columns]).alias("value")).write.mode("overwrite").text(f"{path}/data")
+    head = [title, "=" * len(title), ""] if title else []
+    head.append(" ".join(c.rjust(width[c]) for c in df.columns))
+    lines = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(line) for line in head])).alias("value"))
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
 
 AUDIT_SCHEMAS = {
