@@ -16,16 +16,12 @@ _UNIT = f"({CURRENCY_SIGNS}|{'|'.join(CURRENCY_CODES)})?"
 CURRENCY_PATTERN = rf"(?i)^\s*{_UNIT}\s*[-+]?\d{{1,3}}([,\s]?\d{{3}})*(\.\d+)?\s*{_UNIT}\s*$"
 CURRENCY_STRIP = rf"(?i){CURRENCY_SIGNS}|\b({'|'.join(CURRENCY_CODES)})\b"
 
-# Date layouts tried in this order; the guard keeps the parser away from hopeless text.
-ISO_LAYOUTS = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-)
-MONTH_FIRST = ((r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"))
-DAY_FIRST = ((r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"))
-NAMED_MONTH = ((r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"))
+# The date layouts understood. ISO text and re-ordered numeric dates are read by a plain cast,
+# which is much cheaper than a layout; only named months need one.
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?)?$"
+NUMERIC_DATE = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$"
+SLASHED_DATE = r"^\d{4}/\d{2}/\d{2}$"
+NAMED_MONTHS = ((r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"))
 
 # Strftime directives and the matching Java pattern letters.
 STRFTIME_TO_JAVA = {
@@ -61,14 +57,18 @@ def looks_like_money(c: Column) -> Column:
 
 
 def to_timestamp(c: Column, dayfirst: bool = False) -> Column:
-    """Try the layouts in order; a value that fits the preferred day/month order wins, else the other."""
-    order = (DAY_FIRST + MONTH_FIRST) if dayfirst else (MONTH_FIRST + DAY_FIRST)
+    """Date text to a timestamp. Of two readings of day and month the preferred one wins, else the other."""
     plain = strip_ws(c)
-    tries = [
-        F.when(plain.rlike(guard), F.try_to_timestamp(plain, F.lit(layout)))
-        for guard, layout in ISO_LAYOUTS + order + NAMED_MONTH
-    ]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    orders = ("$4-$3-$1", "$4-$1-$3") if dayfirst else ("$4-$1-$3", "$4-$3-$1")
+    numeric = F.coalesce(*[F.regexp_replace(plain, NUMERIC_DATE, o).try_cast("timestamp_ntz") for o in orders])
+    named = F.coalesce(*[F.when(plain.rlike(guard), F.try_to_timestamp(plain, F.lit(layout))) for guard, layout in NAMED_MONTHS])
+    return (
+        F.when(plain.rlike(ISO_DATE), plain.try_cast("timestamp_ntz"))
+        .when(~F.length(plain).between(8, 12), None)
+        .when(plain.rlike(NUMERIC_DATE), numeric)
+        .when(plain.rlike(SLASHED_DATE), F.translate(plain, "/", "-").try_cast("timestamp_ntz"))
+        .otherwise(named.cast("timestamp_ntz"))
+    )
 
 
 def java_pattern(strftime: str) -> str:

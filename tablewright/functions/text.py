@@ -13,9 +13,13 @@ SENSITIVE_NAME_HINTS = (
 SAMPLE_TEXT_LIMIT = 64
 
 
+# Everything that counts as white space at the ends of a text.
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c: Column) -> Column:
-    """Strip every kind of white space (``trim`` only knows blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip every kind of white space (plain ``trim`` only knows blanks; a pattern would cost several times more)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def change_case(c: Column, case: str) -> Column:

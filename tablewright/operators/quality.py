@@ -190,27 +190,33 @@ def ledger_missing_columns(df: DataFrame) -> list[str]:
     return [c for c in LEDGER_REQUIRED + LEDGER_AMOUNTS if c not in have]
 
 
+def _parsed_ledger(df: DataFrame) -> DataFrame:
+    """Each text is stripped and parsed once; the checks then only compare columns."""
+    parsed = {f"_s_{c}": X.strip_ws(F.col(c)) for c in LEDGER_REQUIRED if c in df.columns}
+    if "voucher_date" in df.columns:
+        parsed["_date"] = V.to_timestamp(F.col("voucher_date"))
+    parsed |= {f"_n_{c}": V.to_number(F.col(c)) for c in LEDGER_AMOUNTS if c in df.columns}
+    return df.withColumns(parsed)
+
+
 def ledger_checks(df: DataFrame) -> list[tuple[str, str, Column]]:
-    """(field, message, test) for every check the columns at hand allow."""
+    """(field, message, test) for every check the columns at hand allow, over ``_parsed_ledger``."""
     checks = []
     for c in LEDGER_REQUIRED:
         if c in df.columns:
-            checks.append((c, "Required value is missing", F.col(c).isNull() | (X.strip_ws(F.col(c)) == "")))
+            checks.append((c, "Required value is missing", F.col(c).isNull() | (F.col(f"_s_{c}") == "")))
     if "voucher_date" in df.columns:
-        v = F.col("voucher_date")
-        checks.append(("voucher_date", "Must be a valid date", v.isNotNull() & V.to_timestamp(v).isNull()))
+        checks.append(("voucher_date", "Must be a valid date", F.col("voucher_date").isNotNull() & F.col("_date").isNull()))
     if "entry_no" in df.columns:
-        e = F.col("entry_no")
-        checks.append(("entry_no", "Must be in format 'N.N'", e.isNotNull() & ~X.strip_ws(e).rlike(r"^\d+\.\d+$")))
+        checks.append(("entry_no", "Must be in format 'N.N'", ~F.col("_s_entry_no").rlike(r"^\d+\.\d+$")))
     if set(LEDGER_AMOUNTS) <= set(df.columns):
         d, c = F.col("debit_amount"), F.col("credit_amount")
         both = "debit_amount/credit_amount"
         checks.append((both, "Each row must have at least one of debit_amount or credit_amount", d.isNull() & c.isNull()))
         checks.append((both, "Each row must have only one of debit_amount or credit_amount, not both", d.isNotNull() & c.isNotNull()))
         for name in LEDGER_AMOUNTS:
-            raw, number = F.col(name), V.to_number(F.col(name))
-            checks.append((name, "Must be numeric", raw.isNotNull() & number.isNull()))
-            checks.append((name, "Must be greater than zero", number <= 0))
+            checks.append((name, "Must be numeric", F.col(name).isNotNull() & F.col(f"_n_{name}").isNull()))
+            checks.append((name, "Must be greater than zero", F.col(f"_n_{name}") <= 0))
     return [(f, m, F.coalesce(t, F.lit(False))) for f, m, t in checks]
 
 
@@ -220,7 +226,7 @@ def ledger_errors(df: DataFrame, row: str, fields: Sequence[str] = (), message_p
     chosen = [(i, *c) for i, c in enumerate(ledger_checks(df)) if (not fields or c[0] in fields) and message_part in c[1]]
     facts = F.array(*[
         F.when(t, F.struct(F.lit(i).alias("check_no"), F.lit(f).alias("field"), F.lit(m).alias("message"))) for i, f, m, t in chosen])
-    found = df.select(F.col(row).alias("row"), F.explode(F.filter(facts, lambda x: x.isNotNull())).alias("e")).select("row", "e.*")
+    found = _parsed_ledger(df).select(F.col(row).alias("row"), F.explode(F.filter(facts, lambda x: x.isNotNull())).alias("e")).select("row", "e.*")
     return first_per_key(found, ["check_no"], [F.asc("row")], per_check).select("check_no", "row", "field", "message")
 
 
@@ -228,7 +234,7 @@ def ledger_verdict(df: DataFrame) -> DataFrame:
     """One row from one scan: missing columns, number of errors found, number reported, valid flag."""
     checks = ledger_checks(df)
     missing = ledger_missing_columns(df)
-    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(t).alias(f"c{i}") for i, (_, _, t) in enumerate(checks)])
+    counts = _parsed_ledger(df).agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(t).alias(f"c{i}") for i, (_, _, t) in enumerate(checks)])
     all_errors = sum((F.col(f"c{i}") for i in range(len(checks))), F.lit(0))
     listed = sum((F.least(F.col(f"c{i}"), F.lit(ROWS_PER_CHECK)) for i in range(len(checks))), F.lit(0))
     return counts.select(
@@ -275,6 +281,9 @@ def absent_keys(observed: DataFrame, scope: str, key: str, required: list[str])
     return wanted.join(seen, [scope, key], "left_anti")
 
 
+PIECE = 1000
+
+
 def uncovered_spans(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Stretches of each text that no span covers and that hold more than white space.
 
@@ -288,5 +297,12 @@ def uncovered_spans(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     tail = texts.select(key, "n_chars").join(ends, key, "left").select(
         key, F.coalesce("_e", F.lit(0)).alias("gap_start"), F.col("n_chars").alias("gap_end"))
     gaps = between.unionByName(tail).where("gap_end > gap_start")
-    piece = F.col("text").substr((F.col("gap_start") + 1).cast("int"), (F.col("gap_end") - F.col("gap_start")).cast("int"))
-    return gaps.join(texts.select(key, "text"), key).where(piece.rlike(r"\S")).select(key, "gap_start", "gap_end")
+    # texts are cut into pieces so that a long text with many gaps is neither copied per gap nor read by one task
+    pieces = texts.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("_p", "_piece"))
+    first, last = F.floor(F.col("gap_start") / PIECE).cast("int"), F.floor((F.col("gap_end") - 1) / PIECE).cast("int")
+    parts = gaps.select("*", F.explode(F.sequence(first, last)).alias("_p"))
+    start = F.greatest(F.col("gap_start") - F.col("_p") * PIECE, F.lit(0))
+    end = F.least(F.col("gap_end") - F.col("_p") * PIECE, F.lit(PIECE))
+    inside = F.col("_piece").substr((start + 1).cast("int"), (end - start).cast("int"))
+    filled = parts.join(pieces, [key, "_p"]).where(inside.rlike(r"\S"))
+    return filled.select(key, "gap_start", "gap_end").distinct()

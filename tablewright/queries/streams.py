@@ -29,7 +29,7 @@ def stream(spark, sf, df=None):
 def drained(spark, df, mode="append"):
     out = shared_folder(spark)
     E.run_to_end(df, f"{out}/checkpoint", E.save_batch(f"{out}/data"), mode)
-    return spark.read.parquet(f"{out}/data")
+    return spark.read.parquet(f"{out}/data").drop("batch")
 
 
 @query("x01_once", "SELECT event_id, event_type FROM events")
@@ -107,11 +107,14 @@ def expiry(spark, sf):
     return E.expire_sessions_batch(views, "2024-01-20").withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("x05_session_expiry_stream")
+@query("x05_session_expiry_stream", """
+SELECT event_id AS session_id, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS expired_at, 'quarantined' AS state FROM events
+WHERE event_type = 'view' AND epoch_ms(ts + INTERVAL 30 MINUTE) < (SELECT epoch_ms(max(ts) - INTERVAL 1 HOUR) FROM events WHERE event_type = 'view')""")
 def expiry_stream(spark, sf):
     """Only sessions whose deadline the watermark has passed come out; the rest is still open."""
     sessions = stream(spark, sf).where("event_type = 'view'").select(F.col("event_id").alias("session_id"), "ts")
-    return drained(spark, E.expire_sessions(sessions, "1 hour"))
+    out = drained(spark, E.expire_sessions(sessions, "1 hour"))
+    return out.withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("x06_bursts_tumbling", """

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,8 +57,19 @@ def save_batch(path: str) -> Callable[[DataFrame, int], None]:
 
 # -- each event once ------------------------------------------------------------------------------------------------
 
+def thinned(events: DataFrame, key: str) -> DataFrame:
+    """Keep the earliest row per key of each Arrow batch: copies of a hot key go before the shuffle to the state."""
+    def keep(batches):
+        for b in batches:
+            frame = pd.DataFrame({"k": b.column(key).to_pandas(), "t": b.column("ts").to_pandas()})
+            rows = frame.sort_values("t", kind="stable").drop_duplicates("k").index.sort_values()
+            yield b.take(pa.array(rows))
+
+    return events.mapInArrow(keep, events.schema)
+
+
 def once(events: DataFrame, key: str = "event_id", lateness: str = LATENESS) -> DataFrame:
-    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
+    return thinned(events, key).withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
 
 
 def once_batch(events: DataFrame, key: str = "event_id") -> DataFrame:
@@ -158,7 +170,7 @@ def _expire(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
 
 def expire_sessions(sessions: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Stream of sessions (session_id, ts) to stream of expired ones. State per session is two timestamps."""
-    return (sessions.withWatermark("ts", lateness).groupBy("session_id")
+    return (thinned(sessions, "session_id").withWatermark("ts", lateness).groupBy("session_id")
             .applyInPandasWithState(_expire, EXPIRED, HELD, "append", "EventTimeTimeout"))
 
 
