@@ -1,4 +1,8 @@
-"""Row predicates as Columns that are never null: a null cell fails positive tests and passes negative ones."""
+"""Row predicates as Columns.
+
+A null cell fails positive tests (the test is null, which a filter drops) and passes negative ones. Plain
+comparisons are left bare so that they reach the scan.
+"""
 
 from __future__ import annotations
 
@@ -63,8 +67,8 @@ def is_ordered(dtype: str) -> bool:
 
 def equals(c: Column, value, dtype: str = "string", case_sensitive: bool = False) -> Column:
     if dtype == "string" and isinstance(value, str) and not case_sensitive:
-        return _never_null(F.lower(F.trim(c)) == value.strip().lower())
-    return _never_null(c == F.lit(value))
+        return F.lower(F.trim(c)) == value.strip().lower()
+    return c == F.lit(value)
 
 
 def text_match(c: Column, values, mode: str = "eq", case_sensitive: bool = False) -> Column:
@@ -99,30 +103,30 @@ def predicate(c: Column, dtype: str, operator: str, value=None, value_to=None, c
         case "eq":
             return equals(c, value, dtype, case_sensitive)
         case "neq":
-            return ~equals(c, value, dtype, case_sensitive)
+            return c.isNull() | ~equals(c, value, dtype, case_sensitive)
         case "gt":
-            return _never_null(c > other)
+            return c > other
         case "gte":
-            return _never_null(c >= other)
+            return c >= other
         case "lt":
-            return _never_null(c < other)
+            return c < other
         case "lte":
-            return _never_null(c <= other)
+            return c <= other
         case "between":
             if value_to is None:
                 raise ValueError("between needs value_to")
-            return _never_null(c.between(value, value_to))
+            return c.between(value, value_to)
         case "contains":
-            return _never_null(F.contains(text, F.lit(needle)))
+            return F.contains(text, F.lit(needle))
         case "not_contains":
-            return ~_never_null(F.contains(text, F.lit(needle)))
+            return c.isNull() | ~F.contains(text, F.lit(needle))
         case "starts_with":
-            return _never_null(F.startswith(text, F.lit(needle)))
+            return F.startswith(text, F.lit(needle))
         case "ends_with":
-            return _never_null(F.endswith(text, F.lit(needle)))
+            return F.endswith(text, F.lit(needle))
         case "in" | "not_in":
-            hit = text_match(c, value, "eq", case_sensitive) if dtype == "string" else _never_null(c.isin(list(value)))
-            return hit if op == "in" else ~hit
+            hit = text_match(c, value, "eq", case_sensitive) if dtype == "string" else c.isin(list(value))
+            return hit if op == "in" else c.isNull() | ~hit
         case "is_null":
             return c.isNull()
         case "is_not_null":

@@ -73,7 +73,7 @@ def filter_rows(df: DataFrame, conditions: list[Condition], logic: str = "and",
     if select:
         require(df, select)
     test = P.combine([condition_column(df, c) for c in conditions], logic)
-    out = df.where(~test if mode == "drop" else test) if conditions else df
+    out = df.where(~F.coalesce(test, F.lit(False)) if mode == "drop" else test) if conditions else df
     if limit and order:
         out = out.orderBy(*order)
     if limit:
