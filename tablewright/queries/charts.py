@@ -69,12 +69,15 @@ def checks(spark, sf):
     return out
 
 
-@query("r05_axes")
+@query("r05_axes", """
+SELECT count(*) AS "rows", 'line' AS chart, 'o_orderdate' AS x, 'o_totalprice' AS y FROM orders UNION ALL SELECT count(*), 'bar', 'o_orderstatus', 'o_totalprice' FROM orders
+UNION ALL SELECT count(*), 'pie', 'o_orderstatus', 'o_totalprice' FROM orders UNION ALL SELECT count(*), 'scatter', 'o_orderstatus', 'o_totalprice' FROM orders""")
 def axes(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     fields = [f if f.id != "o_orderkey" else Field(f.id, "identifier", "integer") for f in C.table_fields(df)]
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    picks = F.array(*[F.struct(F.lit(c).alias("chart"), F.lit(str(C.choose_axes(fields, c))).alias("axes")) for c in ("line", "bar", "pie", "scatter")])
+    chosen = [(c, list((C.choose_axes(fields, c) or {}).values())) for c in ("line", "bar", "pie", "scatter")]
+    picks = F.array(*[F.struct(F.lit(c).alias("chart"), F.lit(a[0]).alias("x"), F.lit(a[1]).alias("y")) for c, a in chosen])
     return rows.select("rows", F.inline(picks))
 
 

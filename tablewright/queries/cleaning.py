@@ -10,6 +10,7 @@ from tablewright.operators import clean as K
 from tablewright.operators import kpi
 from tablewright.operators import profile as P
 from tablewright.plans import chain as U
+from tablewright.plans.calculations import calculate, metrics_table
 from tablewright.queries.base import query, table, view
 from tablewright.queries.quality import NUM, STRIP, num
 
@@ -418,18 +419,35 @@ def lean_types(spark, sf):
 
 # -- chains of operations -----------------------------------------------------------------------------------------
 
-@query("u01_audited_chain")
+@query("u01_audited_chain", """
+WITH c AS (SELECT count(*) AS n, count(email) AS k FROM sheet)
+SELECT 0 AS step, 'trim_whitespace' AS operation, n AS rows_in, n AS rows_out, '' AS columns_changed, 'user_requested' AS step_kind FROM c
+UNION ALL SELECT 1, 'normalize_currency', n, n, 'balance_text', 'user_requested' FROM c UNION ALL SELECT 2, 'fill_nulls', n, n, 'visits', 'user_requested' FROM c
+UNION ALL SELECT 3, 'drop_nulls', n, k, 'email', 'user_requested' FROM c""", uses=SHEET)
 def audited_chain(spark, sf):
     steps = [("trim_whitespace", {}), ("normalize_currency", {"columns": ["balance_text"]}), ("fill_nulls", {"columns": ["visits"], "strategy": "zero"}),
              ("drop_nulls", {"columns": ["email"]})]
-    return U.run_chain(sheet(spark, sf), steps).audit().drop("duration_ms")
+    return U.run_chain(sheet(spark, sf), steps).audit().drop("duration_ms", "params_hash")
 
 
-@query("u02_missing_columns")
+@query("u01_calculation_chain", """
+WITH g AS (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+SELECT 'sum_all' AS name, (SELECT sum(l_quantity) FROM lineitem) AS value UNION ALL SELECT 'n', (SELECT count(*) FROM lineitem)
+UNION ALL SELECT 'largest', (SELECT max(q) FROM g) UNION ALL SELECT 'middle', (SELECT median(q) FROM g)""")
+def calculation_chain(spark, sf):
+    """Scalars before the grouping see the rows, scalars after it see the groups."""
+    ops = [{"type": "sum", "column": "l_quantity", "output_column": "sum_all"}, {"type": "count", "column": "l_quantity", "output_column": "n"},
+           {"type": "group_sum", "group_by": ["l_returnflag", "l_linestatus"], "column": "l_quantity", "output_column": "q"},
+           {"type": "max", "column": "q", "output_column": "largest"}, {"type": "median", "column": "q", "output_column": "middle"}]
+    return metrics_table(calculate(table(spark, sf, "lineitem"), ops))
+
+
+@query("u02_missing_columns", """
+SELECT count(*) AS "rows", 'missing columns [''absent'']; the table has [''o_orderkey'', ''o_custkey'']' AS error FROM orders""")
 def missing_columns(spark, sf):
     from tablewright.operators.columns import MissingColumns
 
-    df = table(spark, sf, "orders")
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     try:
         U.run_chain(df, [("drop_nulls", {"columns": ["absent"]})])
         found = "no error"

@@ -89,13 +89,14 @@ def money_rounding(spark, sf):
         K.money_rounded(root, "root_amount").alias("root_amount"), K.money_rounded(root, "root").alias("root"))
 
 
-@query("p13_units")
+@query("p13_units", """
+SELECT 'total_amount' AS field, 'INR' AS unit, round(sum(cast(o_totalprice AS decimal(18,2)))::double, 2) AS value FROM orders UNION ALL SELECT 'orders', NULL, count(*) FROM orders""")
 def units(spark, sf):
     df = table(spark, sf, "orders").agg(F.sum("o_totalprice").alias("total_amount"), F.count(F.lit(1)).alias("orders"))
     tagged = K.with_field_metadata(df, {c: {"unit": K.unit_of(c)} for c in df.columns if K.unit_of(c)})
     units_of = {f.name: f.metadata.get("unit") for f in tagged.schema.fields}
     return tagged.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.lit(u).cast("string").alias("unit"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(c).alias("field"), F.lit(u).cast("string").alias("unit"), F.round(F.col(c).cast("double"), 2).alias("value"))
         for c, u in units_of.items()])))
 
 

@@ -163,7 +163,8 @@ def lean_profile(spark, sf):
     return P.lean_profile(view(spark, sf, "sheet").select(*LEAN), F.col("id")).withColumn("samples", F.array_join("samples", "|"))
 
 
-@query("q10_structure_fingerprint")
+@query("q10_structure_fingerprint", f"""
+SELECT sha256(to_json(list({{'name': lower("column"), 'dtype': dtype, 'nullable': null_count > 0}} ORDER BY "column"))::VARCHAR) AS fingerprint FROM ({PROFILE_SQL})""", uses=SHEET)
 def structure(spark, sf):
     return P.structure_fingerprint(P.column_profile(sheet(spark, sf)))
 

@@ -94,7 +94,10 @@ FILTERS = [{"mode": "keep", "column": "gender", "op": "in", "value": ["male", "m
            {"mode": "drop", "column": "active_text", "op": "eq", "value": "no"}]
 
 
-@query("v16_rules_from_filters")
+@query("v16_rules_from_filters", "\nUNION ALL\n".join([
+    rule_sql(Rule("gender", "allowed_values", reason="Instruction filters on gender."), "upper(gender) NOT IN ('MALE', 'M')"),
+    rule_sql(Rule("segment", "forbidden_substring", reason="Instruction filters on segment."), f"contains({compact('segment')}, 'build')"),
+    rule_sql(Rule("active_text", "not_allowed_values", reason="Instruction filters on active_text."), "upper(active_text) = 'NO'")]), uses=("sheet",))
 def from_filters(spark, sf):
     return flat(Q.validate(view(spark, sf, "sheet"), Q.rules_from_filters(FILTERS), ["id"]))
 

@@ -57,11 +57,15 @@ def json_object(spark, sf):
     return R.read_json_table(spark, json_folder(spark, sf, True), f"title string, rows array<struct<{PART.replace(' bigint', ': bigint').replace(' string', ': string')}>>")
 
 
-@query("s04_text_scan")
+@query("s04_text_scan", r"""
+SELECT raw_text, count(*) AS n, true AS numbered FROM (SELECT trim(regexp_replace(unnest(string_split_regex(text, '\r\n|\n|\r')), '^\s+|\s+$', '', 'g')) AS raw_text FROM conversations) WHERE raw_text <> '' GROUP BY 1""")
 def text_scan(spark, sf):
     folder = shared_folder(spark)
     table(spark, sf, "conversations").select("text").write.text(folder)
-    return R.read_lines(spark, folder)
+    lines = R.read_lines(spark, folder)
+    dense = lines.groupBy("file").agg((F.max("line_number") == F.count(F.lit(1))) & (F.count_distinct("line_number") == F.count(F.lit(1)))).toDF("file", "ok")
+    all_dense = dense.agg(F.bool_and("ok")).scalar()
+    return lines.groupBy("raw_text").agg(F.count(F.lit(1)).alias("n")).withColumn("numbered", all_dense)
 
 
 @query("s05_delimited_row_count", "SELECT count(*) AS row_count FROM orders")

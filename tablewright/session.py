@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,31 +23,24 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: every reader of the result sees the same rows, also after executors are lost.
+def _shared_root(spark: SparkSession, prefix: str) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local session without it gets its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a folder of its own.
-    """
+def durable(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: every reader of the result sees the same rows, also after executors are lost."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tablewright-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(_shared_root(df.sparkSession, "tablewright-ckpt-"))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder for written tables, next to the checkpoints."""
-    import uuid
-
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tablewright-out-")
-    return f"{root.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
+    return f"{_shared_root(spark, 'tablewright-out-').rstrip('/')}/tablewright-{uuid.uuid4().hex}"
