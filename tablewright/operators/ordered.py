@@ -2,8 +2,9 @@
 
 A plain window without partitions runs on one task, and one with a hot key puts a third of the rows on
 one task. Here rows are range-partitioned into balanced blocks by (keys, order); each block is scanned on
-its own and starts from a carry value of the blocks before it. The carry table has at most two rows per
-block, so it is small whatever the data size and may be broadcast.
+its own and starts from a carry value of the blocks before it. Only the first key of a block can have begun
+in an earlier block, so the carry table has at most one row per block: it is small whatever the data size and
+may be broadcast.
 """
 
 from __future__ import annotations
@@ -27,27 +28,26 @@ def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def _carry(blocks: DataFrame, keys: list[str], per_block: Column, over_blocks) -> DataFrame:
-    """Carry-in per (block, key), only for the first and last key of each block: others never cross a border."""
-    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    keyed = blocks.withColumn("_key", key)
-    edges = keyed.groupBy(BLOCK).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
-    parts = (
-        keyed.join(F.broadcast(edges), BLOCK)
-        .where((F.col("_key") == F.col("_lo")) | (F.col("_key") == F.col("_hi")))
-        .groupBy(BLOCK, "_key")
-        .agg(per_block.alias("_part"))
-    )
-    earlier = W.partitionBy("_key").orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    return parts.select(F.col(BLOCK), F.col("_key"), over_blocks(F.col("_part")).over(earlier).alias("_carry"))
+    """Carry-in per (block, key) for keys that began in an earlier block; one row per block at most."""
+    by = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
+    parts = blocks.groupBy(BLOCK, *by).agg(per_block.alias("_part"))
+    names = keys or ["_all"]
+    earlier = W.partitionBy(*names).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    carried = parts.select(BLOCK, *names, over_blocks(F.col("_part")).over(earlier).alias("_carry")).where("_carry IS NOT NULL")
+    return carried.select(F.col(BLOCK).alias("_b"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_carry")
 
 
-def _scan(df, keys, order, per_block, over_blocks, emit):
+def _scan(df: DataFrame, keys: list[str], order: list[str], out: str, per_block: Column, over_blocks, value) -> DataFrame:
+    """Add ``out`` = value(window within the block, carry-in of the block)."""
     blocks = in_blocks(df, keys, order)
     carry = _carry(blocks, keys, per_block, over_blocks)
-    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    joined = blocks.withColumn("_key", key).join(F.broadcast(carry), [BLOCK, "_key"], "left")
-    local = W.partitionBy(BLOCK, "_key").orderBy(*order)
-    return emit(joined, local).drop(BLOCK, "_key", "_carry")
+    same = F.col(BLOCK) == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = blocks.join(F.broadcast(carry), same, "left")
+    local = W.partitionBy(BLOCK, *keys).orderBy(*order)
+    result = joined.withColumn("_out", value(local, F.col("_carry")))
+    return result.select(*[c for c in df.columns if c != out], F.col("_out").alias(out))
 
 
 def _ordering(df: DataFrame, keys: list[str], sort_by: list[str], tie: list[str] | None) -> list[str]:
@@ -59,15 +59,13 @@ def _ordering(df: DataFrame, keys: list[str], sort_by: list[str], tie: list[str]
 def running_total(df: DataFrame, column: str, sort_by: list[str], partition_by: list[str] | None = None,
                   tie: list[str] | None = None, out: str | None = None) -> DataFrame:
     """Cumulative sum; a null row stays null. Ties are settled by ``tie`` or by all other columns."""
-    out = out or f"running_total_{column}"
-    keys = partition_by or []
+    out, keys = out or f"running_total_{column}", partition_by or []
 
-    def emit(joined: DataFrame, local) -> DataFrame:
-        here = F.sum(column).over(local.rowsBetween(W.unboundedPreceding, 0))
-        total = here + F.coalesce(F.col("_carry"), F.lit(0))
-        return joined.withColumn(out, F.when(F.col(column).isNotNull(), money_rounded(total, out)))
+    def value(local, carry: Column) -> Column:
+        total = F.sum(column).over(local.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(carry, F.lit(0))
+        return F.when(F.col(column).isNotNull(), money_rounded(total, out))
 
-    return _scan(df, keys, _ordering(df, keys, sort_by, tie), F.sum(column), F.sum, emit)
+    return _scan(df, keys, _ordering(df, keys, sort_by, tie), out, F.sum(column), F.sum, value)
 
 
 def running_max(df: DataFrame, column: str, sort_by: list[str], partition_by: list[str] | None = None,
@@ -75,11 +73,10 @@ def running_max(df: DataFrame, column: str, sort_by: list[str], partition_by: li
     """Largest value of the rows before this one, null at the start."""
     keys = partition_by or []
 
-    def emit(joined: DataFrame, local) -> DataFrame:
-        before = F.max(column).over(local.rowsBetween(W.unboundedPreceding, -1))
-        return joined.withColumn(out, F.greatest(before, F.col("_carry")))
+    def value(local, carry: Column) -> Column:
+        return F.greatest(F.max(column).over(local.rowsBetween(W.unboundedPreceding, -1)), carry)
 
-    return _scan(df, keys, _ordering(df, keys, sort_by, tie), F.max(column), F.max, emit)
+    return _scan(df, keys, _ordering(df, keys, sort_by, tie), out, F.max(column), F.max, value)
 
 
 def number_rows(df: DataFrame, sort_by: list[str], partition_by: list[str] | None = None,
@@ -87,27 +84,24 @@ def number_rows(df: DataFrame, sort_by: list[str], partition_by: list[str] | Non
     """1, 2, 3 … within the keys (or over the whole table), without a single-task window."""
     keys = partition_by or []
 
-    def emit(joined: DataFrame, local) -> DataFrame:
-        return joined.withColumn(out, F.row_number().over(local).cast("bigint") + F.coalesce(F.col("_carry"), F.lit(0)))
+    def value(local, carry: Column) -> Column:
+        return F.row_number().over(local).cast("bigint") + F.coalesce(carry, F.lit(0))
 
-    return _scan(df, keys, _ordering(df, keys, sort_by, tie), F.count(F.lit(1)), F.sum, emit)
+    return _scan(df, keys, _ordering(df, keys, sort_by, tie), out, F.count(F.lit(1)), F.sum, value)
 
 
 def percentage_change(df: DataFrame, column: str, sort_by: list[str], partition_by: list[str] | None = None,
                       tie: list[str] | None = None, out: str | None = None) -> DataFrame:
     """Change against the row before, nulls first filled forward; a previous zero gives null."""
-    out = out or f"pct_change_{column}"
-    keys = partition_by or []
+    out, keys = out or f"pct_change_{column}", partition_by or []
     order = _ordering(df, keys, sort_by, tie)
     last_filled = F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct(*order)))
 
-    def emit(joined: DataFrame, local) -> DataFrame:
-        before = F.last(column, ignorenulls=True).over(local.rowsBetween(W.unboundedPreceding, -1))
-        prev = F.coalesce(before, F.col("_carry"))
-        now = F.coalesce(F.col(column), prev)
-        return joined.withColumn(out, F.try_divide(now - prev, prev))
+    def value(local, carry: Column) -> Column:
+        prev = F.coalesce(F.last(column, ignorenulls=True).over(local.rowsBetween(W.unboundedPreceding, -1)), carry)
+        return F.try_divide(F.coalesce(F.col(column), prev) - prev, prev)
 
-    return _scan(df, keys, order, last_filled, lambda c: F.last(c, ignorenulls=True), emit)
+    return _scan(df, keys, order, out, last_filled, lambda c: F.last(c, ignorenulls=True), value)
 
 
 def exact_median(df: DataFrame, column: str, out: str = "median") -> DataFrame:

@@ -135,7 +135,7 @@ def _unique_rule(df: DataFrame, no: int, rule: Rule, order: list[str]) -> DataFr
     """Members of repeated values, counted with map-side combine; blanks are ignored."""
     value = X.strip_ws(F.col(rule.column).cast("string"))
     groups = (
-        df.select(value.alias("sample"), F.struct(*order).alias("_at")).where(F.col("sample") != "")
+        df.select(value.alias("sample"), (F.col(order[0]) if len(order) == 1 else F.struct(*order)).alias("_at")).where(F.col("sample") != "")
         .groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_at")).where("n > 1")
     )
     total = groups.agg(F.sum("n").alias("invalid_count")).where("invalid_count > 0")

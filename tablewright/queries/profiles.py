@@ -169,7 +169,17 @@ def structure(spark, sf):
     return P.structure_fingerprint(P.column_profile(sheet(spark, sf)))
 
 
-@query("q11_profile_fingerprint")
+def cells_sql():
+    return "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", cast({c} AS string) AS value, id FROM sheet WHERE {c} IS NOT NULL" for c in COLS)
+
+
+@query("q11_profile_fingerprint", f"""
+WITH p AS ({PROFILE_SQL}), cells AS ({cells_sql()}), counts AS (SELECT "column", value, count(*) AS n, min(id) AS first FROM cells GROUP BY 1, 2),
+f AS (SELECT "column", rank, CASE WHEN "column" = 'email' THEN {masked('value')} ELSE value END AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, first, value) AS rank FROM counts) WHERE rank <= 5),
+t AS (SELECT "column", sha256(to_json(list({{'rank': rank, 'value': value}} ORDER BY rank))::VARCHAR) AS tops FROM f GROUP BY 1)
+SELECT sha256(to_json(list({{'name': lower(p."column"), 'distinct_count': distinct_count, 'tops': coalesce(tops, '')}} ORDER BY p."column"))::VARCHAR) AS fingerprint
+FROM p LEFT JOIN t ON t."column" = p."column\"""", uses=SHEET)
 def fingerprint(spark, sf):
     df = sheet(spark, sf)
     return P.profile_fingerprint(P.column_profile(df), P.sample_values(P.value_counts(df, F.col("id")), "frequent"))
