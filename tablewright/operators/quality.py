@@ -138,11 +138,10 @@ def _unique_rule(df: DataFrame, no: int, rule: Rule, order: list[str]) -> DataFr
         df.select(value.alias("sample"), (F.col(order[0]) if len(order) == 1 else F.struct(*order)).alias("_at")).where(F.col("sample") != "")
         .groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_at")).where("n > 1")
     )
-    total = groups.agg(F.sum("n").alias("invalid_count")).where("invalid_count > 0")
+    total = groups.agg(F.sum("n").alias("n")).scalar()
     firsts = groups.orderBy("_at", "sample").limit(SAMPLES).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "sample"))), lambda s: s["sample"]).alias("samples"))
-    return total.select(F.lit(no).alias("rule_no"), "invalid_count").join(
-        firsts.select(F.lit(no).alias("rule_no"), "samples"), "rule_no")
+    return firsts.select(F.lit(no).alias("rule_no"), total.alias("invalid_count"), "samples").where("invalid_count > 0")
 
 
 def validate(df: DataFrame, rules: Sequence[Rule], order: list[str], now: str | None = None) -> DataFrame:
