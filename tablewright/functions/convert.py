@@ -36,6 +36,11 @@ def to_number(c: Column) -> Column:
     return F.when(plain.rlike(NUMBER_PATTERN), plain.try_cast("double"))
 
 
+def is_number(c: Column) -> Column:
+    """Whether ``to_number`` gives a value, without reading it."""
+    return strip_ws(c).rlike(NUMBER_PATTERN)
+
+
 def currency_number(c: Column, bracket_negative: bool = False) -> Column:
     """Keep digits, point and minus, then read as a number; optionally ``(5)`` is minus five."""
     kept = F.regexp_replace(c, r"[^0-9.\-]", "")

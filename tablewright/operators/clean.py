@@ -158,7 +158,7 @@ def _parse_shares(df: DataFrame, tests: dict[str, object]) -> dict[str, float]:
 def safe_convert(df: DataFrame, kind: str, cols: list[str] | None = None) -> DataFrame:
     names = string_columns(df, cols)
     test, convert = {
-        "numeric": (lambda c: V.to_number(c).isNotNull(), V.to_number),
+        "numeric": (V.is_number, V.to_number),
         "currency": (V.looks_like_money, V.money_number),
         "date": (lambda c: V.to_timestamp(c).isNotNull(), V.to_timestamp),
     }[kind]
@@ -183,7 +183,7 @@ def prepare_for_filter(df: DataFrame) -> DataFrame:
         return tidy
     tests = {
         "currency": V.looks_like_money,
-        "numeric": lambda c: V.to_number(c).isNotNull(),
+        "numeric": V.is_number,
         "date": lambda c: V.to_timestamp(c).isNotNull(),
     }
     aggs = [

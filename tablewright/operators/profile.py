@@ -295,10 +295,11 @@ def detected_types(df: DataFrame, order: tuple[str, ...], share: float = 0.9, da
         if is_numeric(t) or _is_date(t):
             kind = F.lit("number" if is_numeric(t) else "date")
         else:
-            tests = {"date": V.to_timestamp(col.cast("string"), dayfirst), "number": V.to_number(col.cast("string"))}
+            text = col.cast("string")
+            tests = {"date": V.to_timestamp(text, dayfirst).isNotNull(), "number": V.is_number(text)}
             kind = F.lit("string")
             for k in reversed(order):
-                aggs.append(F.count(tests[k]).alias(f"{k}{i}"))
+                aggs.append(F.count_if(tests[k]).alias(f"{k}{i}"))
                 kind = F.when(F.col(f"{k}{i}") >= F.col(f"n{i}") * share, F.lit(k)).otherwise(kind)
         structs.append(F.struct(F.lit(c).alias("column"), F.when(F.col(f"n{i}") == 0, F.lit(empty)).otherwise(kind).alias("type")))
     return flat.agg(*aggs).select(F.inline(F.array(*structs)))
