@@ -33,7 +33,8 @@ def fill_nulls(df: DataFrame, cols: list[str], strategy: str, value=None) -> Dat
     """zero / empty_string / constant are one projection; mean, median and mode look at the data once before."""
     cols = [c for c in cols if c in df.columns]
     if strategy == "zero":
-        return df.fillna(0, subset=cols)
+        kinds = {c: types(df)[c] for c in cols}
+        return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in kinds.items() if is_numeric(t) or t == "string"})
     if strategy == "empty_string":
         return df.fillna("", subset=cols)
     if strategy == "constant":

@@ -195,21 +195,25 @@ def next_version(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy(F.coalesce("parent_id", "id").alias("root_id")).agg((F.count(F.lit(1)) + 1).alias("next_version"))
 
 
-def timeline(jobs: DataFrame, logs: DataFrame) -> DataFrame:
-    """Events of each job: created, completed / failed / review from its own columns, plus its non-redundant log rows."""
-    state = normalized_status(F.col("status"))
-    own = jobs.withColumn("_state", state)
+def timeline(jobs: DataFrame, logs: DataFrame, ordered: bool = False) -> DataFrame:
+    """Events of each job: created, dispatched, then completed / failed / in review from its own columns, plus its log
+    rows that do not repeat those. ``ordered`` sorts by job and time, rows without a time first."""
+    own = jobs.withColumn("_state", normalized_status(F.col("status")))
     created = own.select("id", F.col("uploaded_at").alias("happened"), F.lit("upload created").alias("action"), F.col("file_name").alias("detail"))
-    ended = own.where(F.col("completed_at").isNotNull())
+    sent = own.where(F.col("dispatched_at").isNotNull()).select(
+        "id", F.col("dispatched_at").alias("happened"), F.lit("agent dispatched").alias("action"), F.lit("queue").alias("detail"))
+    state = F.col("_state")
+    review = state.isin("awaiting_confirmation", "awaiting_clarification")
     verdict = (
-        F.when(F.col("_state") == "succeeded", "workflow completed")
-        .when(F.col("_state").isin(*FAILED_STATUSES), "workflow failed")
-        .when(F.col("_state").isin("awaiting_confirmation", "awaiting_clarification"), "interpretation review requested")
-        .when(F.col("_state") == "quarantined", "workflow quarantined")
+        F.when(state == "succeeded", "workflow completed").when(state.isin(*FAILED_STATUSES), "workflow failed")
+        .when(review, "interpretation review requested").when(state == "quarantined", "workflow quarantined")
     )
-    closing = ended.select("id", F.col("completed_at").alias("happened"), verdict.alias("action"), F.col("_state").alias("detail")).where("action IS NOT NULL")
+    at = F.when(review, F.col("uploaded_at")).otherwise(F.col("completed_at"))
+    closing = own.where(F.col("completed_at").isNotNull()).select(
+        "id", at.alias("happened"), verdict.alias("action"), state.alias("detail")).where("action IS NOT NULL")
     noted = logs.join(own.select("id", "file_name", "completed_at"), "id")
-    repeat = (F.col("action") == "upload created") & (F.col("detail").isin("workflow_created") | (F.col("detail") == F.col("file_name")))
+    repeat = (F.col("action") == "upload created") & ((F.col("detail") == "workflow_created") | (F.col("detail") == F.col("file_name")))
     repeat = repeat | (F.col("action").isin("upload approved", "upload declined") & F.col("completed_at").isNotNull())
     kept = noted.where(~F.coalesce(repeat, F.lit(False))).select("id", "happened", "action", "detail")
-    return created.unionByName(closing).unionByName(kept)
+    events = created.unionByName(sent).unionByName(closing).unionByName(kept)
+    return events.orderBy("id", F.asc_nulls_first("happened"), "action", "detail") if ordered else events

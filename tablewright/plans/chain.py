@@ -112,9 +112,11 @@ class Chain:
     counts: list[Observation] = field(default_factory=list)
     origin: str = "user_requested"
 
-    def audit(self) -> DataFrame:
-        """One row per operation. Runs the chain once without keeping its result."""
-        self.df.write.format("noop").mode("overwrite").save()
+    def audit(self, run: bool = True) -> DataFrame:
+        """One row per operation. ``run`` executes the chain once without keeping its result; leave it out after the
+        table has been written anyway, because the counts were taken on the way."""
+        if run:
+            self.df.write.format("noop").mode("overwrite").save()
         rows = [o.get["rows"] for o in self.counts]
         entries = [
             {**e, "rows_in": rows[i], "rows_out": rows[i + 1], "step_kind": self.origin} for i, e in enumerate(self.entries)]

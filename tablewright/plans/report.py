@@ -57,6 +57,6 @@ def write(report: Report, path: str, kind: str = "csv", title: str = "Report") -
     elif kind == "txt":
         W.write_text(report.calculated.df, path, title)
     elif kind == "bundle":
-        W.write_bundle(path, report.cleaned.df, report.filtered, audit_log=report.cleaned.audit())
+        W.write_bundle(path, report.cleaned.df, report.filtered, audit_log=lambda: report.cleaned.audit(run=False))
     else:
         raise ValueError(f"unknown report kind {kind!r}")

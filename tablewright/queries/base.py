@@ -52,7 +52,8 @@ FROM customer""",
     "jobs": """
 SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS uploaded_at, o_totalprice AS amount,
   status, payload_status,
-  CASE WHEN status IN ('succeeded', 'complete', 'failed', 'callback_failed', 'declined', 'partial')
+  CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate + INTERVAL '1' MINUTE * cast(o_orderkey % 50 AS int) END AS dispatched_at,
+  CASE WHEN status IN ('succeeded', 'complete', 'failed', 'callback_failed', 'declined', 'partial', 'awaiting_confirmation', 'quarantined')
     THEN o_orderdate + INTERVAL '1' MINUTE * cast(o_orderkey * 37 % 7919 AS int) END AS completed_at,
   CASE o_orderkey % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'json' WHEN 3 THEN NULL ELSE 'csv' END AS output_format,
   concat('file_', cast(o_orderkey % 100 AS string), '.csv') AS file_name,

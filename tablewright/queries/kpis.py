@@ -194,7 +194,8 @@ LOGS = """SELECT l_orderkey AS id, l_shipdate AS happened, CASE l_linenumber % 4
 @query("d08_timeline", f"""
 SELECT id, strftime(happened, '%Y-%m-%d %H:%M') AS happened, action, detail FROM (
   SELECT id, uploaded_at AS happened, 'upload created' AS action, file_name AS detail FROM jobs
-  UNION ALL SELECT id, completed_at, CASE WHEN s = 'succeeded' THEN 'workflow completed' WHEN s IN ('failed', 'callback_failed', 'declined') THEN 'workflow failed'
+  UNION ALL SELECT id, dispatched_at, 'agent dispatched', 'queue' FROM jobs WHERE dispatched_at IS NOT NULL
+  UNION ALL SELECT id, CASE WHEN s = 'awaiting_confirmation' THEN uploaded_at ELSE completed_at END, CASE WHEN s = 'succeeded' THEN 'workflow completed' WHEN s IN ('failed', 'callback_failed', 'declined') THEN 'workflow failed'
       WHEN s = 'awaiting_confirmation' THEN 'interpretation review requested' WHEN s = 'quarantined' THEN 'workflow quarantined' END, s
     FROM (SELECT *, {STATUS_SQL} AS s FROM jobs) WHERE completed_at IS NOT NULL AND s IN ('succeeded', 'failed', 'callback_failed', 'declined', 'awaiting_confirmation', 'quarantined')
   UNION ALL SELECT l.id, happened, action, detail FROM ({LOGS.replace('{lineitem}', 'lineitem')}) l JOIN jobs j ON j.id = l.id

@@ -49,7 +49,10 @@ AUDIT_SCHEMAS = {
 
 
 def write_bundle(path: str, cleaned: DataFrame, filtered: DataFrame | None = None, **parts: DataFrame) -> list[str]:
-    """One folder per part; parts without rows or not given still carry their schema."""
+    """One folder per part; parts without rows or not given still carry their schema.
+
+    A part may be a function that gives the table: it is called when the data parts are already written.
+    """
     spark = cleaned.sparkSession
     tables = {"cleaned_data": cleaned}
     if filtered is not None:
@@ -57,7 +60,7 @@ def write_bundle(path: str, cleaned: DataFrame, filtered: DataFrame | None = Non
     for name, schema in AUDIT_SCHEMAS.items():
         tables[name] = parts.get(name) if parts.get(name) is not None else spark.createDataFrame([], schema)
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        (df() if callable(df) else df).write.mode("overwrite").parquet(f"{path}/{name}")
     return list(tables)
 
 

@@ -6,7 +6,7 @@ stream results are compared with.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -152,26 +152,27 @@ EXPIRED = "session_id long, expired_at timestamp, state string"
 HELD = "started_at timestamp, deadline timestamp"
 
 
-def _expire(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Hold the start of a session; when event time passes its fixed deadline, send it to quarantine."""
-    if state.hasTimedOut:
-        _, deadline = state.get
-        state.remove()
-        yield pd.DataFrame({"session_id": [key[0]], "expired_at": [deadline], "state": ["quarantined"]})
-        return
-    for frame in frames:
-        start = frame["ts"].min()
-        if state.exists:
-            start = min(start, state.get[0])
-        deadline = start + pd.Timedelta(minutes=SESSION_MINUTES)
-        state.update((start, deadline))
-        state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-
-
-def expire_sessions(sessions: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Stream of sessions (session_id, ts) to stream of expired ones. State per session is two timestamps."""
-    return (thinned(sessions, "session_id").withWatermark("ts", lateness).groupBy("session_id")
-            .applyInPandasWithState(_expire, EXPIRED, HELD, "append", "EventTimeTimeout"))
+def expire_sessions(sessions: DataFrame, lateness: str = LATENESS, minutes: int = SESSION_MINUTES) -> DataFrame:
+    """Stream of sessions (session_id, ts) to stream of expired ones. State per session is two timestamps.
+
+    The start of a session is held; when event time passes its fixed deadline it goes to quarantine.
+    """
+    def expire(key, frames, state):  # nested, so that it travels to the executors by value
+        if state.hasTimedOut:
+            _, deadline = state.get
+            state.remove()
+            yield pd.DataFrame({"session_id": [key[0]], "expired_at": [deadline], "state": ["quarantined"]})
+            return
+        for frame in frames:
+            start = frame["ts"].min()
+            if state.exists:
+                start = min(start, state.get[0])
+            deadline = start + pd.Timedelta(minutes=minutes)
+            state.update((start, deadline))
+            state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+    grouped = thinned(sessions, "session_id").withWatermark("ts", lateness).groupBy("session_id")
+    return grouped.applyInPandasWithState(expire, EXPIRED, HELD, "append", "EventTimeTimeout")
 
 
 def expire_sessions_batch(sessions: DataFrame, now: str) -> DataFrame:

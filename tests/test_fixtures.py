@@ -274,3 +274,50 @@ def test_aggregate_condition_with_median(spark):
     df = spark.createDataFrame([("a", "$1,000"), ("a", "$3,000"), ("b", "$2,000"), ("b", None)], "k string, v string")
     assert [r.v for r in filter_rows(df, [Condition("v", "gt", Aggregate("median", "v"))]).collect()] == ["$3,000"]
     assert [r.v for r in filter_rows(df, [Condition("v", "gte", Aggregate("max", "v", "k", "B"))]).orderBy("v").collect()] == ["$2,000", "$3,000"]
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "txt", "bundle"])
+def test_report_from_raw_table(spark, tmp_path, kind):
+    from tablewright.plans.report import Request, build, write
+
+    rows = [("PayPal ", "$10", "N"), ("cash", "$30", "N"), ("pay pal", "20", "S"), ("card", "$99", "S"), (None, "x", "S")]
+    df = spark.createDataFrame(rows, "method string, amount string, region string")
+    request = Request(
+        cleaning=[("trim_whitespace", {}), ("normalize_currency", {"columns": ["amount"]})], conditions=[Condition("method", "in", ["paypal", "cash"])],
+        calculations=[{"type": "sum", "column": "amount"}, {"type": "group_sum", "group_by": ["region"], "column": "amount", "output_column": "total_amount"},
+                      {"type": "max", "column": "total_amount", "output_column": "top"}],
+        charts=[{"title": "by region", "by": "region"}])
+    report = build(df, request)
+    assert {r.region: r.total_amount for r in report.calculated.df.collect()} == {"N": 40.0, "S": 20.0}
+    assert report.calculated.metric_values() == {"sum_amount": 60.0, "top": 40.0}
+    assert {r.region: r.value for r in report.charts["by region"].collect()} == {"N": 2, "S": 1}
+    path = str(tmp_path / "out")
+    write(report, path, kind, "Sums")
+    if kind == "csv":
+        assert R.read_delimited(spark, path, ["region", "total_amount"]).count() == 2
+    elif kind == "json":
+        assert spark.read.json(f"{path}/data").count() == 2 and spark.read.json(f"{path}/metadata").first().title == "Sums"
+    elif kind == "txt":
+        assert [r.value for r in spark.read.text(f"{path}/head").collect()][:2] == ["Sums", "===="]
+    else:
+        log = spark.read.parquet(f"{path}/audit_log").orderBy("step").collect()
+        assert [(r.rows_in, r.rows_out) for r in log] == [(5, 5), (5, 5)]
+        assert spark.read.parquet(f"{path}/warnings").columns == ["warning"]
+
+
+def test_filter_preparation_comes_first_when_nothing_is_cleaned(spark):
+    from tablewright.plans.report import Request, build
+
+    df = spark.createDataFrame([(" 10 ", "A"), ("20", "b"), ("30", " a ")], "`Total Amount` string, kind string")
+    report = build(df, Request(prepare=True, conditions=[Condition("total_amount", "gt", 5), Condition("kind", "eq", "a")]))
+    assert sorted(r.total_amount for r in report.filtered.collect()) == [10.0, 30.0]
+    assert report.calculated.warnings == []
+
+
+def test_warnings_of_ordered_calculations(spark):
+    from tablewright.plans.calculations import calculate
+
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", i, i % 2) for i in range(10)], "id int, shop string, v long, z long")
+    out = calculate(df, [{"type": "running_total", "column": "v", "sort_by": ["id"], "output_column": "run"}, {"type": "ratio", "column": "v", "secondary_column": "z"}])
+    assert len(out.warnings) == 2 and "shop" in out.warnings[0] and "5 rows" in out.warnings[1]
+    assert [r.run for r in out.df.orderBy("id").collect()] == [sum(range(i + 1)) for i in range(10)]
