@@ -24,7 +24,7 @@ REQ_SQL = f"req AS (SELECT {WORD} AS requested, count(*) AS n FROM lineitem GROU
 
 
 def requests(spark, sf):
-    return requested_names(spark, sf).withColumnRenamed("column", "requested")
+    return requested_names(spark, sf).withColumnRenamed("column", "requested").withColumn("f", M.features(F.col("requested")))
 
 
 def toks(c):
@@ -49,8 +49,8 @@ SELECT requested, n, "column", score FROM (SELECT *, row_number() OVER (PARTITIO
 def best_of(name, score, sql_score):
     @query(name, best_sql(sql_score))
     def run(spark, sf):
-        cat = M.name_catalogue(CATALOGUE)
-        return M.top_columns(requests(spark, sf), ["requested", "n"], cat, lambda c: F.round(score(F.col("requested"), c["column"]), 9))
+        cat = M.name_catalogue(spark, CATALOGUE)
+        return M.top_columns(requests(spark, sf), ["requested", "n"], cat, lambda c: F.round(score(F.col("f"), c["f"]), 9))
 
 
 best_of("m01_token_overlap", M.token_overlap, overlap_sql("requested", '"column"'))
@@ -80,7 +80,8 @@ def value_match(spark, sf):
         entries = one if entries is None else entries.unionByName(one)
     text = F.expr("CASE l_partkey % 5 WHEN 0 THEN 'Building' WHEN 1 THEN 'female' WHEN 2 THEN 'red widget' WHEN 3 THEN 'others or male' ELSE 'nothing' END")
     asked = table(spark, sf, "lineitem").groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    return M.top_columns(asked, ["text", "n"], M.profile_catalogue(entries), lambda c: F.round(M.value_match(F.col("text"), c["values"]), 9))
+    entries = entries.withColumn("v", M.value_features(F.col("values")))
+    return M.top_columns(asked.withColumn("f", M.features(F.col("text"))), ["text", "n"], entries, lambda c: F.round(M.value_match(F.col("f"), c["v"]), 9))
 
 
 KIND = "CASE l_partkey % 6 WHEN 0 THEN 'explicit_name' WHEN 1 THEN 'semantic_concept' WHEN 2 THEN 'value_implied' WHEN 3 THEN 'generic_reference' WHEN 4 THEN 'column_group' ELSE 'other' END"
@@ -116,12 +117,9 @@ ENTRIES = [
 SCORES = {"identifier": 0.92, "payment": 0.92, "status": 0.92, "product": 0.92, "currency": 0.95, "date": 0.95, "categorical": 0.75, "free_text": 0.7}
 
 
-def entries():
-    def words(ws):
-        return F.array(*[F.lit(w) for w in ws])
-
-    return [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(r).alias("role"), F.lit(g).alias("guess"), F.lit(b).alias("broad_type"),
-                     words(t).alias("tags"), words(v).alias("values"), F.lit(SCORES[b]).alias("match_score")) for i, (c, r, g, b, t, v) in enumerate(ENTRIES)]
+def entries(spark):
+    facts = [{"column": c, "role": r, "guess": g, "broad_type": b, "tags": list(t), "values": list(v), "match_score": SCORES[b]} for c, r, g, b, t, v in ENTRIES]
+    return M.catalogue(spark, facts).withColumn("v", M.value_features(F.col("values")))
 
 
 ENTRY_SQL = "cat AS (SELECT * FROM (VALUES " + ", ".join(
@@ -144,12 +142,12 @@ SELECT requested, n, rank, "column", score, concat_ws(' ', concat('token=', CASE
   concat('name=', CASE WHEN sim > 0.7 THEN 'strong' WHEN sim > 0.3 THEN 'partial' ELSE 'none' END)) AS evidence
 FROM (SELECT *, cast(row_number() OVER (PARTITION BY requested ORDER BY score DESC, ordinal) AS INTEGER) AS rank FROM s) WHERE rank <= 3""")
 def weighted_candidates(spark, sf):
-    req = F.col("requested")
+    f = F.col("f")
 
     def parts(c):
-        return (M.token_overlap(req, c["column"]), M.value_match(req, c["values"]), M.role_alignment(F.lit("semantic_concept"), c["role"]), M.name_similarity(req, c["column"]))
+        return (M.token_overlap(f, c["f"]), M.value_match(f, c["v"]), M.role_alignment(F.lit("semantic_concept"), c["role"]), M.name_similarity(f, c["f"]))
 
-    return M.top_columns(requests(spark, sf), ["requested", "n"], entries(), lambda c: F.round(M.weighted_score(*parts(c)), 9),
+    return M.top_columns(requests(spark, sf), ["requested", "n"], entries(spark), lambda c: F.round(M.weighted_score(*parts(c)), 9),
                          {"evidence": lambda c: M.evidence(*parts(c))}, k=3)
 
 
@@ -171,9 +169,9 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY requested ORDE
 
 
 def tiered(spark, sf):
-    req = F.col("requested")
-    return M.top_columns(requests(spark, sf), ["requested", "n"], entries(), lambda c: F.round(M.tiered_match(req, c["column"], c["guess"])[0], 9),
-                         {"tier": lambda c: M.tiered_match(req, c["column"], c["guess"])[1]})
+    f = F.col("f")
+    return M.top_columns(requests(spark, sf), ["requested", "n"], entries(spark), lambda c: F.round(M.tiered_match(f, c["f"], c["guess"])[0], 9),
+                         {"tier": lambda c: M.tiered_match(f, c["f"], c["guess"])[1]})
 
 
 @query("m06_tiered_match", TIER_SQL + '\nSELECT requested, n, "column", score, tier FROM best')
@@ -209,7 +207,7 @@ f AS (SELECT *, round(CASE WHEN shared = 0 THEN 0 WHEN same_last THEN least(base
 SELECT requested, n, "column", score, round(CASE WHEN score >= 0.6 THEN least(0.9, 0.7 + score * 0.25) END, 9)::DOUBLE AS confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY requested ORDER BY score DESC, ordinal) AS rn FROM f) WHERE rn = 1""")
 def concept_match(spark, sf):
-    best = M.top_columns(requests(spark, sf), ["requested", "n"], M.name_catalogue(CATALOGUE), lambda c: F.round(M.concept_score(F.col("requested"), c["column"]), 9))
+    best = M.top_columns(requests(spark, sf), ["requested", "n"], M.name_catalogue(spark, CATALOGUE), lambda c: F.round(M.concept_score(F.col("f"), c["f"]), 9))
     return best.withColumn("confidence", F.round(M.concept_confidence(F.col("score")), 9))
 
 
@@ -290,8 +288,8 @@ def clauses(spark, sf):
 
 
 def scored_clauses(spark, sf, k):
-    return M.top_columns(clauses(spark, sf), ["field", "operator", "value", "n"], entries(),
-                         lambda c: F.round(M.clause_score(F.col("field"), F.col("operator"), F.col("value"), c), 9), k=k)
+    about = clauses(spark, sf).withColumn("q", M.clause_features(F.col("field"), F.col("operator"), F.col("value")))
+    return M.top_columns(about, ["field", "operator", "value", "n"], entries(spark), lambda c: F.round(M.clause_score(F.col("q"), c), 9), k=k)
 
 
 @query("m11_clause_scores", CLAUSE_SQL + '\nSELECT field, operator, value, n, rank::INTEGER AS rank, "column", score FROM r WHERE rank <= 2')
@@ -337,7 +335,8 @@ WITH {ENTRY_SQL}, w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_sp
 SELECT word, n, (SELECT "column" FROM cat WHERE len(list_filter("values", lambda v: contains(lower(v), lower(word)))) > 0 ORDER BY ordinal LIMIT 1) AS holder, 'order_date' AS date_column, 'unit_price' AS revenue_column FROM w""")
 def first_columns(spark, sf):
     words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    cat = F.array(*entries())
+    words = words.withColumn("cat", M.as_value(entries(spark)))
+    cat = F.col("cat")
     return words.select("word", "n", M.first_column(cat, M.holds_value(F.col("word"))).alias("holder"),
                         M.first_column(cat, M.name_has(M.DATE_PARTS)).alias("date_column"), M.first_column(cat, M.name_has(M.REVENUE_PARTS)).alias("revenue_column"))
 
@@ -350,7 +349,9 @@ WITH {CAT_SQL}, r AS (SELECT requested, n, replace(regexp_replace(trim(regexp_re
 SELECT requested, n, coalesce(array_to_string(list("column" ORDER BY ordinal) FILTER (starts_with(replace(trim(regexp_replace(lower("column"), '[^a-z0-9]+', ' ', 'g')), ' ', '_'), root)), '|'), '') AS family FROM r, cat GROUP BY requested, n""")
 def column_family(spark, sf):
     asked = table(spark, sf, "lineitem").groupBy(F.expr(ROOT).alias("requested")).agg(F.count(F.lit(1)).alias("n"))
-    return asked.withColumn("family", F.array_join(M.family(F.col("requested"), M.name_catalogue(CATALOGUE)), "|"))
+    cat = M.name_catalogue(spark, CATALOGUE).select("ordinal", "column", M.flat_words(F.col("column")).alias("flat_words"))
+    held = asked.withColumn("cat", M.as_value(cat))
+    return held.select("requested", "n", F.array_join(M.family(F.col("requested"), F.col("cat")), "|").alias("family"))
 
 
 def low_sql(c):
@@ -362,4 +363,6 @@ WITH {REQ_SQL}, {CAT_SQL}, d AS (SELECT requested, n, {low_sql('requested')} AS
 SELECT requested, n, coalesce((SELECT "column" FROM c WHERE m = t ORDER BY ordinal LIMIT 1), (SELECT "column" FROM c WHERE contains(t, m) OR contains(m, t) ORDER BY ordinal LIMIT 1),
   (SELECT "column" FROM c WHERE list_has_any(list_filter(string_split(t, '_'), lambda w: length(w) > 2), string_split(m, '_')) ORDER BY ordinal LIMIT 1)) AS "column" FROM d""")
 def described(spark, sf):
-    return requests(spark, sf).withColumn("column", M.described_column(F.col("requested"), M.name_catalogue(CATALOGUE)))
+    cat = M.name_catalogue(spark, CATALOGUE).select("ordinal", "column", M.flat_words(F.col("column")).alias("flat_words"))
+    asked = requests(spark, sf).withColumn("text", M.flat_words(F.col("requested"))).withColumn("cat", M.as_value(cat))
+    return asked.select("requested", "n", M.described_column(F.col("text"), M.long_words(F.col("text")), F.col("cat")).alias("column"))

@@ -177,17 +177,17 @@ def test_values_reveal_columns(spark):
 
 def test_token_and_name_scores(spark):
     pairs = spark.createDataFrame([("payment method", "payment_method"), ("amount", "total_amount"), ("abc", "xyz"), ("", "")], "a string, b string")
-    assert column(pairs, M.token_overlap(F.col("a"), F.col("b"))) == [1.0, 0.5, 0.0, 0.0]
-    assert column(pairs, M.name_similarity(F.col("a"), F.col("b")))[2:] == [0.0, 1.0]
+    assert column(pairs, M.token_overlap(M.features(F.col("a")), M.features(F.col("b")))) == [1.0, 0.5, 0.0, 0.0]
+    assert column(pairs, M.name_similarity(M.features(F.col("a")), M.features(F.col("b"))))[2:] == [0.0, 1.0]
     assert column(one(spark, ["XMLParser"]), X.name_tokens(F.col("c"))) == [["xml", "parser"]]
 
 
 def test_blocks_of_a_wide_catalogue_give_the_same_best(spark, monkeypatch):
     names = [f"field_{i}" for i in range(40)] + ["unit_price"]
-    asked = spark.createDataFrame([("unit price",), ("field 7",)], "requested string")
-    whole = {r.requested: r.column for r in M.top_columns(asked, ["requested"], M.name_catalogue(names), lambda c: M.token_overlap(F.col("requested"), c["column"])).collect()}
+    asked = spark.createDataFrame([("unit price",), ("field 7",)], "requested string").withColumn("f", M.features(F.col("requested")))
+    whole = {r.requested: r.column for r in M.top_columns(asked, ["requested"], M.name_catalogue(spark, names), lambda c: M.token_overlap(F.col("f"), c["f"])).collect()}
     monkeypatch.setattr(M, "BLOCK", 7)
-    cut = {r.requested: r.column for r in M.top_columns(asked, ["requested"], M.name_catalogue(names), lambda c: M.token_overlap(F.col("requested"), c["column"])).collect()}
+    cut = {r.requested: r.column for r in M.top_columns(asked, ["requested"], M.name_catalogue(spark, names), lambda c: M.token_overlap(F.col("f"), c["f"])).collect()}
     assert whole == cut == {"unit price": "unit_price", "field 7": "field_7"}
 
 
