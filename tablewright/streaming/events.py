@@ -80,7 +80,7 @@ def once_batch(events: DataFrame, key: str = "event_id") -> DataFrame:
 # -- latest row per key ---------------------------------------------------------------------------------------------
 
 def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rest = [c for c in events.columns if c not in keys and c not in order]
+    rest = [c for c, t in events.dtypes if c not in keys and c not in order and not t.startswith("map")]  # maps have no order
     return first_per_key(events, keys, [F.desc(c) for c in order + rest])
 
 
@@ -129,9 +129,14 @@ def roll_forward(jobs: DataFrame, callbacks: DataFrame, job: str = "job_id", ord
     return joined.select(job, status.alias("status"), F.when(F.col("_status").isNotNull(), with_status).otherwise(F.col("summary")).alias("summary"), "completed_at")
 
 
-def roll_forward_into(path: str, jobs: DataFrame, job: str = "job_id") -> Callable[[DataFrame, int], None]:
-    """Stream form: callbacks are logged per batch, once per event id; the state is folded from the log when read."""
-    return upsert_into(path, [job, "event_id"], ["ts"])
+def roll_forward_into(path: str) -> Callable[[DataFrame, int], None]:
+    """Stream sink for callbacks: logged per batch, once per event id."""
+    return upsert_into(path, ["job_id", "event_id"], ["ts"])
+
+
+def rolled_forward(spark: SparkSession, path: str, jobs: DataFrame) -> DataFrame:
+    """State of the jobs after everything in the callback log."""
+    return roll_forward(jobs, current(spark, path, ["job_id", "event_id"], ["ts"]))
 
 
 # -- trend ------------------------------------------------------------------------------------------------------------
