@@ -17,6 +17,7 @@ results, repeated items count once per item_id and text; an empty table gives an
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import dense, if_small, let
@@ -74,8 +75,8 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = _windows(items, window)
     rows = cut.select("item_id", "_item", F.explode(_pieces(F.col("_keys"), F.col("_raw"), window)).alias("p")).select("item_id", "_item", "p.k", F.col("p.i").alias("j"), F.col("p.w").alias("words"))
     rows = rows.withColumn("_plain", (F.size(F.filter("words", lambda w: ~_slot(w))) >= LITERALS).cast("int"))
-    count = rows.groupBy("item_id", "_item").agg(F.sum("_plain").alias("_some"), F.count(F.lit(1)).alias("_all"))
-    rows = rows.join(count, ["item_id", "_item"]).where((F.col("_plain") == 1) | (F.col("_some") == 0))
+    item = W.partitionBy("item_id", "_item")  # one item's windows
+    rows = rows.withColumn("_some", F.sum("_plain").over(item)).withColumn("_all", F.count(F.lit(1)).over(item)).where((F.col("_plain") == 1) | (F.col("_some") == 0))
     return rows.select("item_id", "_item", "k", "j", "words", F.when(F.col("_some") > 0, F.col("_some")).otherwise(F.col("_all")).alias("n"))
 
 
@@ -113,5 +114,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without benchmark passages; the verdict follows the text, so all its copies go."""
-    bad = durable(matches(docs, benchmark).select(F.col("th").alias("_th")).distinct())
-    return docs.join(if_small(bad), F.xxhash64(docs["text"]) == F.col("_th"), "left_anti")
+    bad = durable(matches(docs, benchmark).select("th").distinct())
+    return docs.join(if_small(bad), F.xxhash64(docs["text"]) == bad["th"], "left_anti")  # docs may hold any column names

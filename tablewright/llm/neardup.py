@@ -118,13 +118,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, th, fp and component_id of every row."""
+    """doc_id, th, fp, root (the component's fingerprint) and component_id of every row."""
     rows = durable(fingerprints(docs, shingle))
     points = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = durable(components(links(points, bits)))
     placed = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = placed.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
+    member = placed.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
     return rows.join(member, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
@@ -135,14 +135,18 @@ def report(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFra
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the smallest doc_id (of rows alike in it the smallest text hash), once."""
+    """The rows of ``docs`` that stay: of each component the smallest doc_id (of rows alike in it the
+    smallest text hash; null comes last), once."""
     out = grouped(docs, shingle, bits)
-    stay = durable(out.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("th").alias("h"))).alias("s")).select("s.d", "s.h"))
-    kept = docs.join(if_small(stay), docs["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64(docs["text"]) == F.col("h")), "left_semi")
-    twice = durable(out.join(if_small(stay), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi").groupBy("doc_id", "th").count().where("count > 1"))
+    out = durable(out)
+    stay = durable(out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("th").alias("h"))).alias("s")).select("s.d", "s.h"))
+    # columns are named through their tables: docs may hold columns of any name
+    kept = docs.join(if_small(stay), docs["doc_id"].eqNullSafe(stay["d"]) & (F.xxhash64(docs["text"]) == stay["h"]), "left_semi")
+    twice = out.join(if_small(stay), out["doc_id"].eqNullSafe(stay["d"]) & (out["th"] == stay["h"]), "left_semi")
+    twice = durable(twice.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).count().where("count > 1"))
     if not twice.limit(1).count():
         return kept
-    repeated = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h"))
-    mark = if_small(twice.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")))
+    repeated = docs["doc_id"].eqNullSafe(twice["d"]) & (F.xxhash64(docs["text"]) == twice["h"])
+    mark = if_small(twice)
     once = kept.join(mark, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(mark, repeated, "left_anti").unionByName(once)

@@ -256,7 +256,10 @@ def find(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, their digest, and all spans as text."""
     out = find(docs)
-    counts = [F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+    def count(rank: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint").alias(f"n_{KINDS[rank]}")
+
+    counts = [count(rank) for rank in range(4)]
     every = F.sort_array(F.concat("base", "added"))
     return out.select("doc_id", *counts, F.sha2(_listing(F.col("base")), 256).alias("base_sha256"), _listing(every).alias("spans"))
 

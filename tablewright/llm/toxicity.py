@@ -51,9 +51,9 @@ CLAUSE = re.compile(r"[.!?;:\n]+(?=\s|$)")
 GRAMMAR = (
     (re.compile(r"R[^IT]{0,3}[IT]"), 0.5),  # reported: he called it ...
     (re.compile(r"N[^IT]{0,2}[IT]"), 0.4),  # negated: not an ...
-    (re.compile(r"Y[^IT]{0,3}X*T"), 1.5),  # target then threat
-    (re.compile(r"T[^IT]{0,2}Y"), 1.5),  # threat then target
-    (re.compile(r"Y[^IT]{0,3}X*I"), 1.2),  # target then insult
+    (re.compile(r"Y[^ITNR]{0,3}T"), 1.5),  # target then threat
+    (re.compile(r"T[^ITNR]{0,2}Y"), 1.5),  # threat then target
+    (re.compile(r"Y[^ITNR]{0,3}I"), 1.2),  # target then insult
     (re.compile(r"X+I"), 1.2),
     (re.compile(r"I"), 1.0),
     (re.compile(r"T"), 0.15),  # a threatening verb alone says little
