@@ -9,8 +9,8 @@ range, and (with ``select``) the places where it occurs, without decoding the re
 Shards are rows of a written table (part, seq, sizes, payload): Spark's committer makes a lost task's shards appear once. The
 range partitioning is by doc_id, so parts and shards are in order.
 
-The tokenizer's pieces never cross ASCII white space, so words are encoded once per task and looked up after that; the result
-equals encoding the whole text (tested).
+The tokenizer's pieces never cross ASCII white space, so a worker encodes a word once and looks it up after that, within a bound on
+what it remembers; the result equals encoding the whole text (tested).
 
 Defined cases: null text is empty and gives only the end id; null doc_ids come first; rows alike in doc_id are in order of their
 text; an empty table gives an empty result.
@@ -18,12 +18,15 @@ text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,8 +36,8 @@ from tablewright.llm.common import if_small
 from tablewright.session import durable
 
 END_ID = 1
-SHARD = 1 << 19
-CACHE = 400_000  # words kept by a task
+SHARD = 1 << 17
+CACHE = 300_000  # words, and pieces of words, that a worker remembers
 BATCH = 256  # rows handed to Python at a time: texts may be long
 MAGIC = b"WVM1"
 BLOCK = 512  # bits between two entries of a rank directory
@@ -43,7 +46,7 @@ COLUMNS = "part int, seq int, docs long, tokens long, payload binary"
 
 class Shard:
     """Layout: magic, ids, documents, planes (u32 each); compressed lengths; directory (doc_id i64, null flag u8, length u32);
-    then for each plane its number of zeros (u32) and zlib-compressed packed bits. Numbers are little-endian."""
+    then for each plane its number of zeros (u32) and zstd-compressed packed bits. Numbers are little-endian."""
 
     def __init__(self, doc_ids: np.ndarray, missing: np.ndarray, lengths: np.ndarray, zeros: list[int], planes: list[np.ndarray]):
         self.doc_ids, self.missing, self.lengths, self.zeros, self.planes = doc_ids, missing, lengths, zeros, planes
@@ -54,17 +57,18 @@ class Shard:
     def build(cls, ids: np.ndarray, doc_ids: list, lengths: list[int], width: int) -> Shard:
         zeros, planes, now = [], [], ids
         for b in range(width - 1, -1, -1):
-            bit = (now >> b) & 1 == 1
+            bit = (now & ids.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
-            low = now[~bit]
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
-            now = np.concatenate((low, now[bit]))
+            now = np.concatenate((now.take(low), now.take(high)))
         missing = np.array([d is None for d in doc_ids], dtype=np.uint8)
         return cls(np.array([d or 0 for d in doc_ids], dtype="<i8"), missing, np.array(lengths, dtype="<u4"), zeros, planes)
 
     def write(self) -> bytes:
-        head = zlib.compress(self.doc_ids.tobytes() + self.missing.tobytes() + self.lengths.tobytes(), 1)
-        bodies = [zlib.compress(p.tobytes(), 1) for p in self.planes]
+        packed = zstandard.ZstdCompressor(level=1).compress
+        head = packed(self.doc_ids.tobytes() + self.missing.tobytes() + self.lengths.tobytes())
+        bodies = [packed(p.tobytes()) for p in self.planes]
         sizes = struct.pack(f"<{1 + len(bodies)}I", len(head), *map(len, bodies))
         zeros = struct.pack(f"<{len(self.zeros)}I", *self.zeros)
         return b"".join((MAGIC, struct.pack("<III", self.n, len(self.lengths), len(bodies)), sizes, zeros, head, *bodies))
@@ -79,7 +83,7 @@ class Shard:
         at = 20 + 8 * width
         parts = []
         for s in sizes:
-            parts.append(zlib.decompress(data[at:at + s]))
+            parts.append(zstandard.decompress(data[at:at + s]))
             at += s
         head = parts[0]
         return cls(np.frombuffer(head, "<i8", docs), np.frombuffer(head, np.uint8, docs, 8 * docs), np.frombuffer(head, "<u4", docs, 9 * docs),
@@ -87,12 +91,14 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids in order, planes undone from the last to the first."""
-        now = np.zeros(self.n, dtype=np.uint32)
-        for level in range(len(self.planes) - 1, -1, -1):
+        width = len(self.planes)
+        kind = np.uint16 if width <= 16 else np.uint32
+        now = np.zeros(self.n, dtype=kind)
+        for level in range(width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            z, back = self.zeros[level], np.empty(self.n, dtype=np.uint32)
-            back[~bit] = now[:z]
-            back[bit] = now[z:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            z, back = self.zeros[level], np.empty(self.n, dtype=kind)
+            back[np.flatnonzero(~bit)] = now[:z]
+            back[np.flatnonzero(bit)] = now[z:] | kind(1 << (width - 1 - level))
             now = back
         return now
 
@@ -153,28 +159,64 @@ class Shard:
         return out
 
 
-def encoder(path: str, end_id: int = END_ID, dtype: str = "<u4"):
-    """Function from a list of texts to their id arrays, end id included."""
-    from tokenizers import Tokenizer
+# Words of ASCII and precomposed Latin letters: for these, lower() and the pattern do what the tokenizer's file prescribes
+SIMPLE = re.compile("[\\x21-\\x7eÀ-ÖØ-öø-ÿ]*")
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
-    tokenizer = Tokenizer.from_file(path)
-    cache: dict[bytes, bytes] = {}
-    end = np.array([end_id], dtype=dtype).tobytes()
 
-    def encode(texts: list) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            cache.update(zip(part, (np.array(f.ids, dtype=dtype).tobytes() for f in found)))
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+class Words(dict):
+    """Word in UTF-8 to its ids as bytes; a missing word is encoded by the tokenizer. Simple words go to its model piece by piece,
+    and pieces are remembered too ("Word," and "word" share one); any other word is encoded whole."""
+
+    def __init__(self, path: str, dtype: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer, self.dtype, self.pieces, self.letters = Tokenizer.from_file(path), dtype, {}, _byte_letters()
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.item = struct.Struct(dtype.replace("u2", "H").replace("u4", "I")).pack
 
-    return encode
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if SIMPLE.fullmatch(text) and not any(t in text for t in self.special):
+            found = b"".join([self.pieces.get(p) or self.piece(p) for p in PIECE.findall(text.lower())])
+        else:
+            found = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found
+        return found
+
+    def packed(self, ids: list[int]) -> bytes:
+        return b"".join([self.item(i) for i in ids])
+
+    def piece(self, text: str) -> bytes:
+        plain = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+        found = self.packed([t.id for t in self.model.tokenize(plain)])
+        if len(self.pieces) >= CACHE:
+            self.pieces.clear()
+        self.pieces[text] = found
+        return found
+
+
+def encoder(path: str, end_id: int = END_ID, dtype: str = "<u4"):
+    """Function from UTF-8 texts to their ids as bytes, end id included."""
+    import tokenizers
+
+    # kept in the worker process between its tasks: this function travels by value, so its own module has no lasting state there
+    kept = tokenizers.__dict__.setdefault("_words_by_file", {})
+    words = kept.get((path, dtype)) or kept.setdefault((path, dtype), Words(path, dtype))
+    end = np.array([end_id], dtype=dtype).tobytes()
+    get = words.__getitem__
+    return lambda texts: [b"".join(map(get, (t or b"").split())) + end for t in texts]
 
 
 def id_width(path: str, end_id: int = END_ID) -> int:
@@ -189,33 +231,33 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, shard: int = SHARD)
     ordered = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     dtype = "<u2" if width <= 16 else "<u4"
 
-    def shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end_id, dtype)
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, held, size = [], [], [], 0
         item = np.dtype(dtype).itemsize
 
-        def closed() -> pd.DataFrame:
+        def closed() -> pa.RecordBatch:
             made = Shard.build(np.frombuffer(b"".join(held), dtype), ids, lengths, width)
-            return pd.DataFrame([(part, seq, len(ids), size, made.write())], columns=["part", "seq", "docs", "tokens", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()),
+                                               pa.array([made.write()], pa.binary())], ["part", "seq", "docs", "tokens", "payload"])
 
-        for frame in parts:
-            none = frame["doc_id"].isna()
-            for at in range(0, len(frame), BATCH):
-                rows = slice(at, at + BATCH)
-                for i, gone, data in zip(frame["doc_id"].iloc[rows], none.iloc[rows], encode(frame["text"].iloc[rows].tolist())):
+        for batch in parts:
+            for at in range(0, batch.num_rows, BATCH):
+                rows = batch.slice(at, BATCH)
+                for i, data in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
                     n = len(data) // item
                     if size and size + n > shard:
                         yield closed()
                         ids, lengths, held, size, seq = [], [], [], 0, seq + 1
-                    ids.append(None if gone else int(i))
+                    ids.append(i)
                     lengths.append(n)
                     held.append(data)
                     size += n
         if ids:
             yield closed()
 
-    return durable(ordered.mapInPandas(shards, COLUMNS))
+    return durable(ordered.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(shards, COLUMNS))
 
 
 def read(shards: DataFrame) -> DataFrame:

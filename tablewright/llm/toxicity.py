@@ -24,9 +24,10 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import fold, if_small
+from tablewright.llm.common import fold, if_small, words
 from tablewright.session import durable
 
 HELD = 5  # rows whose fold is 0 are never learned from
@@ -87,10 +88,10 @@ def evidence(text: str | None, g: Grammar) -> tuple[float, float, int]:
     """(summed weight of matches, weight per hundred words, number of matches)."""
     total, matches, n, cache = 0.0, 0, 0, {}
     for clause in CLAUSE.split((text or "").lower()):
-        words = WORD.findall(clause)
-        n += len(words)
+        found = WORD.findall(clause)
+        n += len(found)
         classes, weights = [], {}
-        for i, w in enumerate(words):
+        for i, w in enumerate(found):
             got = cache.get(w)
             if got is None:
                 weight = _entry(w, g)
@@ -133,11 +134,18 @@ def score_text(text: str | None, g: Grammar) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows (text, toxic), at most ``SAMPLE``: those with the lowest hash of doc_id, never the held-out fold."""
+    """Training rows (text, toxic), at most ``SAMPLE``: those with the lowest hash of doc_id, never the held-out fold.
+
+    Of near copies, seen by the smallest hash of their three-word shingles, one stays, else their words would count many times.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(fold("doc_id", HELD) != 0)
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("_id"), "toxic")
-    return docs.select("doc_id", "text").join(if_small(picked), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(if_small(picked), F.col("doc_id") == F.col("_id")).withColumn("_w", words(F.lower("text")))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1)))
+    rows = rows.withColumn("_sign", F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, 3)))))
+    first = W.partitionBy("_sign").orderBy(F.desc("toxic"), F.xxhash64("text"))  # within the bounded sample
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("text", "toxic")
 
 
 def learn(train: DataFrame) -> Grammar:
