@@ -6,8 +6,8 @@ benchmark items. Matches of a document and an item at one offset form an alignme
 placeholders are compared: a re-parameterised question replaces equal slots by equal values, so the pairs must be one to one.
 A document is contaminated by an item if one consistent alignment covers at least ``COVERAGE`` of the item's windows.
 
-The documents are read once and never shuffled as text: a fixed-size table of window hashes of the benchmark thins the
-windows inside each row, and only the remaining ones (true matches and few chance ones) are joined, exactly.
+The documents are read once and never shuffled as text: a fixed-size table of the first two words of benchmark windows thins
+the windows inside each row, and only the remaining ones are joined, exactly.
 
 Defined cases: null or empty texts on either side match nothing; a text shorter than a window is one window and matches only whole
 texts; windows with fewer than ``LITERALS`` plain words are left out unless an item has no other; repeated rows give repeated
@@ -40,58 +40,72 @@ def _tokens(text: Column) -> Column:
 
     def marked(a: Column) -> Column:
         def unit(w: Column, i: Column) -> Column:
-            after_number = F.coalesce(F.get(a, i - 1).rlike("^[0-9]"), F.lit(False))
+            after_number = F.coalesce(_number(F.get(a, i - 1)), F.lit(False))
             return F.when(after_number & F.lower(w).isin(*UNITS), F.concat(F.lit(UNIT), w)).otherwise(w)
 
         return F.transform(a, unit)
 
-    return let(raw, marked)
+    return F.when(text.rlike("[0-9]"), let(raw, marked)).otherwise(raw)
+
+
+def _number(w: Column) -> Column:
+    return (w >= "0") & (w < ":")  # begins with a digit
 
 
 def _slot(w: Column) -> Column:
-    return w.rlike("^[0-9\u0001\u0002]")
+    return w.startswith(NAME) | w.startswith(UNIT) | _number(w)
 
 
 def _template(w: Column) -> Column:
-    return F.when(w.startswith(NAME), "<name>").when(w.startswith(UNIT), "<unit>").when(w.rlike("^[0-9]"), "<number>").otherwise(F.lower(w))
+    return F.when(w.startswith(NAME), "<name>").when(w.startswith(UNIT), "<unit>").when(_number(w), "<number>").otherwise(F.lower(w))
 
 
-def _windows(df: DataFrame, window: int) -> DataFrame:
-    """Adds _raw (words) and _keys (one hash for each window start)."""
+def _hashed(df: DataFrame) -> DataFrame:
+    """Adds _raw (words) and _t (hash of each template word)."""
     split = df.withColumn("_raw", _tokens(F.col("text")))
-    split = split.withColumn("_t", F.transform("_raw", lambda w: F.xxhash64(_template(w))))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - window + 1, F.lit(1)))
-    keys = F.when(F.size("_t") > 0, F.transform(starts, lambda i: F.xxhash64(F.slice("_t", i, window)))).otherwise(F.array().cast("array<bigint>"))
-    return split.withColumn("_keys", keys).drop("_t")
+    return split.withColumn("_t", F.transform("_raw", lambda w: F.xxhash64(_template(w))))
+
+
+def _starts(t: Column, window: int) -> Column:
+    """Window starts; a shorter text has one, an empty one none."""
+    some = F.sequence(F.lit(0), F.greatest(F.size(t) - window, F.lit(0)))
+    return F.when(F.size(t) > 0, some).otherwise(F.array().cast("array<int>"))
+
+
+def _first(t: Column, i: Column) -> Column:
+    """Cell of a window's first two words."""
+    return F.pmod(F.xxhash64(F.get(t, i), F.get(t, i + 1)), F.lit(CELLS)).cast("int")
 
 
-def _pieces(keys: Column, raw: Column, window: int) -> Column:
-    return F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"), F.slice(raw, i + 1, window).alias("w")))
+def _piece(t: Column, raw: Column, i: Column, window: int) -> Column:
+    return F.struct(F.xxhash64(F.slice(t, i + 1, window)).alias("k"), i.alias("i"), F.slice(raw, i + 1, window).alias("w"), _first(t, i).alias("first"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, k, j, words and n, the item's number of windows."""
     items = benchmark.select("item_id", "text").distinct().select("item_id", F.xxhash64("text").alias("_item"), "text")
-    cut = _windows(items, window)
-    rows = cut.select("item_id", "_item", F.explode(_pieces(F.col("_keys"), F.col("_raw"), window)).alias("p")).select("item_id", "_item", "p.k", F.col("p.i").alias("j"), F.col("p.w").alias("words"))
+    t, raw = F.col("_t"), F.col("_raw")
+    cut = _hashed(items).select("item_id", "_item", F.explode(F.transform(_starts(t, window), lambda i: _piece(t, raw, i, window))).alias("p"))
+    rows = cut.select("item_id", "_item", "p.k", F.col("p.i").alias("j"), F.col("p.w").alias("words"), "p.first")
     rows = rows.withColumn("_plain", (F.size(F.filter("words", lambda w: ~_slot(w))) >= LITERALS).cast("int"))
     item = W.partitionBy("item_id", "_item")  # one item's windows
     rows = rows.withColumn("_some", F.sum("_plain").over(item)).withColumn("_all", F.count(F.lit(1)).over(item)).where((F.col("_plain") == 1) | (F.col("_some") == 0))
-    return rows.select("item_id", "_item", "k", "j", "words", F.when(F.col("_some") > 0, F.col("_some")).otherwise(F.col("_all")).alias("n"))
+    return rows.select("item_id", "_item", "k", "j", "words", "first", F.when(F.col("_some") > 0, F.col("_some")).otherwise(F.col("_all")).alias("n"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, th (hash of the text), item_id, n_windows, matched, coverage, n_slots, n_changed for contaminated documents."""
     items = durable(item_windows(benchmark, window))
-    table = dense(items.select(F.pmod("k", F.lit(CELLS)).alias("_at"), F.lit(1.0).alias("_value")).distinct(), CELLS)
+    table = dense(items.select(F.col("first").alias("_at"), F.lit(1.0).alias("_value")).distinct(), CELLS)
     # the optimiser folds _seen into its one use, so the table is not copied into rows
-    cut = _windows(docs.select("doc_id", "text"), window).withColumn("_seen", table.scalar())
+    cut = _hashed(docs.select("doc_id", "text")).withColumn("_seen", table.scalar())
+    t, raw = F.col("_t"), F.col("_raw")
 
     def thinned(seen: Column) -> Column:
-        at = F.filter(F.transform("_keys", lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: F.get(seen, F.pmod(x["k"], F.lit(CELLS)).cast("int")) > 0)
-        return F.transform(at, lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i"), F.slice("_raw", x["i"] + 1, window).alias("w")))
+        return F.filter(_starts(t, window), lambda i: F.get(seen, _first(t, i)) > 0)
 
-    hits = cut.select("doc_id", F.xxhash64("text").alias("th"), F.explode(let(F.col("_seen"), thinned)).alias("h")).select("doc_id", "th", "h.*")
+    some = cut.select("doc_id", F.xxhash64("text").alias("th"), "_raw", "_t", let(F.col("_seen"), thinned).alias("_some"))
+    hits = some.select("doc_id", "th", F.explode(F.transform("_some", lambda i: _piece(t, raw, i, window))).alias("h")).select("doc_id", "th", "h.k", "h.i", "h.w")
     joined = hits.join(if_small(items, 200_000), "k")
     slots = F.filter(F.zip_with("w", "words", lambda d, b: F.struct(b.alias("b"), d.alias("d"))), lambda p: _slot(p["d"]))
     at = joined.select("doc_id", "th", "item_id", "_item", "n", "j", (F.col("i") - F.col("j")).alias("_off"), slots.alias("_slots"))
