@@ -18,19 +18,20 @@ ORDERED_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "dec
 
 # Accepted spellings of each operator.
 OPERATOR_SYNONYMS = {
-    "eq": ("=", "==", "is", "equals", "equal", "equal_to"),
+    "eq": ("=", "==", "is", "equals", "equal", "equal_to", "is_equal", "is_equal_to"),
     "neq": ("!=", "<>", "ne", "not_equal", "not_equals", "not_equal_to"),
     "gt": (">", "greater", "greater_than", "more_than", "above"),
-    "gte": (">=", "ge", "at_least", "not_less_than", "greater_equal", "greater_than_or_equal"),
+    "gte": (">=", "ge", "at_least", "not_less_than", "greater_equal", "greater_than_or_equal", "greater_than_or_equal_to"),
     "lt": ("<", "less", "less_than", "below"),
-    "lte": ("<=", "le", "at_most", "not_more_than", "less_equal", "less_than_or_equal"),
+    "lte": ("<=", "le", "at_most", "not_more_than", "less_equal", "less_than_or_equal", "less_than_or_equal_to"),
     "contains": (),
     "not_contains": ("does_not_contain",),
     "starts_with": (),
     "ends_with": (),
+    "matches": ("like", "regex", "regexp"),
     "between": ("range", "in_range", "within"),
-    "in": ("one_of", "belongs_to", "member_of"),
-    "not_in": ("nin", "not_one_of"),
+    "in": ("one_of", "belongs_to", "member_of", "contains_any", "in_list"),
+    "not_in": ("nin", "not_one_of", "not_in_list"),
     "is_null": ("isnull", "null", "missing", "empty"),
     "is_not_null": ("notnull", "not_null", "present", "not_empty"),
 }
@@ -124,6 +125,8 @@ def predicate(c: Column, dtype: str, operator: str, value=None, value_to=None, c
             return F.startswith(text, F.lit(needle))
         case "ends_with":
             return F.endswith(text, F.lit(needle))
+        case "matches":  # a regular expression found anywhere in the text
+            return c.cast("string").rlike(str(value) if case_sensitive else f"(?i){value}")
         case "in" | "not_in":
             hit = text_match(c, value, "eq", case_sensitive) if dtype == "string" else c.isin(list(value))
             return hit if op == "in" else c.isNull() | ~hit

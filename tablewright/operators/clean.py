@@ -38,7 +38,7 @@ def fill_nulls(df: DataFrame, cols: list[str], strategy: str, value=None) -> Dat
     if strategy == "empty_string":
         return df.fillna("", subset=cols)
     if strategy == "constant":
-        return df.withColumns({c: F.coalesce(F.col(c), F.lit(value)) for c in cols})
+        return df.withColumns({c: _filled(F.col(c), types(df)[c], value) for c in cols})
     if strategy in ("mean", "median"):
         cols = [c for c in cols if is_numeric(types(df)[c])]
     if not cols:
@@ -54,6 +54,12 @@ def fill_nulls(df: DataFrame, cols: list[str], strategy: str, value=None) -> Dat
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items() if v is not None})
 
 
+def _filled(c, dtype: str, value):
+    """A constant that does not fit the column's type turns the column into text."""
+    fits = value is None or isinstance(value, str) == (dtype == "string")
+    return F.coalesce(c, F.lit(value)) if fits else F.coalesce(c.cast("string"), F.lit(str(value)))
+
+
 def most_frequent(df: DataFrame, column: str):
     """Most frequent value, the smallest among ties; one row reaches the driver."""
     top = (
@@ -124,19 +130,19 @@ def ordered_distinct(df: DataFrame, column: str, order: str) -> DataFrame:
     return df.groupBy(column).agg(F.min(order).alias("first_seen")).orderBy("first_seen", column)
 
 
-def normalize_categories(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Title case and short forms, only for columns of at most 50 distinct values.
+def normalize_categories(df: DataFrame, cols: list[str] | None = None, limit: int = CATEGORY_LIMIT) -> DataFrame:
+    """Title case and short forms, only for columns of at most ``limit`` distinct values.
 
-    The gate needs exact counts: an approximate count far from the limit settles most columns, exact
-    counting is done only for columns near it.
+    The gate is exact at bounded cost: of each column's distinct values one more than the limit is counted.
     """
     names = string_columns(df, cols)
     if not names:
         return df
-    rough = df.agg(*[F.approx_count_distinct(X.strip_ws(F.col(c)), 0.02).alias(c) for c in names]).first()
-    near = [c for c in names if 0.8 * CATEGORY_LIMIT < rough[c] < 1.25 * CATEGORY_LIMIT]
-    exact = df.agg(*[F.count_distinct(X.strip_ws(F.col(c))).alias(c) for c in near]).first() if near else {}
-    chosen = [c for c in names if (exact[c] if c in near else rough[c]) <= CATEGORY_LIMIT]
+
+    def few(c: str) -> bool:
+        return df.select(X.strip_ws(F.col(c)).alias("v")).where("v IS NOT NULL").distinct().limit(limit + 1).count() <= limit
+
+    chosen = [c for c in names if few(c)]
     pairs = [F.lit(x) for kv in CATEGORY_SYNONYMS.items() for x in kv]
 
     def canonical(c):

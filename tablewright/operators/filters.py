@@ -74,10 +74,10 @@ def filter_rows(df: DataFrame, conditions: list[Condition], logic: str = "and",
         require(df, select)
     test = P.combine([condition_column(df, c) for c in conditions], logic)
     out = df.where(~F.coalesce(test, F.lit(False)) if mode == "drop" else test) if conditions else df
-    if limit and order:
-        out = out.orderBy(*order)
     if limit:
-        out = out.limit(limit)
+        if not order:
+            raise ValueError("limit needs an order: rows of a distributed table have none")
+        out = out.orderBy(*order).limit(limit)
     return out.select(*select) if select else out
 
 

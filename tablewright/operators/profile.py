@@ -18,7 +18,6 @@ from tablewright.operators.columns import is_numeric
 from tablewright.operators.rows import first_per_key
 
 SAMPLE_VALUES = 5
-HEAD_VALUES = 20
 LARGE_BYTES = 50_000_000
 
 # Name parts behind the semantic guess of a column.
@@ -136,13 +135,22 @@ def _has(c: Column, hints) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(h)) for h in hints])
 
 
-def head_shares(df: DataFrame, order: Column) -> DataFrame:
-    """Share of dates and of money signs among the first 20 values of each text column."""
+def head_shares(df: DataFrame, order: Column | None = None, head: int | None = None) -> DataFrame:
+    """(column, date_share, money_share) of each text column, over all its values in one aggregation.
+
+    ``head`` limits the test to that many first values by ``order``.
+    """
     texts = [c for c, t in df.dtypes if t == "string"]
-    heads = first_per_key(cells(df, order, texts), ["column"], [F.asc("first"), F.asc("value")], HEAD_VALUES)
-    return heads.groupBy("column").agg(
-        F.avg(V.to_timestamp(F.col("value")).isNotNull().cast("int")).alias("date_share"),
-        F.avg(F.col("value").rlike(MONEY_SIGNS).cast("int")).alias("money_share"))
+    date, money = lambda c: V.to_timestamp(c).isNotNull().cast("int"), lambda c: c.rlike(MONEY_SIGNS).cast("int")
+    if head is not None:
+        heads = first_per_key(cells(df, order, texts), ["column"], [F.asc("first"), F.asc("value")], head)
+        return heads.groupBy("column").agg(F.avg(date(F.col("value"))).alias("date_share"), F.avg(money(F.col("value"))).alias("money_share"))
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, date_share double, money_share double")
+    cell = {i: F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`")) for i, c in enumerate(texts)}
+    aggs = [f(c).alias(f"{k}{i}") for i, c in cell.items() for k, f in (("d", lambda c: F.avg(F.when(c.isNotNull(), date(c)))), ("m", lambda c: F.avg(F.when(c.isNotNull(), money(c)))))]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("date_share"), F.col(f"m{i}").alias("money_share")) for i, c in enumerate(texts)])
+    return df.agg(*aggs).select(F.inline(rows)).where("date_share IS NOT NULL")
 
 
 def semantic_guesses(profile: DataFrame, shares: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ keeps three rows per rule before anything is shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ SAMPLES = 3
 class Rule:
     column: str
     rule: str
-    severity: str = "warning"
+    severity: str | None = None  # None: error for the rules in ERRORS, else warning
     reason: str = ""
     value: str | None = None
     values: Sequence[str] = ()
@@ -32,6 +32,13 @@ class Rule:
     compare_column: str | None = None
     operator: str | None = None
 
+    @property
+    def level(self) -> str:
+        return self.severity or ("error" if self.rule in ERRORS else "warning")
+
+
+# Rules whose violations are errors unless stated otherwise.
+ERRORS = ("required", "unique", "not_allowed_values", "cross_field_compare")
 
 COMPARE = {
     "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
@@ -49,11 +56,16 @@ def _outside(x: Column, low, high, kind: str) -> Column:
 
 
 def violation(rule: Rule, now: str | None = None) -> Column:
-    """Never-null test that is true for a value that breaks the rule. Nulls only break ``required``."""
+    """Never-null test that is true for a value that breaks the rule. Nulls only break ``required``.
+
+    Blank fragments and empty value lists state no rule: nothing breaks them.
+    """
     c = F.col(rule.column).cast("string")
     number = V.to_number(c)
     fragment = "".join(ch for ch in (rule.value or "").lower() if ch.isascii() and ch.isalnum())
-    upper = [v.strip().upper() for v in rule.values]
+    upper = [v.strip().upper() for v in rule.values if v is not None and v.strip()]
+    if (rule.rule in ("forbidden_substring", "contains") and not fragment) or (rule.rule in ("allowed_values", "not_allowed_values") and not upper):
+        return F.lit(False)
     match rule.rule:
         case "required":
             return c.isNull() | (X.strip_ws(c) == "")
@@ -110,7 +122,7 @@ def _expand(df: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
     out = []
     for r in rules:
         if r.column == "*":
-            out += [Rule(c, r.rule, r.severity, r.reason, r.value, r.values) for c in df.columns]
+            out += [replace(r, column=c) for c in df.columns]
         elif r.column in df.columns and (r.compare_column is None or r.compare_column in df.columns):
             out.append(r)
     return out
@@ -147,6 +159,8 @@ def _unique_rule(df: DataFrame, no: int, rule: Rule, order: list[str]) -> DataFr
 def validate(df: DataFrame, rules: Sequence[Rule], order: list[str], now: str | None = None) -> DataFrame:
     """One row per broken rule: column, rule, severity, reason, invalid_count, samples (first three)."""
     numbered = list(enumerate(_expand(df, rules)))
+    if not numbered:
+        return df.sparkSession.createDataFrame([], "column string, rule string, severity string, reason string, invalid_count bigint, samples array<string>")
     row_rules = [(i, r) for i, r in numbered if r.rule != "unique"]
     parts = [_row_rules(df, row_rules, order, now)] if row_rules else []
     parts += [_unique_rule(df, i, r, order) for i, r in numbered if r.rule == "unique"]
@@ -155,7 +169,7 @@ def validate(df: DataFrame, rules: Sequence[Rule], order: list[str], now: str |
         found = found.unionByName(p)
     # the rule list is code, so naming each result needs no join
     facts = F.array(*[F.struct(F.lit(r.column).alias("column"), F.lit(r.rule).alias("rule"),
-                               F.lit(r.severity).alias("severity"), F.lit(r.reason).alias("reason")) for _, r in numbered])
+                               F.lit(r.level).alias("severity"), F.lit(r.reason).alias("reason")) for _, r in numbered])
     named = found.withColumn("_f", F.element_at(facts, F.col("rule_no") + 1))
     return named.select("_f.column", "_f.rule", "_f.severity", "_f.reason", "invalid_count", "samples")
 

@@ -29,8 +29,13 @@ def compact(c):
     return f"regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g')"
 
 
+def stated(rule) -> str:
+    """Severity the SQL side expects, written out here so that the rules' own defaults are checked."""
+    return rule.severity or {"required": "error", "unique": "error", "not_allowed_values": "error", "cross_field_compare": "error"}.get(rule.rule, "warning")
+
+
 def rule_sql(rule: Rule, bad: str, shown: str | None = None, source="sheet", order="id"):
-    return f"""SELECT '{rule.column}' AS "column", '{rule.rule}' AS rule, '{rule.severity}' AS severity, '{rule.reason}' AS reason,
+    return f"""SELECT '{rule.column}' AS "column", '{rule.rule}' AS rule, '{stated(rule)}' AS severity, '{rule.reason}' AS reason,
   count(*) AS invalid_count, array_to_string((list({shown or rule.column} ORDER BY {order}))[1:3], '|') AS samples
 FROM {source} WHERE {bad} HAVING count(*) > 0"""
 
@@ -97,7 +102,7 @@ FILTERS = [{"mode": "keep", "column": "gender", "op": "in", "value": ["male", "m
 @query("v16_rules_from_filters", "\nUNION ALL\n".join([
     rule_sql(Rule("gender", "allowed_values", reason="Instruction filters on gender."), "upper(gender) NOT IN ('MALE', 'M')"),
     rule_sql(Rule("segment", "forbidden_substring", reason="Instruction filters on segment."), f"contains({compact('segment')}, 'build')"),
-    rule_sql(Rule("active_text", "not_allowed_values", reason="Instruction filters on active_text."), "upper(active_text) = 'NO'")]), uses=("sheet",))
+    rule_sql(Rule("active_text", "not_allowed_values", "warning", reason="Instruction filters on active_text."), "upper(active_text) = 'NO'")]), uses=("sheet",))
 def from_filters(spark, sf):
     return flat(Q.validate(view(spark, sf, "sheet"), Q.rules_from_filters(FILTERS), ["id"]))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.queries.base import query, table, view
-from tablewright.session import shared_folder
+from tablewright.session import durable, shared_folder
 from tablewright.sources import files as R
 from tablewright.sources import sinks as W
 
@@ -86,14 +86,26 @@ def file_facts(spark, sf):
 
 
 @query("s08_drift_check", """
-SELECT 'lineitem' AS part, 'same' AS verdict FROM lineitem HAVING count(*) > 0
-UNION ALL SELECT 'orders', 'changed' FROM orders HAVING count(*) > 0 UNION ALL SELECT 'part', 'missing' FROM part HAVING count(*) > 0""")
+SELECT 'region' AS part, CASE WHEN EXISTS (SELECT r_regionkey, r_name FROM region EXCEPT SELECT r_regionkey, r_name FROM region) THEN 'changed' ELSE 'same' END AS verdict
+UNION ALL SELECT 'orders', CASE WHEN EXISTS (SELECT o_orderkey, o_orderstatus FROM orders EXCEPT SELECT o_orderkey, lower(o_orderstatus) FROM orders) THEN 'changed' ELSE 'same' END
+UNION ALL SELECT 'part', CASE WHEN EXISTS (SELECT 1 FROM part) THEN 'missing' END""")
 def drift(spark, sf):
-    now = R.file_facts(spark, f"{sf}/*.parquet").withColumn("part", F.regexp_extract("path", r"(\w+)\.parquet$", 1))
-    known = now.where(F.col("part").isin("lineitem", "orders", "part"))
-    before = known.withColumn("fingerprint", F.when(F.col("part") == "orders", F.lit("0" * 64)).otherwise(F.col("fingerprint")))
-    current = known.where("part <> 'part'")
-    return R.drifted(before, current).select(F.regexp_extract("path", r"(\w+)\.parquet$", 1).alias("part"), "verdict")
+    """Two listings of written tables; between them one is written again as it was, one changed, and one leaves the list."""
+    folder = shared_folder(spark)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    regions = table(spark, sf, "region").select("r_regionkey", "r_name")
+
+    def facts(names):
+        return durable(R.folder_facts(R.file_facts(spark, [f"{folder}/{n}/part-*" for n in names])))
+
+    regions.write.csv(f"{folder}/region")
+    orders.write.csv(f"{folder}/orders")
+    table(spark, sf, "part").select("p_partkey", "p_name").write.csv(f"{folder}/part")
+    before = facts(["region", "orders", "part"])
+    regions.write.mode("overwrite").csv(f"{folder}/region")
+    orders.withColumn("o_orderstatus", F.lower("o_orderstatus")).write.mode("overwrite").csv(f"{folder}/orders")
+    out = R.drifted(before, facts(["region", "orders"]))
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("part"), "verdict")
 
 
 @query("s09_csv_sink", "SELECT cast(event_id AS string) AS event_id, event_type, CASE WHEN event_id % 10 > 2 THEN cast(value AS string) END AS value FROM events")

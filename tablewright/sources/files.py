@@ -62,19 +62,31 @@ def preview(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("row_count", total)
 
 
-def file_facts(spark: SparkSession, path: str) -> DataFrame:
+def file_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, size_bytes, fingerprint): SHA-256 of the bytes of each file."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("fingerprint"))
 
 
-def drifted(profiled: DataFrame, current: DataFrame, max_bytes: int = 100 * 1024 * 1024) -> DataFrame:
-    """(path, verdict) for every profiled file: same, changed, missing or too large."""
+def folder_facts(files: DataFrame) -> DataFrame:
+    """File facts folded to their folders: total size, and one fingerprint over the sorted fingerprints of the files."""
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    prints = F.array_sort(F.collect_list("fingerprint"))  # one folder's files
+    return files.groupBy(parent.alias("path")).agg(F.sum("size_bytes").alias("size_bytes"), F.sha2(F.concat_ws(",", prints), 256).alias("fingerprint"))
+
+
+def drifted(profiled: DataFrame, current: DataFrame, max_bytes: int | None = None, formats: list[str] | None = None) -> DataFrame:
+    """(path, verdict, size_bytes, too_large, known_format) for every profiled path; the verdict is same, changed or missing.
+
+    ``max_bytes`` and ``formats`` (file name endings) only fill their own columns; without them these are false and true.
+    """
     now = current.select("path", F.col("fingerprint").alias("_now"), F.col("size_bytes").alias("_size"))
     verdict = (
-        F.when(F.col("_now").isNull(), "missing").when(F.col("_size") > max_bytes, "too large")
-        .when(F.col("_now") == F.col("fingerprint"), "same").otherwise("changed"))
-    return profiled.join(now, "path", "left").select("path", verdict.alias("verdict"))
+        F.when(F.col("_now").isNull(), "missing").when(F.col("_now") == F.col("fingerprint"), "same").otherwise("changed"))
+    large = F.lit(False) if max_bytes is None else F.coalesce(F.col("_size") > max_bytes, F.lit(False))
+    known = F.lit(True) if formats is None else F.lower(F.regexp_extract("path", r"([^./]+)$", 1)).isin([f.lower().lstrip(".") for f in formats])
+    return profiled.join(now, "path", "left").select(
+        "path", verdict.alias("verdict"), F.col("_size").alias("size_bytes"), large.alias("too_large"), known.alias("known_format"))
 
 
 def read_job_table(spark: SparkSession, name: str, folder: str | None = None, jdbc: dict | None = None,

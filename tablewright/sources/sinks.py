@@ -64,17 +64,19 @@ def write_bundle(path: str, cleaned: DataFrame, filtered: DataFrame | None = Non
     return list(tables)
 
 
-def replace_records(records: DataFrame, path: str, key: str) -> None:
+def replace_records(records: DataFrame, path: str, key: str, buckets: int = 256) -> None:
     """Replace all records of the keys in this batch and leave the others alone.
 
+    ``buckets`` is a property of the table: choose it at its first write so that one bucket is cheap to rewrite, and
+    give the same number with every later batch.
+
     Keys are grouped into buckets; a touched bucket is rewritten from its other keys and the new records, and
     swapped in by dynamic partition overwrite after the rewrite has been made durable.
     """
     from tablewright.session import durable
 
     spark = records.sparkSession
-    buckets = F.pmod(F.xxhash64(key), F.lit(256)).alias("bucket")
-    fresh = durable(records.withColumn("bucket", buckets))
+    fresh = durable(records.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))))
     reader = spark.read.schema(fresh.schema)
     try:
         old = reader.parquet(path)

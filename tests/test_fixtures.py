@@ -182,13 +182,15 @@ def test_token_and_name_scores(spark):
     assert column(one(spark, ["XMLParser"]), X.name_tokens(F.col("c"))) == [["xml", "parser"]]
 
 
-def test_blocks_of_a_wide_catalogue_give_the_same_best(spark, monkeypatch):
-    names = [f"field_{i}" for i in range(40)] + ["unit_price"]
+def test_a_wide_catalogue_has_the_same_schema(spark):
     asked = spark.createDataFrame([("unit price",), ("field 7",)], "requested string").withColumn("f", M.features(F.col("requested")))
-    whole = {r.requested: r.column for r in M.top_columns(asked, ["requested"], M.name_catalogue(spark, names), lambda c: M.token_overlap(F.col("f"), c["f"])).collect()}
-    monkeypatch.setattr(M, "BLOCK", 7)
-    cut = {r.requested: r.column for r in M.top_columns(asked, ["requested"], M.name_catalogue(spark, names), lambda c: M.token_overlap(F.col("f"), c["f"])).collect()}
-    assert whole == cut == {"unit price": "unit_price", "field 7": "field_7"}
+    for width in (40, 900):
+        names = M.name_catalogue(spark, [f"field_{i}" for i in range(width)] + ["unit_price"])
+        best = M.top_columns(asked, ["requested"], names, lambda c: M.token_overlap(F.col("f"), c["f"]))
+        assert best.columns == ["requested", "score", "column"]
+        assert {r.requested: r.column for r in best.collect()} == {"unit price": "unit_price", "field 7": "field_7"}
+        two = M.top_columns(asked, ["requested"], names, lambda c: M.token_overlap(F.col("f"), c["f"]), k=2)
+        assert two.columns == ["requested", "rank", "score", "column"] and two.count() == 4
 
 
 def test_private_records(spark):
@@ -321,3 +323,49 @@ def test_warnings_of_ordered_calculations(spark):
     out = calculate(df, [{"type": "running_total", "column": "v", "sort_by": ["id"], "output_column": "run"}, {"type": "ratio", "column": "v", "secondary_column": "z"}])
     assert len(out.warnings) == 2 and "shop" in out.warnings[0] and "5 rows" in out.warnings[1]
     assert [r.run for r in out.df.orderBy("id").collect()] == [sum(range(i + 1)) for i in range(10)]
+
+
+def test_blank_rules_state_nothing(spark):
+    df = spark.createDataFrame([("a", "x"), (None, "y")], "c string, d string")
+    rules = [Q.Rule("c", "forbidden_substring", value="--"), Q.Rule("c", "contains", value=None), Q.Rule("c", "allowed_values", values=()), Q.Rule("c", "allowed_values", values=(" ",)),
+             Q.Rule("c", "not_allowed_values", values=(None,))]
+    assert Q.validate(df, rules, ["d"]).count() == 0
+    none = Q.validate(df, [Q.Rule("absent", "required")], ["d"])
+    assert none.count() == 0 and none.columns == ["column", "rule", "severity", "reason", "invalid_count", "samples"]
+
+
+def test_rule_defaults_and_star(spark):
+    df = spark.createDataFrame([("5", "50"), ("200", None)], "a string, b string")
+    got = {(r.column, r.rule): (r.severity, r.invalid_count) for r in Q.validate(df, [Q.Rule("*", "numeric_range", low=0, high=100), Q.Rule("b", "required")], ["a"]).collect()}
+    assert got == {("a", "numeric_range"): ("warning", 1), ("b", "required"): ("error", 1)}
+
+
+def test_constant_of_another_type(spark):
+    from tablewright.operators.clean import fill_nulls
+
+    df = spark.createDataFrame([(1, None), (None, "x")], "n int, s string")
+    assert [tuple(r) for r in fill_nulls(df, ["n", "s"], "constant", "none").collect()] == [("1", "none"), ("none", "x")]
+    assert [tuple(r) for r in fill_nulls(df, ["n"], "constant", 7).collect()] == [(1, None), (7, "x")]
+
+
+def test_operator_words(spark):
+    from tablewright.functions import predicates as P
+
+    words = {"is_equal": "eq", "greater_than_or_equal_to": "gte", "less_than_or_equal_to": "lte", "contains_any": "in", "not_in_list": "not_in", "like": "matches", "Regex": "matches"}
+    assert {w: P.canonical_operator(w) for w in words} == words
+    df = spark.createDataFrame([("Alpha",), ("beta",), (None,)], "c string")
+    assert [r.c for r in df.where(P.predicate(F.col("c"), "string", "like", "^al")).collect()] == ["Alpha"]
+
+
+def test_snake_case_after_a_sign():
+    from tablewright.operators.columns import snake_name
+
+    assert [snake_name(n) for n in ("Price/Unit", "HTTPServer", "totalAmount", "Order ID", "XMLParser")] == ["price/_unit", "http_server", "total_amount", "order_id", "xml_parser"]
+
+
+def test_limit_needs_an_order(spark):
+    from tablewright.operators.filters import filter_rows
+
+    with pytest.raises(ValueError):
+        filter_rows(spark.range(3), [], limit=1)
+    assert [r.id for r in filter_rows(spark.range(3), [], limit=2, order=["id"]).collect()] == [0, 1]
