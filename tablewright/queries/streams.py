@@ -8,6 +8,7 @@ from tablewright.queries.base import query, table
 from tablewright.session import shared_folder
 from tablewright.streaming import events as E
 
+UNORDERED = "4000 days"  # the written files come in no order of time, so nothing in them may count as late
 DOUBLE = "SELECT event_id, ts, user_id, event_type FROM events UNION ALL SELECT event_id, ts + INTERVAL 10 MINUTE, user_id, 'again' FROM events"
 
 
@@ -22,8 +23,8 @@ def stream(spark, sf, df=None):
     if df is None:
         return E.read_events(spark, sf, table(spark, sf, "events").schema, "events.parquet")
     folder = shared_folder(spark)
-    df.write.parquet(folder)
-    return E.read_events(spark, folder, df.schema, files_per_batch=1000)
+    df.repartition(6, "event_id").write.parquet(folder)
+    return E.read_events(spark, folder, df.schema, files_per_batch=2)  # several micro-batches, so that state is carried
 
 
 def drained(spark, df, mode="append"):
@@ -39,7 +40,7 @@ def once(spark, sf):
 
 @query("x01_once_stream", "SELECT event_id, user_id FROM events")
 def once_stream(spark, sf):
-    unique = E.once(stream(spark, sf, doubled(spark, sf)))
+    unique = E.once(stream(spark, sf, doubled(spark, sf)), lateness=UNORDERED)
     return drained(spark, unique).select("event_id", "user_id")
 
 
@@ -62,23 +63,41 @@ STATUS = "CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'Partia
 ERROR = "CASE WHEN event_id % 4 = 0 THEN 'broken' ELSE ' ' END"
 
 
-@query("x03_roll_forward", f"""
+ROLLED = f"""
 WITH c AS (SELECT user_id AS job_id, ts, event_id, {STATUS} AS status, {ERROR} AS error, event_type FROM events),
 m AS (SELECT *, CASE WHEN status IN ('completed', 'complete') THEN CASE WHEN trim(error) <> '' THEN 'failed' ELSE 'succeeded' END WHEN status = 'Partial' THEN 'failed' ELSE status END AS state FROM c),
 l AS (SELECT job_id, state, ts, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS rn FROM m),
 e AS (SELECT job_id, string_agg(concat('last_', event_type, '=', event_id), ',' ORDER BY event_type) AS t FROM (SELECT job_id, event_type, event_id, row_number() OVER (PARTITION BY job_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM m) WHERE rn = 1 GROUP BY 1)
-SELECT l.job_id, state AS status, concat('intent_id=old,', t, ',status=', state) AS summary, strftime(ts, '%Y-%m-%d %H:%M:%S') AS completed_at FROM l JOIN e USING (job_id) WHERE rn = 1""")
-def roll_forward(spark, sf):
+SELECT l.job_id, state AS status, concat('intent_id=old,', t, ',status=', state) AS summary, strftime(ts, '%Y-%m-%d %H:%M:%S') AS completed_at FROM l JOIN e USING (job_id) WHERE rn = 1"""
+
+
+def jobs_and_callbacks(spark, sf):
     ev = table(spark, sf, "events")
     summary = F.create_map(F.concat(F.lit("last_"), F.col("event_type")), F.col("event_id").cast("string"), F.lit("intent_id"), F.lit("new"), F.lit("status"), F.lit("x"))
     callbacks = ev.select(F.col("user_id").alias("job_id"), "ts", "event_id", F.expr(STATUS).alias("status"), F.expr(ERROR).alias("error"), summary.alias("summary"))
     jobs = ev.select(F.col("user_id").alias("job_id")).distinct().select(
         "job_id", F.lit("queued").alias("status"), F.create_map(F.lit("intent_id"), F.lit("old"), F.lit("status"), F.lit("queued")).alias("summary"))
-    out = E.roll_forward(jobs, callbacks)
+    return jobs, callbacks
+
+
+def shown_jobs(out):
     pairs = F.array_sort(F.transform(F.map_entries("summary"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return out.select("job_id", "status", F.array_join(pairs, ",").alias("summary"), F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at"))
 
 
+@query("x03_roll_forward", ROLLED)
+def roll_forward(spark, sf):
+    return shown_jobs(E.roll_forward(*jobs_and_callbacks(spark, sf)))
+
+
+@query("x03_roll_forward_stream", ROLLED)
+def roll_forward_stream(spark, sf):
+    jobs, callbacks = jobs_and_callbacks(spark, sf)
+    out = shared_folder(spark)
+    E.run_to_end(stream(spark, sf, callbacks), f"{out}/checkpoint", E.roll_forward_into(f"{out}/data"))
+    return shown_jobs(E.rolled_forward(spark, f"{out}/data", jobs))
+
+
 TREND = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
 
@@ -89,14 +108,11 @@ def trend(spark, sf):
 
 @query("x04_daily_trend_stream", TREND)
 def trend_stream(spark, sf):
-    """Complete mode: with one finite source, windows inside the watermark would otherwise never close."""
+    """Update mode into a keyed table: each micro-batch logs only the counts it changed, and counts only grow."""
     out = shared_folder(spark)
-
-    def whole(df, batch):  # complete mode hands over the whole result each time
-        df.write.mode("overwrite").parquet(f"{out}/data")
-
-    E.run_to_end(E.daily_trend(stream(spark, sf)), f"{out}/checkpoint", whole, "complete")
-    return spark.read.parquet(f"{out}/data")
+    events = stream(spark, sf, table(spark, sf, "events").drop("props"))
+    E.run_to_end(E.daily_trend(events, lateness=UNORDERED), f"{out}/checkpoint", E.upsert_into(f"{out}/data", ["day", "event_type"], ["n"]), "update")
+    return E.current(spark, f"{out}/data", ["day", "event_type"], ["n"])
 
 
 @query("x05_session_expiry", """
@@ -130,6 +146,17 @@ def sliding(spark, sf):
     return E.bursts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "1 hour", 2, "10 minutes")
 
 
+TUMBLING = """
+SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2"""
+
+
+@query("x06_bursts_tumbling_stream", TUMBLING)
+def tumbling_stream(spark, sf):
+    out = shared_folder(spark)
+    E.run_to_end(E.bursts(stream(spark, sf), "user_id", "1 hour", 2), f"{out}/checkpoint", E.upsert_into(f"{out}/data", ["user_id", "window_start"], ["n"]), "update")
+    return E.current(spark, f"{out}/data", ["user_id", "window_start"], ["n"])
+
+
 @query("x06_bursts_log", """
 SELECT user_id, at_us, n FROM (SELECT user_id, at_us, cast(count(*) OVER (PARTITION BY user_id ORDER BY at_us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS n
   FROM (SELECT user_id, epoch_us(ts) AS at_us FROM events)) WHERE n > 2 GROUP BY 1, 2, 3""")
@@ -156,10 +183,17 @@ def routes_stream(spark, sf):
     df = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     twice = df.union(df)
     out = shared_folder(spark)
-    E.run_to_end(with_status(E.once(stream(spark, sf, twice))), f"{out}/checkpoint", E.route_into(f"{out}/data"))
+    E.run_to_end(with_status(E.once(stream(spark, sf, twice), lateness=UNORDERED)), f"{out}/checkpoint", E.route_into(f"{out}/data"))
     return spark.read.parquet(f"{out}/data").select("event_id", "route")
 
 
 @query("x08_live_alerts", "SELECT event_id, 'again' AS event_type FROM events ORDER BY ts + INTERVAL 10 MINUTE DESC, event_id DESC LIMIT 500")
 def alerts(spark, sf):
     return E.live_alerts(doubled(spark, sf)).select("event_id", "event_type")
+
+
+@query("x08_live_alerts_stream", "SELECT event_id, 'again' AS event_type FROM events ORDER BY ts + INTERVAL 10 MINUTE DESC, event_id DESC LIMIT 500")
+def alerts_stream(spark, sf):
+    out = shared_folder(spark)
+    E.run_to_end(stream(spark, sf, doubled(spark, sf)), f"{out}/checkpoint", E.upsert_into(f"{out}/data", ["event_id"], ["ts"]))
+    return E.live_alerts(E.current(spark, f"{out}/data", ["event_id"], ["ts"])).select("event_id", "event_type")

@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.convert import merge_json_maps
-from tablewright.operators.kpi import normalized_status
+from tablewright.operators.kpi import STATUSES, normalized_status
 from tablewright.operators.rows import first_per_key
 
 LATENESS = "1 day"
@@ -26,6 +25,9 @@ SESSION_MINUTES = 30
 CALLBACK_STATUS = {"complete": "succeeded", "completed": "succeeded", "succeeded": "succeeded", "failed": "failed", "partial": "failed",
                    "quarantined": "quarantined", "callback_failed": "callback_failed", "declined": "declined"}
 
+# End states that a payload may report about itself.
+REPORTED = {"failed": "failed", "partial": "failed", "quarantined": "quarantined", "complete": "succeeded", "completed": "succeeded", "succeeded": "succeeded"}
+
 # Keys of a job summary that a callback never changes.
 PROTECTED_KEYS = (
     "canonical_intent", "canonical_intent_schema_version", "canonical_intent_status", "intent_id", "intent_revision", "intent_hash",
@@ -57,19 +59,8 @@ def save_batch(path: str) -> Callable[[DataFrame, int], None]:
 
 # -- each event once ------------------------------------------------------------------------------------------------
 
-def thinned(events: DataFrame, key: str) -> DataFrame:
-    """Keep the earliest row per key of each Arrow batch: copies of a hot key go before the shuffle to the state."""
-    def keep(batches):
-        for b in batches:
-            frame = pd.DataFrame({"k": b.column(key).to_pandas(), "t": b.column("ts").to_pandas()})
-            rows = frame.sort_values("t", kind="stable").drop_duplicates("k").index.sort_values()
-            yield b.take(pa.array(rows))
-
-    return events.mapInArrow(keep, events.schema)
-
-
 def once(events: DataFrame, key: str = "event_id", lateness: str = LATENESS) -> DataFrame:
-    return thinned(events, key).withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
+    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
 
 
 def once_batch(events: DataFrame, key: str = "event_id") -> DataFrame:
@@ -101,23 +92,35 @@ def current(spark: SparkSession, path: str, keys: list[str], order: list[str]) -
 
 # -- job state from callbacks -----------------------------------------------------------------------------------------
 
-def callback_status(status: Column, error: Column) -> Column:
-    """Job state of a callback; one that claims success but carries an error has failed."""
-    key = F.trim(F.lower(status))
-    pairs = [F.lit(x) for kv in CALLBACK_STATUS.items() for x in kv]
-    mapped = F.coalesce(F.try_element_at(F.create_map(*pairs), key), normalized_status(status))
-    return F.when((mapped == "succeeded") & (F.coalesce(F.trim(error), F.lit("")) != ""), "failed").otherwise(mapped)
+def callback_status(status: Column, error: Column, errors: Column | None = None, reported: Column | None = None) -> Column:
+    """Job state of a callback, null for an unknown or missing word: such a callback is rejected.
+
+    One that claims success but carries an error, or any entry in its ``errors`` list, has failed. ``reported`` is the status inside
+    the callback's own payload; where it names an end state and no error overrides, it decides.
+    """
+    known = {**{w: w for w in STATUSES}, **CALLBACK_STATUS}
+    mapped = F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.trim(F.lower(status)))
+    broken = F.coalesce(F.trim(error), F.lit("")) != ""
+    if errors is not None:
+        broken = broken | F.coalesce(F.exists(errors, lambda e: F.coalesce(F.trim(e), F.lit("")) != ""), F.lit(False))
+    state = F.when((mapped == "succeeded") & broken, "failed")
+    if reported is not None:
+        own = F.try_element_at(F.create_map(*[F.lit(x) for kv in REPORTED.items() for x in kv]), F.trim(F.lower(reported)))
+        state = state.when(mapped.isNotNull() & own.isNotNull(), own)
+    return state.otherwise(mapped)
 
 
 def roll_forward(jobs: DataFrame, callbacks: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Jobs (job_id, status, summary map) after all callbacks (job_id, ts, event_id, status, error, summary map).
 
-    The state comes from the last callback. Of the summary each key keeps its last value, so the fold over the
+    Optional columns of the callbacks: ``errors`` (array) and ``reported`` (the payload's own status). Callbacks with an unknown
+    status change nothing. The state comes from the last callback. Of the summary each key keeps its last value, so the fold over the
     callbacks of a job is a grouped maximum per key and a job with very many callbacks needs no single task.
     """
     at = F.struct(*order)
-    last = callbacks.groupBy(job).agg(
-        F.max_by(callback_status(F.col("status"), F.col("error")), at).alias("_status"), F.max("ts").alias("completed_at"))
+    more = [F.col(c) if c in callbacks.columns else None for c in ("errors", "reported")]
+    callbacks = callbacks.withColumn("_state", callback_status(F.col("status"), F.col("error"), *more)).where("_state IS NOT NULL")
+    last = callbacks.groupBy(job).agg(F.max_by("_state", at).alias("_status"), F.max("ts").alias("completed_at"))
     entries = callbacks.select(job, at.alias("_at"), F.explode("summary").alias("_k", "_v"))
     newest = entries.groupBy(job, "_k").agg(F.max_by("_v", "_at").alias("_v"))
     maps = newest.groupBy(job).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("_new"))  # one entry per distinct key
@@ -176,7 +179,7 @@ def expire_sessions(sessions: DataFrame, lateness: str = LATENESS, minutes: int
             state.update((start, deadline))
             state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
 
-    grouped = thinned(sessions, "session_id").withWatermark("ts", lateness).groupBy("session_id")
+    grouped = sessions.withWatermark("ts", lateness).groupBy("session_id")
     return grouped.applyInPandasWithState(expire, EXPIRED, HELD, "append", "EventTimeTimeout")
 
 

@@ -29,3 +29,11 @@ def test_a_batch_that_runs_twice_replaces_itself(spark, tmp_path):
     write(df.where("k = 2").withColumn("ts", F.col("ts") + 9), 1)
     assert spark.read.parquet(path).count() == 3
     assert sorted(tuple(r) for r in E.current(spark, path, ["k"], ["ts"]).select("k", "ts", "v").collect()) == [(1, 7, "y"), (2, 10, "z")]
+
+
+def test_callback_words(spark):
+    rows = [("complete", None, None, None), ("completed", " ", ["", None], None), ("succeeded", None, ["x"], "complete"), ("complete", "boom", None, "quarantined"), ("running", None, None, "Partial"),
+            ("nonsense", None, None, "complete"), (None, None, None, None), ("awaiting_confirmation", "e", None, "other"), ("partial", None, None, "completed")]
+    df = spark.createDataFrame(rows, "s string, e string, es array<string>, r string")
+    got = [r[0] for r in df.select(E.callback_status(F.col("s"), F.col("e"), F.col("es"), F.col("r"))).collect()]
+    assert got == ["succeeded", "succeeded", "failed", "failed", "failed", None, None, "awaiting_confirmation", "succeeded"]
