@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import convert as V
 from tablewright.functions import text as X
 from tablewright.operators.columns import is_numeric, normalize_names, require, string_columns, types
-from tablewright.operators.ordered import exact_median
+from tablewright.operators.ordered import exact_median, orderable
 
 SAFE_SHARE = 0.80
 CATEGORY_LIMIT = 50
@@ -103,7 +103,7 @@ def drop_duplicates(df: DataFrame, subset: list[str] | None = None, keep: str |
         return df.dropDuplicates()
     if not order:
         raise ValueError("first and last need an order: rows of a distributed table have none")
-    rest = [c for c in df.columns if c not in cols and c not in order]
+    rest = orderable(df, [*cols, *order])
     direction = F.asc if keep == "first" else F.desc
     rank = F.row_number().over(W.partitionBy(*cols).orderBy(*[direction(c) for c in order + rest]))
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")

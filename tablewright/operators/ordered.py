@@ -50,8 +50,13 @@ def _scan(df: DataFrame, keys: list[str], order: list[str], out: str, per_block:
     return result.select(*[c for c in df.columns if c != out], F.col("_out").alias(out))
 
 
+def orderable(df: DataFrame, but: list[str]) -> list[str]:
+    """The other columns that have an order; maps have none."""
+    return [c for c, t in df.dtypes if c not in but and "map<" not in t]
+
+
 def _ordering(df: DataFrame, keys: list[str], sort_by: list[str], tie: list[str] | None) -> list[str]:
-    rest = tie if tie is not None else [c for c in df.columns if c not in keys and c not in sort_by]
+    rest = tie if tie is not None else orderable(df, [*keys, *sort_by])
     require(df, keys + sort_by + rest)
     return sort_by + rest
 

@@ -311,9 +311,10 @@ dedup("d01_keep_first", "first", "ASC")
 dedup("d02_keep_last", "last", "DESC")
 
 
-@query("d01_whole_rows", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
+@query("d01_whole_rows", "SELECT DISTINCT * FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 3 = 0)")
 def whole_rows(spark, sf):
-    return K.drop_duplicates(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey"))
+    lines = table(spark, sf, "lineitem")
+    return K.drop_duplicates(lines.union(lines.where("l_orderkey % 3 = 0")))
 
 
 @query("d03_keep_none", f"SELECT {', '.join(LINE)} FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1")
@@ -321,9 +322,10 @@ def keep_none(spark, sf):
     return K.drop_duplicates(table(spark, sf, "lineitem").select(*LINE), ["l_orderkey", "l_linenumber"], False)
 
 
-@query("d04_duplicate_count", "SELECT cast(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS BIGINT) AS duplicate_rows FROM lineitem")
+@query("d04_duplicate_count", "SELECT cast(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) + (SELECT count(*) FROM lineitem WHERE l_orderkey % 3 = 0) AS BIGINT) AS duplicate_rows FROM lineitem")
 def duplicate_count(spark, sf):
-    return K.duplicate_count(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
+    lines = table(spark, sf, "lineitem")
+    return K.duplicate_count(lines.union(lines.where("l_orderkey % 3 = 0")))
 
 
 @query("d05_union_tables", """

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.convert import merge_json_maps
 from tablewright.operators.kpi import STATUSES, normalized_status
+from tablewright.operators.ordered import orderable
 from tablewright.operators.rows import first_per_key
 
 LATENESS = "1 day"
@@ -65,14 +66,13 @@ def once(events: DataFrame, key: str = "event_id", lateness: str = LATENESS) ->
 
 def once_batch(events: DataFrame, key: str = "event_id") -> DataFrame:
     """First arrival of each event id; copies of a hot id collapse before the shuffle."""
-    return first_per_key(events, [key], [F.asc("ts"), *[F.asc(c) for c in events.columns if c not in (key, "ts")]])
+    return first_per_key(events, [key], [F.asc("ts"), *[F.asc(c) for c in orderable(events, [key, "ts"])]])
 
 
 # -- latest row per key ---------------------------------------------------------------------------------------------
 
 def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rest = [c for c, t in events.dtypes if c not in keys and c not in order and not t.startswith("map")]  # maps have no order
-    return first_per_key(events, keys, [F.desc(c) for c in order + rest])
+    return first_per_key(events, keys, [F.desc(c) for c in order + orderable(events, keys + order)])
 
 
 def upsert_into(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:

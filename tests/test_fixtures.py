@@ -369,3 +369,13 @@ def test_limit_needs_an_order(spark):
     with pytest.raises(ValueError):
         filter_rows(spark.range(3), [], limit=1)
     assert [r.id for r in filter_rows(spark.range(3), [], limit=2, order=["id"]).collect()] == [0, 1]
+
+
+def test_map_columns_settle_no_ties(spark):
+    from tablewright.operators.ordered import running_total
+    from tablewright.streaming.events import once_batch
+
+    df = spark.createDataFrame([(1, 5, {"a": "b"}), (2, 7, {}), (2, 7, None)], "k int, n int, m map<string,string>").withColumn("ts", F.col("k")).withColumn("event_id", F.col("k"))
+    assert sorted(r.running_total_n for r in running_total(df, "n", ["k"]).collect()) == [5, 12, 19]
+    assert K.drop_duplicates(df, ["k"], order=["n"]).count() == 2
+    assert once_batch(df).count() == 2
