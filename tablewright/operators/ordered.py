@@ -1,10 +1,13 @@
 """Running values over a total order, spread over the cluster.
 
 A plain window without partitions runs on one task, and one with a hot key puts a third of the rows on
-one task. Here rows are range-partitioned into balanced blocks by (keys, order); each block is scanned on
-its own and starts from a carry value of the blocks before it. Only the first key of a block can have begun
-in an earlier block, so the carry table has at most one row per block: it is small whatever the data size and
-may be broadcast.
+one task. Here rows are cut into balanced blocks by (keys, order); each block is scanned on its own and starts
+from a carry value of the blocks before it. Only the first key of a block can have begun in an earlier block, so the
+carry table has at most one row per block: it is small whatever the data size and may be broadcast.
+
+A row's block follows from its own values and a list of cut points taken from a sample, so nothing is written: the
+input is read for the sample, for the carry and for the result. An input that gives other rows each time it is
+read (random values, arrival order) must be made durable first.
 """
 
 from __future__ import annotations
@@ -17,14 +20,41 @@ from tablewright.operators.columns import money_rounded, require
 from tablewright.session import durable
 
 BLOCK = "_block"
+PER_BLOCK = 64
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _place(cuts: Column, at: Column, n: int) -> Column:
+    """How many of the sorted cuts are not above ``at``, by halving."""
+    i, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
+    while step:
+        def further(j: Column) -> Column:
+            return j + F.when(F.get(cuts, j + (step - 1)) <= at, step).otherwise(0)  # noqa: B023  used at once
+
+        i = _let(i, further)
+        step //= 2
+    return i
 
 
 def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Balanced, ordered blocks. ``order`` must be a total order within the keys."""
+    """Balanced, ordered blocks. ``order`` must be a total order within the keys.
+
+    About ``PER_BLOCK`` sampled rows for each block are sorted in one place; their number follows the blocks, not the rows.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn(BLOCK, F.spark_partition_id())
-    # the block number must not change when a lost task is run again or a second branch reads it
-    return durable(cut)
+    at = F.struct(*[F.col(c) for c in keys + order])
+    every = max(1, df.count() // (n * PER_BLOCK))
+    sample = df.select(at.alias("_at")).where(F.pmod(F.xxhash64("_at"), F.lit(every)) == 0)
+    ranks = F.array_sort(F.collect_list("_at"))
+    step = F.greatest(F.floor(F.size("_all") / n), F.lit(1)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), F.lit(max(1, n - 1))), lambda i: F.get("_all", i * step))
+    cuts = sample.agg(ranks.alias("_all")).select(F.filter(picked, lambda c: c.isNotNull()).alias("_cuts"))
+    # the optimiser folds _cuts into its one use, so the list is not copied into rows
+    marked = df.withColumn("_at", at).withColumn("_cuts", cuts.scalar())
+    return marked.withColumn(BLOCK, _let(F.col("_cuts"), lambda c: _place(c, F.col("_at"), n))).drop("_at", "_cuts")
 
 
 def _carry(blocks: DataFrame, keys: list[str], per_block: Column, over_blocks) -> DataFrame:
@@ -116,7 +146,7 @@ def exact_median(df: DataFrame, column: str, out: str = "median") -> DataFrame:
     looked up in the running count. No task ever holds all distinct values.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, "_n", ["_v"], tie=[], out="_upto")
+    ranked = running_total(durable(counts), "_n", ["_v"], tie=[], out="_upto")  # one row per distinct value, grouped once
     total = ranked.agg(F.sum("_n").alias("_t"))
     middle = ranked.withColumn("_t", total.scalar())
     low, high = F.floor((F.col("_t") + 1) / 2), F.floor((F.col("_t") + 2) / 2)
