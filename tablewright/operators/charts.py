@@ -135,9 +135,9 @@ def series_fields(keys: list[str], measure: str, aggregation: str) -> list[Field
     return [Field(k, "category", "string") for k in keys] + [Field(measure, "measure", "number", unit_of(measure), aggregation)]
 
 
-def payload_rows(df: DataFrame, order: list[str], kind: str = "table") -> DataFrame:
-    """JSON-safe rows of a result; a table payload holds its first 1000 rows, a scalar or a series all of them."""
-    rows = df.orderBy(*order).limit(PAYLOAD_ROWS) if kind == "table" else df
+def payload_rows(df: DataFrame, order: list[str], kind: str = "table", most: int | None = PAYLOAD_ROWS) -> DataFrame:
+    """JSON-safe rows of a result; a table payload holds its first ``most`` rows (None: all), a scalar or a series all of them."""
+    rows = df.orderBy(*order).limit(most) if kind == "table" and most is not None else df
     fields = {f.id: f for f in table_fields(df)}
     safe = safe_columns(rows)
     return safe.select(*[F.col(c).alias(c, metadata={k: v for k, v in (("role", fields[c].role), ("unit", fields[c].unit)) if v}) for c in safe.columns])

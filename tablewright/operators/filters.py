@@ -81,6 +81,12 @@ def filter_rows(df: DataFrame, conditions: list[Condition], logic: str = "and",
     return out.select(*select) if select else out
 
 
+def alerts_like(df: DataFrame, column: str, part: str, value: str, least: float) -> DataFrame:
+    """Rows whose text holds a part, case ignored, and whose value is at least a limit."""
+    literal = part.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return df.where(F.col(column).ilike(f"%{literal}%") & (F.col(value) >= least))
+
+
 def search_rows(df: DataFrame, query: str, cols: list[str] | None = None) -> DataFrame:
     """Rows where any column contains the text, case ignored."""
     wanted = query.lower()

@@ -217,3 +217,20 @@ def timeline(jobs: DataFrame, logs: DataFrame, ordered: bool = False) -> DataFra
     kept = noted.where(~F.coalesce(repeat, F.lit(False))).select("id", "happened", "action", "detail")
     events = created.unionByName(sent).unionByName(closing).unionByName(kept)
     return events.orderBy("id", F.asc_nulls_first("happened"), "action", "detail") if ordered else events
+
+
+def expired_sessions(sessions: DataFrame, started: str, now: str, minutes: int = 30) -> DataFrame:
+    """Open sessions whose time is over at ``now``."""
+    return sessions.where(F.col(started) + F.expr(f"interval {int(minutes)} minutes") < F.lit(now).cast("timestamp_ntz"))
+
+
+def agreement(df: DataFrame, first: Column, second: Column) -> DataFrame:
+    """(verdict, n, share): how often two verdicts agree, disagree, or the second is missing."""
+    verdict = F.when(second.isNull(), "unavailable").when(first == second, "agree").otherwise("disagree")
+    counts = df.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / counts.agg(F.sum("n")).scalar(), 6))  # three verdicts at most
+
+
+def ambiguity(references: DataFrame, key: str, confidence: Column) -> DataFrame:
+    """Mean confidence of the best candidates over the unresolved references of each key; no candidate counts as 0."""
+    return references.groupBy(key).agg(F.round(F.avg(F.coalesce(confidence, F.lit(0.0))), 6).alias("score"))

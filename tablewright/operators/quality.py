@@ -128,7 +128,7 @@ def _expand(df: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
     return out
 
 
-def _row_rules(df: DataFrame, rules: list[tuple[int, Rule]], order: list[str], now: str | None) -> DataFrame:
+def _row_rules(df: DataFrame, rules: list[tuple[int, Rule]], order: list[str], now: str | None, shown: int) -> DataFrame:
     tests = {i: violation(r, now) for i, r in rules}
     counts = df.agg(*[F.count_if(t).alias(f"r{i}") for i, t in tests.items()]).select(
         F.inline(F.array(*[F.struct(F.lit(i).alias("rule_no"), F.col(f"r{i}").alias("invalid_count")) for i, _ in rules]))
@@ -137,13 +137,13 @@ def _row_rules(df: DataFrame, rules: list[tuple[int, Rule]], order: list[str], n
         F.when(tests[i], F.struct(F.lit(i).alias("rule_no"), _shown(r).alias("sample"))) for i, r in rules])
     hits = df.select(*[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)],
                      F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("h")).select("*", "h.*").drop("h")
-    firsts = first_per_key(hits, ["rule_no"], [F.asc(f"_o{n}") for n in range(len(order))] + [F.asc("sample")], SAMPLES, "_rn")
-    samples = firsts.groupBy("rule_no").agg(  # three rows per rule at most
+    firsts = first_per_key(hits, ["rule_no"], [F.asc(f"_o{n}") for n in range(len(order))] + [F.asc("sample")], shown, "_rn")
+    samples = firsts.groupBy("rule_no").agg(  # ``shown`` rows per rule at most
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "sample"))), lambda s: s["sample"]).alias("samples"))
     return counts.join(samples, "rule_no", "left")
 
 
-def _unique_rule(df: DataFrame, no: int, rule: Rule, order: list[str]) -> DataFrame:
+def _unique_rule(df: DataFrame, no: int, rule: Rule, order: list[str], shown: int) -> DataFrame:
     """Members of repeated values, counted with map-side combine; blanks are ignored."""
     value = X.strip_ws(F.col(rule.column).cast("string"))
     groups = (
@@ -151,19 +151,19 @@ def _unique_rule(df: DataFrame, no: int, rule: Rule, order: list[str]) -> DataFr
         .groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_at")).where("n > 1")
     )
     total = groups.agg(F.sum("n").alias("n")).scalar()
-    firsts = groups.orderBy("_at", "sample").limit(SAMPLES).agg(
+    firsts = groups.orderBy("_at", "sample").limit(shown).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "sample"))), lambda s: s["sample"]).alias("samples"))
     return firsts.select(F.lit(no).alias("rule_no"), total.alias("invalid_count"), "samples").where("invalid_count > 0")
 
 
-def validate(df: DataFrame, rules: Sequence[Rule], order: list[str], now: str | None = None) -> DataFrame:
-    """One row per broken rule: column, rule, severity, reason, invalid_count, samples (first three)."""
+def validate(df: DataFrame, rules: Sequence[Rule], order: list[str], now: str | None = None, shown: int = SAMPLES) -> DataFrame:
+    """One row per broken rule: column, rule, severity, reason, invalid_count, samples (the first ``shown``)."""
     numbered = list(enumerate(_expand(df, rules)))
     if not numbered:
         return df.sparkSession.createDataFrame([], "column string, rule string, severity string, reason string, invalid_count bigint, samples array<string>")
     row_rules = [(i, r) for i, r in numbered if r.rule != "unique"]
-    parts = [_row_rules(df, row_rules, order, now)] if row_rules else []
-    parts += [_unique_rule(df, i, r, order) for i, r in numbered if r.rule == "unique"]
+    parts = [_row_rules(df, row_rules, order, now, shown)] if row_rules else []
+    parts += [_unique_rule(df, i, r, order, shown) for i, r in numbered if r.rule == "unique"]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -234,25 +234,27 @@ def ledger_checks(df: DataFrame) -> list[tuple[str, str, Column]]:
 
 
 def ledger_errors(df: DataFrame, row: str, fields: Sequence[str] = (), message_part: str = "",
-                  per_check: int = ROWS_PER_CHECK) -> DataFrame:
-    """(check_no, row, field, message): the first rows of each check, in file order."""
+                  per_check: int | None = ROWS_PER_CHECK) -> DataFrame:
+    """(check_no, row, field, message): the first ``per_check`` rows of each check in file order; None lists all."""
     chosen = [(i, *c) for i, c in enumerate(ledger_checks(df)) if (not fields or c[0] in fields) and message_part in c[1]]
     facts = F.array(*[
         F.when(t, F.struct(F.lit(i).alias("check_no"), F.lit(f).alias("field"), F.lit(m).alias("message"))) for i, f, m, t in chosen])
     found = _parsed_ledger(df).select(F.col(row).alias("row"), F.explode(F.filter(facts, lambda x: x.isNotNull())).alias("e")).select("row", "e.*")
+    if per_check is None:
+        return found.select("check_no", "row", "field", "message")
     return first_per_key(found, ["check_no"], [F.asc("row")], per_check).select("check_no", "row", "field", "message")
 
 
-def ledger_verdict(df: DataFrame) -> DataFrame:
-    """One row from one scan: missing columns, number of errors found, number reported, valid flag."""
+def ledger_verdict(df: DataFrame, per_check: int | None = ROWS_PER_CHECK, per_report: int | None = ROWS_PER_REPORT) -> DataFrame:
+    """One row from one scan: missing columns, number of errors found, number a report of these limits lists (None: no limit), valid flag."""
     checks = ledger_checks(df)
     missing = ledger_missing_columns(df)
     counts = _parsed_ledger(df).agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(t).alias(f"c{i}") for i, (_, _, t) in enumerate(checks)])
     all_errors = sum((F.col(f"c{i}") for i in range(len(checks))), F.lit(0))
-    listed = sum((F.least(F.col(f"c{i}"), F.lit(ROWS_PER_CHECK)) for i in range(len(checks))), F.lit(0))
+    listed = sum((F.col(f"c{i}") if per_check is None else F.least(F.col(f"c{i}"), F.lit(per_check)) for i in range(len(checks))), F.lit(0))
     return counts.select(
         F.lit(", ".join(missing)).alias("missing_columns"), all_errors.cast("bigint").alias("errors"),
-        F.least(listed, F.lit(ROWS_PER_REPORT)).cast("bigint").alias("reported"),
+        (listed if per_report is None else F.least(listed, F.lit(per_report))).cast("bigint").alias("reported"),
         (F.lit(not missing) & (all_errors == 0) & (F.col("_rows") > 0)).alias("valid"))
 
 

@@ -61,3 +61,15 @@ def leaders(df: DataFrame, request: str, candidate: list[str], score: str, limit
     margin = F.round(F.col("leader_score") - F.coalesce(F.col("runner_up_score"), F.lit(0.0)), 6)
     return both.withColumn("margin", margin).withColumn(
         "ambiguous", F.col("runner_up").isNotNull() & (F.col("margin") <= limit))
+
+
+def latest_rows(df: DataFrame, order: list[str], n: int | None = 100) -> DataFrame:
+    """The n newest rows by ``order``, newest first; None gives all."""
+    sorted_rows = df.orderBy(*[F.desc(c) for c in order])
+    return sorted_rows if n is None else sorted_rows.limit(n)
+
+
+def count_per_key(df: DataFrame, key: str, out: str = "n", top: int | None = None) -> DataFrame:
+    """Rows per key; with ``top`` the largest of them, ties by key."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+    return counts if top is None else counts.orderBy(F.desc(out), key).limit(top)

@@ -102,6 +102,4 @@ def units(spark, sf):
 
 @query("p14_visible_columns", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def visible(spark, sf):
-    hidden = {"o_custkey", "o_orderdate", "o_orderpriority"}
-    df = table(spark, sf, "orders")
-    return df.select(*[c for c in df.columns if c not in hidden])
+    return K.visible_columns(table(spark, sf, "orders"), {"o_custkey", "o_orderdate", "o_orderpriority"})

@@ -26,7 +26,9 @@ def job_search(spark, sf):
 
 @query("f23_ilike_alerts", "SELECT event_id, event_type FROM events WHERE event_type ILIKE '%URCH%' AND value >= 50")
 def ilike(spark, sf):
-    return table(spark, sf, "events").where(F.col("event_type").ilike("%URCH%") & (F.col("value") >= 50)).select("event_id", "event_type")
+    from tablewright.operators.filters import alerts_like
+
+    return alerts_like(table(spark, sf, "events"), "event_type", "URCH", "value", 50).select("event_id", "event_type")
 
 
 @query("f24_own_rows", "SELECT id, status FROM jobs WHERE user_id = 77", uses=JOBS)
@@ -54,8 +56,7 @@ def quarantined(spark, sf):
 
 @query("f27_expired_sessions", "SELECT event_id, user_id FROM events WHERE event_type = 'view' AND ts + INTERVAL 30 MINUTE < TIMESTAMP '2024-01-15'")
 def expired(spark, sf):
-    ends = F.col("ts") + F.expr("interval 30 minutes")
-    return table(spark, sf, "events").where((F.col("event_type") == "view") & (ends < F.lit("2024-01-15").cast("timestamp_ntz"))).select("event_id", "user_id")
+    return K.expired_sessions(table(spark, sf, "events").where("event_type = 'view'"), "ts", "2024-01-15").select("event_id", "user_id")
 
 
 @query("a19_status_counts", f"SELECT {DERIVED} AS status, count(*) AS jobs FROM jobs GROUP BY 1", uses=JOBS)
@@ -158,15 +159,14 @@ FIRST, SECOND = "l_returnflag = 'R'", "CASE WHEN l_partkey % 10 = 0 THEN NULL EL
 SELECT verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (
   SELECT CASE WHEN b IS NULL THEN 'unavailable' WHEN a = b THEN 'agree' ELSE 'disagree' END AS verdict FROM (SELECT {FIRST} AS a, {SECOND} AS b FROM lineitem)) GROUP BY 1""")
 def agreement(spark, sf):
-    pair = table(spark, sf, "lineitem").select(F.expr(FIRST).alias("a"), F.expr(SECOND).alias("b"))
-    verdict = F.when(F.col("b").isNull(), "unavailable").when(F.col("a") == F.col("b"), "agree").otherwise("disagree")
-    counts = pair.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / counts.agg(F.sum("n")).scalar(), 6))  # three verdicts at most
+    return K.agreement(table(spark, sf, "lineitem"), F.expr(FIRST), F.expr(SECOND))
 
 
 @query("a30_event_counters", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def counters(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    from tablewright.operators.rows import count_per_key
+
+    return count_per_key(table(spark, sf, "events"), "event_type")
 
 
 @query("a31_largest_count", """
@@ -184,7 +184,7 @@ FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
 def ambiguity(spark, sf):
     confidence = F.when(F.col("l_discount") > 0, F.col("l_discount") * 10).when(F.col("l_tax") > 0.04, 0.5).otherwise(0.0)
     open_refs = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
-    return open_refs.groupBy("l_orderkey").agg(F.round(F.avg(confidence), 6).alias("score"))
+    return K.ambiguity(open_refs, "l_orderkey", confidence)
 
 
 LOGS = """SELECT l_orderkey AS id, l_shipdate AS happened, CASE l_linenumber % 4 WHEN 0 THEN 'upload created' WHEN 1 THEN 'upload approved' WHEN 2 THEN 'job retried' ELSE 'upload declined' END AS action,

@@ -142,7 +142,7 @@ def limit_after_filter(spark, sf):
 
 @query("o03_latest_rows", "SELECT id, user_id, status FROM jobs ORDER BY uploaded_at DESC, id DESC LIMIT 100", uses=("jobs",))
 def latest_rows(spark, sf):
-    return view(spark, sf, "jobs").orderBy(F.desc("uploaded_at"), F.desc("id")).limit(100).select("id", "user_id", "status")
+    return S.latest_rows(view(spark, sf, "jobs"), ["uploaded_at", "id"]).select("id", "user_id", "status")
 
 
 _NUM = r"CASE WHEN regexp_matches(trim(quantity_text), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN cast(quantity_text AS double) END"
@@ -167,8 +167,7 @@ def custom_order(spark, sf):
 
 @query("o06_top_by_invocations", "SELECT l_suppkey, count(*) AS invocations FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
 def top_by_invocations(spark, sf):
-    counts = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("invocations"))
-    return counts.orderBy(F.desc("invocations"), "l_suppkey").limit(6)
+    return S.count_per_key(table(spark, sf, "lineitem"), "l_suppkey", "invocations", top=6)
 
 
 @query("o07_frequent_values", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 5")
