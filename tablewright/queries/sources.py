@@ -128,21 +128,28 @@ def json_sink(spark, sf):
 
 
 @query("s11_text_sink", """
-SELECT concat(lpad(cast(n_nationkey AS string), greatest(w1, 11)::INTEGER, ' '), ' ', lpad(n_name, greatest(w2, 6)::INTEGER, ' ')) AS value
+SELECT 'head' AS part, unnest(['Nations', '=======', '', concat(lpad('n_nationkey', greatest(w1, 11)::INTEGER, ' '), ' ', lpad('n_name', greatest(w2, 6)::INTEGER, ' '))]) AS value
+FROM (SELECT max(length(cast(n_nationkey AS string))) AS w1, max(length(n_name)) AS w2 FROM nation)
+UNION ALL SELECT 'data', concat(lpad(cast(n_nationkey AS string), greatest(w1, 11)::INTEGER, ' '), ' ', lpad(n_name, greatest(w2, 6)::INTEGER, ' ')) AS value
 FROM nation, (SELECT max(length(cast(n_nationkey AS string))) AS w1, max(length(n_name)) AS w2 FROM nation)""")
 def text_sink(spark, sf):
     folder = shared_folder(spark)
     W.write_text(table(spark, sf, "nation").select("n_nationkey", "n_name"), folder, "Nations")
-    return spark.read.text(f"{folder}/data")
+    head, data = (spark.read.text(f"{folder}/{p}").select(F.lit(p).alias("part"), "value") for p in ("head", "data"))
+    return head.unionByName(data)
 
 
 @query("s12_audit_bundle", """
 SELECT 'cleaned_data' AS part, count(*) AS n FROM orders UNION ALL SELECT 'filtered_data', count(*) FILTER (o_orderstatus = 'F') FROM orders
-UNION ALL SELECT 'audit_log', 0 UNION ALL SELECT 'warnings', 0 UNION ALL SELECT 'column_mapping', 0""")
+UNION ALL SELECT 'audit_log', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'warnings', count(*) FILTER (o_totalprice > 200000) FROM orders
+UNION ALL SELECT 'column_mapping', 0""")
 def bundle(spark, sf):
     folder = shared_folder(spark)
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    parts = W.write_bundle(folder, orders, orders.where("o_orderstatus = 'F'"))
+    orders = table(spark, sf, "orders")
+    log = orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows_out")).select(
+        F.lit("user_requested").alias("step_kind"), F.concat(F.lit("keep "), "o_orderstatus").alias("operation"), F.col("rows_out").alias("rows_in"), "rows_out")
+    warnings = orders.where("o_totalprice > 200000").select(F.concat(F.lit("large order "), F.col("o_orderkey").cast("string")).alias("warning"))
+    parts = W.write_bundle(folder, orders.select("o_orderkey", "o_orderstatus"), orders.where("o_orderstatus = 'F'"), audit_log=log, warnings=lambda: warnings)
     out = None
     for p in parts:
         one = spark.read.parquet(f"{folder}/{p}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n")
