@@ -1,6 +1,6 @@
 """One registered query for each operator, over the whole of its table, and the pipeline.
 
-Where a result rests on a fitted model, a SimHash or a tokenizer, SQL cannot express it: those have no SQL twin and are tested
+SQL twins stand in twins.py. Hashes, fitted trees, tokenizers, parsers and iterations are beyond SQL: those queries have none and are tested
 against brute force in tests/llm.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import contamination, language, mixing, neardup, pages, pii, quality, tokens, toxicity, urls
+from tablewright.llm import contamination, language, mixing, neardup, pages, pii, quality, tokens, toxicity, twins, urls
 from tablewright.queries.base import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,7 +30,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-@query("op4_url_ratio")
+@query("op4_url_ratio", twins.URLS)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -40,7 +40,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-@query("op6_language_ranks")
+@query("op6_language_ranks", twins.LANGUAGE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 

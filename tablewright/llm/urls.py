@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import best_cut, dense, let
+from tablewright.llm.common import best_cut, dense, fold, let
 from tablewright.session import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,10 +103,10 @@ def with_score(pages: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every page."""
+    """page_id, host, path, rule, verdict and score (6 digits) of every page."""
     marked = with_rule(pages.select("page_id", "url"), rules)
     known = marked.where("_ruled IS NOT NULL")
-    held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
+    held = fold("url", FOLDS) == 0
     trial = fit(known.where(~held))
     bins = with_score(known.where(held), trial).select(F.floor(F.col("score") * BINS_PER_UNIT).alias("b"), (F.col("_ruled") == "allow").alias("_ok"))
     bins = bins.groupBy("b").agg(F.count_if("_ok").alias("p"), F.count_if(~F.col("_ok")).alias("n"))
@@ -114,4 +114,4 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     cut = 0.0 if at is None else at / BINS_PER_UNIT
     out = with_score(marked, fit(known))
     by_model = F.when(F.col("score") >= cut, "allow").otherwise("block")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", by_model).alias("verdict"), "score")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", by_model).alias("verdict"), F.round("score", 6).alias("score"))

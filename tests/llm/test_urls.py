@@ -67,9 +67,9 @@ def check(pages):
     for (k, u), (_, s, _, _) in zip(want, got):
         c = cells(u)
         value = sum(memo.setdefault(x, None) or memo.__setitem__(x, ratio(x)) or memo[x] for x in c) / max(1, len(c))
-        by.setdefault(k, []).append((round(s, 9), round(value, 9)))
+        by.setdefault(k, []).append((s, value))
     for pairs in by.values():
-        assert sorted(a for a, _ in pairs) == pytest.approx(sorted(b for _, b in pairs), abs=1e-8)
+        assert sorted(a for a, _ in pairs) == pytest.approx(sorted(b for _, b in pairs), abs=1e-6)
     free = [(r["score"], r["verdict"]) for r in out if r["rule"] is None]
     allowed, blocked = [s for s, v in free if v == "allow"], [s for s, v in free if v == "block"]
     assert not allowed or not blocked or max(blocked) < min(allowed)
