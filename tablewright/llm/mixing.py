@@ -140,7 +140,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it."""
     params = plan(durable(sizes(docs)))
     size = F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("bigint")
-    row = F.struct(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # columns of any name ride along
     of = docs.select(row.alias("_row"), "doc_id", "source", size.alias("size"))
     out = with_copies(of, params).where("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -58,6 +58,7 @@ def test_whole_table(spark, sf):
 
 def test_odd_rows(odd, nothing):
     out = check(odd)
+    odd = odd.withColumn("a.b", odd["doc_id"]).withColumn("copies", odd["doc_id"]).withColumn("size", odd["doc_id"])
     mixed = mixing.mixed(odd)
     assert mixed.columns == odd.columns
     assert mixed.count() == sum(r["copies"] for r in out)
