@@ -3,7 +3,7 @@
 Each source gets a target number of words. Document rates stay as near to 1 as the targets allow (least relative entropy,
 rates at most ``MOST``), which makes them exponentially tilted: rate = min(MOST, exp(lambda * size / mean size)) with one
 lambda for each source, the solution of a convex dual problem. Newton steps, kept inside a bracket, solve it: every step
-is a Spark job over the counted (source, size) pairs, and the multipliers stay a table.
+is an aggregation of the counted (source, size) pairs, and the multipliers stay a table.
 
 Rates become whole copies: the whole part is certain, and one copy more goes to documents in the order of (a hash uniform
 minus the fraction) until the source's words are as near to its target as one document allows. The cut in that order is found
@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NOT_SPACE, if_small
+from tablewright.llm.common import BROADCAST_ROWS, NOT_SPACE, if_small
 from tablewright.session import durable
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BUCKETS = 4096
-STEPS, NEAR = 60, 1e-7
+ROUNDS, STEPS, NEAR = 30, 3, 1e-7  # a round is a written table
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -57,6 +57,23 @@ def _rate(z: Column, most: float) -> Column:
     return F.least(F.lit(most), F.exp(F.greatest(F.least(F.col("lam") * z, F.lit(700.0)), F.lit(-700.0))))
 
 
+def _newton(pairs: DataFrame, state: DataFrame, most: float, narrow: bool) -> DataFrame:
+    """One step for every source that is not done: the counted sizes give value and slope of the dual's gradient."""
+    todo = state.where("NOT done").select("source", "lam", "_mean")
+    joined = pairs.withColumnRenamed("source", "_s").join(F.broadcast(todo) if narrow else todo, F.col("_s").eqNullSafe(F.col("source")))
+    words = F.col("n") * F.col("size") * F.col("_r")
+    rated = joined.withColumn("_z", F.col("size") / F.col("_mean")).withColumn("_r", _rate(F.col("_z"), most))
+    sums = rated.groupBy("_s").agg(F.sum(words).alias("f"), F.sum(F.when(F.col("_r") < most, words * F.col("_z")).otherwise(0.0)).alias("g"))
+    step = state.join(F.broadcast(sums) if narrow else sums, F.col("source").eqNullSafe(F.col("_s")), "left")
+    lo, hi = F.when(F.col("f") <= F.col("target"), F.col("lam")).otherwise(F.col("lo")), F.when(F.col("f") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))
+    step = step.withColumns({"lo": lo, "hi": hi}).withColumn("_next", F.col("lam") - F.try_divide(F.col("f") - F.col("target"), F.col("g")))
+    inside = (F.col("_next") > F.col("lo")) & (F.col("_next") < F.col("hi"))
+    near = F.abs(F.col("f") - F.col("target")) <= NEAR * F.col("target")
+    lam = F.when(F.col("done") | near, F.col("lam")).when(inside, F.col("_next")).otherwise((F.col("lo") + F.col("hi")) / 2)
+    tight = (F.col("hi") - F.col("lo")) <= 1e-12 * F.greatest(F.abs("lo"), F.abs("hi"))
+    return step.withColumn("lam", lam).withColumn("done", F.col("done") | F.coalesce(near | tight, F.lit(True))).select(state.columns)
+
+
 def multipliers(of: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame:
     """Adds ``lam`` to ``goal``."""
     pairs = durable(of.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
@@ -64,22 +81,13 @@ def multipliers(of: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame
     wide = F.greatest(mean, F.lit(1.0)) * 100  # the smallest size is 1, so exp(wide / mean) is far beyond the cap
     state = goal.withColumns({"_mean": mean, "lo": -wide, "hi": wide}).withColumn("lam", F.log(F.greatest("target", F.lit(1e-9)) / F.greatest("source_size", F.lit(1))))
     state = durable(state.withColumn("done", (F.col("target") <= 0) | (F.col("target") >= most * F.col("source_size") * (1 - 1e-12))))
-    for _ in range(STEPS):
+    narrow = goal.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for _ in range(ROUNDS):
         if not state.where("NOT done").limit(1).count():
             break
-        joined = pairs.withColumnRenamed("source", "_s").join(if_small(state.where("NOT done")), F.col("_s").eqNullSafe(F.col("source")))
-        z = F.col("size") / F.col("_mean")
-        words = F.col("n") * F.col("size") * F.col("_r")
-        sums = joined.withColumn("_z", z).withColumn("_r", _rate(z, most)).groupBy("_s").agg(F.sum(words).alias("f"), F.sum(F.when(F.col("_r") < most, words * F.col("_z")).otherwise(0.0)).alias("g"))
-        step = state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left")
-        lo, hi = F.when(F.col("f") <= F.col("target"), F.col("lam")).otherwise(F.col("lo")), F.when(F.col("f") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))
-        step = step.withColumns({"lo": lo, "hi": hi}).withColumn("_newton", F.col("lam") - F.try_divide(F.col("f") - F.col("target"), F.col("g")))
-        inside = (F.col("_newton") > F.col("lo")) & (F.col("_newton") < F.col("hi"))
-        near = F.abs(F.col("f") - F.col("target")) <= NEAR * F.col("target")
-        lam = F.when(F.col("done") | near, F.col("lam")).when(inside, F.col("_newton")).otherwise((F.col("lo") + F.col("hi")) / 2)
-        narrow = (F.col("hi") - F.col("lo")) <= 1e-12 * F.greatest(F.abs("lo"), F.abs("hi"))
-        step = step.withColumn("lam", lam).withColumn("done", F.col("done") | F.coalesce(near | narrow, F.lit(True)))
-        state = durable(step.select(state.columns))
+        for _ in range(STEPS):
+            state = _newton(pairs, state, most, narrow)
+        state = durable(state)
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
     return state.withColumn("lam", F.when(F.col("source_size") == 0, F.lit(0.0)).when(full, F.col("hi")).otherwise(F.col("lam")))
 
