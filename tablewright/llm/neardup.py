@@ -83,7 +83,9 @@ def links(points: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFram
     Each link is between fingerprints at most ``bits`` apart, and each pair that near is connected by links."""
     if bits not in (1, 2):
         raise ValueError("bits must be 1 or 2")
-    index = _variants(points, bits // 2 + 1)
+    # one row becomes 66: spread the few input files first, so that no task's map-side groups are large
+    spread = points.select("fp").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = _variants(spread, bits // 2 + 1)
     groups = durable(index.groupBy("at", "v").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     pairs = groups.where("n = 2").select("a", "b").where(near)
