@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import if_small
+from tablewright.llm.common import if_small, small_batches
 from tablewright.session import durable
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -121,7 +121,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, th, fp, root (the component's fingerprint) and component_id of every row."""
-    rows = durable(fingerprints(docs, shingle))
+    with small_batches(docs.sparkSession):
+        rows = durable(fingerprints(docs, shingle))
     points = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = durable(components(links(points, bits)))
     placed = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

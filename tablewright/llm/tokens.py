@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import if_small
+from tablewright.llm.common import if_small, small_batches
 from tablewright.session import durable
 
 END_ID = 1
 SHARD = 1 << 17
-CACHE = 300_000  # words, and pieces of words, that a worker remembers
+CACHE = 200_000  # words, and pieces of words, that a worker remembers
 BATCH = 256  # rows handed to Python at a time: texts may be long
 MAGIC = b"WVM1"
 BLOCK = 512  # bits between two entries of a rank directory
@@ -257,7 +257,9 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, shard: int = SHARD)
         if ids:
             yield closed()
 
-    return durable(ordered.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(shards, COLUMNS))
+    made = ordered.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(shards, COLUMNS)
+    with small_batches(docs.sparkSession):
+        return durable(made)
 
 
 def read(shards: DataFrame) -> DataFrame:
