@@ -9,10 +9,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import contamination, language, mixing, neardup, pages, pii, quality, tokens, toxicity, twins, urls
+from tablewright.llm import alignment, contamination, language, mixing, neardup, pages, pii, quality, tokens, toxicity, twins, urls
 from tablewright.queries.base import query, table
 
 TOKENIZER = "word_bpe_49k.json"
+PAIR = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 @query("op1_quality_ratio")
@@ -66,6 +67,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, PAIR))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
