@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import alignment, contamination, language, mixing, neardup, pages, pii, quality, tokens, toxicity, twins, urls
+from tablewright.llm import alignment, contamination, language, mixing, neardup, pages, periodic, pii, quality, tokens, toxicity, twins, urls, vectors
 from tablewright.queries.base import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, PAIR))
 
 
+@query("op12_embedding_codes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
