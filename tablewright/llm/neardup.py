@@ -13,12 +13,6 @@ again; larger values are refused. Components come from alternating star contract
 Defined cases: null text is empty text; texts without words have fingerprint 0 and link like any other; fewer words than a shingle
 are one shingle; repeated rows and rows with the same doc_id each get a row; component_id ignores null doc_ids and is null if a
 component has no other; an empty table gives an empty result.
-
-``representatives`` has a rule of its own: documents whose sets of ``WORDS``-word shingles have a Jaccard similarity of at least ``SIMILAR``
-are near copies. Candidates share one of ``BANDS`` keys, each of ``ROWS`` minimal hashes (a pair at 0.8 is missed with probability
-0.0004; with two keys asked for, as below, 0.004), and every candidate pair is verified on its texts. A key of at most ``CROWD`` members is paired in full. In a larger one all
-are compared with the member that shares most keys first; only members outside its component are then compared with the others
-that they share two crowded keys with, so a group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -35,12 +29,6 @@ from tablewright.session import durable
 SHINGLE, BITS, SEED = 3, 2, 42
 BUCKET = 32
 CHUNK = 1 << 15  # shingle hashes unpacked at a time
-WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS, CROWD = 20, 5, 16
-HOT = 64  # pairs of one text to a task
-_random = np.random.default_rng(SEED)
-FACTORS = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-FLIPS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -149,109 +137,10 @@ def report(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFra
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, shingle: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the text's distinct shingles; a text without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    runs = zip(*(words[i:] for i in range(shingle))) if len(words) > shingle else [words]
-    return np.unique(np.array([digest(b" ".join(r), SEED) for r in runs], dtype=np.uint64))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One signed key for each band of minimal hashes."""
-    low = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
-    h = hashes.astype(np.uint32)
-    for at in range(0, len(h), 1 << 11):
-        part = np.multiply.outer(FACTORS, h[at:at + (1 << 11)])
-        part ^= FLIPS[:, None]
-        np.minimum(low, part.min(axis=1), out=low)
-    return [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(low.reshape(BANDS, ROWS))]
-
-
-def signatures(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), sk (hash of its shingle set), n (the set's size) and keys of every row."""
-
-    @F.pandas_udf("struct<sk:bigint,n:int,keys:array<bigint>>")
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"sk": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]})
-
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), sign("text").alias("s")).select("doc_id", "th", "s.sk", "s.n", "s.keys")
-
-
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are similar; a text with many pairs is dealt over several tasks."""
-    if not pairs.limit(1).count():
-        return pairs
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("sk")).distinct()
-    one = rows.join(if_small(nodes), "sk", "left_semi").groupBy("sk").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("th").alias("h"))).alias("s"))
-    one = durable(one.select("sk", "s.d", "s.h"))
-    plain = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_text"))
-    found = plain.join(if_small(one), F.col("_d").eqNullSafe(F.col("d")) & (F.xxhash64("_text") == F.col("h")))
-    texts = durable(found.select("sk", "_text").dropDuplicates(["sk"]))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts"))
-    dealt = pairs.join(if_small(parts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    left = texts.join(if_small(parts), F.col("sk") == F.col("a")).select("a", F.col("_text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-    @F.pandas_udf("boolean")
-    def near(left_texts: pd.Series, right_texts: pd.Series) -> pd.Series:
-        out, last, x = [], None, None
-        for t, u in zip(left_texts, right_texts):
-            if x is None or t != last:
-                last, x = t, shingle_set(t, shingle)
-            y = shingle_set(u, shingle)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= similar * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    right = texts.select(F.col("sk").alias("b"), F.col("_text").alias("tb"))
-    joined = dealt.join(right, "b").join(left, ["a", "part"])
-    with small_batches(docs.sparkSession, 100):
-        return durable(joined.where(near("ta", "tb")).select("a", "b"))
-
-
-def similar_groups(docs: DataFrame, shingle: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, th and root (the component's shingle set) of every row."""
-    with small_batches(docs.sparkSession):
-        rows = durable(signatures(docs, shingle))
-    # one row becomes 20: spread the few input files first, so that no task's map-side groups are large
-    points = rows.groupBy("sk").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    index = durable(points.select("sk", "n", F.explode("keys").alias("key")))
-    node = F.struct("sk", F.col("n").alias("size"))
-    groups = durable(index.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("members > 1"))
-    fit = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)  # noqa: E731  sets of other sizes cannot be similar
-    more = durable(index.join(if_small(groups.where("members > 2").select("key", "members", "lo")), "key"))
-    two = groups.where((F.col("members") == 2) & fit(F.col("lo.size"), F.col("hi.size"))).select(F.col("lo.sk").alias("a"), F.col("hi.sk").alias("b"))
-    few = more.where(F.col("members") <= CROWD)
-    full = few.select("key", F.col("sk").alias("a"), F.col("n").alias("x")).join(few.select("key", F.col("sk").alias("b"), F.col("n").alias("y")), "key").where("a < b").where(fit(F.col("x"), F.col("y")))
-    crowd = more.where(F.col("members") > CROWD).select("key", "sk", "n", "members")
-    weight = crowd.groupBy("sk").agg(F.sum("members").alias("weight"))  # the text that the others were edited from shares most keys
-    centres = crowd.join(if_small(weight), "sk").groupBy("key").agg(F.max(F.struct("weight", "sk", "n")).alias("hub"))
-    crowd = durable(crowd.join(if_small(centres), "key").select("key", "sk", "n", F.col("hub.sk").alias("hub"), F.col("hub.n").alias("size")))
-    star = crowd.where("sk <> hub").where(fit(F.col("n"), F.col("size"))).select(F.col("hub").alias("a"), F.col("sk").alias("b"))
-    edges = _verified(docs, rows, durable(two.union(full.select("a", "b")).union(star).distinct()), shingle, similar)
-    roots = durable(components(edges))
-    if crowd.limit(1).count():
-        mark = roots.select(F.col("node").alias("sk"), "root")
-        placed = durable(crowd.select("key", "sk", "n", "hub").join(mark, "sk", "left").withColumn("root", F.coalesce("root", "sk")))
-        centre = placed.where("sk = hub").select("key", F.col("root").alias("main"))
-        apart = durable(placed.join(if_small(centre), "key").where("root <> main").select("key", F.col("sk").alias("u"), F.col("n").alias("x"), F.col("root").alias("ru")))
-        others = placed.join(if_small(apart), "key").where("root <> ru and sk <> hub").where(fit(F.col("x"), F.col("n")))
-        # (key, pair) once, whichever side is apart; pairs of a small key are verified already, so one crowded key alone is a chance hit
-        met = others.select(F.least("sk", "u").alias("a"), F.greatest("sk", "u").alias("b"), "key").distinct()
-        late = durable(met.groupBy("a", "b").count().where("count > 1").select("a", "b"))
-        edges = edges.unionByName(_verified(docs, rows, late, shingle, similar))
-        roots = durable(components(edges))
-    member = roots.select(F.col("node").alias("_sk"), "root")
-    return rows.join(member, F.col("sk") == F.col("_sk"), "left").select("doc_id", "th", F.coalesce("root", "sk").alias("root"))
-
-
-def representatives(docs: DataFrame, shingle: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component of near copies the smallest doc_id (of rows alike in it the
-    smallest text hash; null comes last), once."""
-    out = durable(similar_groups(docs, shingle, similar))
+def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the smallest doc_id (of rows alike in it the smallest text hash; null
+    comes last), once."""
+    out = durable(grouped(docs, shingle, bits).select("doc_id", "th", "root"))
     stay = durable(out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("th").alias("h"))).alias("s")).select("s.d", "s.h"))
     # columns are named through their tables: docs may hold columns of any name
     kept = docs.join(if_small(stay), docs["doc_id"].eqNullSafe(stay["d"]) & (F.xxhash64(docs["text"]) == stay["h"]), "left_semi")

@@ -66,7 +66,7 @@ class RangeMin:
 
 
 class Extensions:
-    """Longest common extensions to the right in ``words``; every document ends with a mark that occurs once."""
+    """Longest common extensions to the right in ``words``; every document ends with a mark of its own that occurs once."""
 
     def __init__(self, words: np.ndarray, owner: np.ndarray):
         self.words, self.owner, self.shift = words, owner, _shifts()
@@ -159,7 +159,8 @@ def runs(texts: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     inside[first - 1] = False
     inside[-1] = False
     words[inside] = np.array([known.setdefault(w, len(known)) for t in texts for w in t], dtype=np.int64)
-    owner = np.append(np.repeat(np.arange(len(texts)), size + 1), max(len(texts) - 1, 0))
+    owner = np.repeat(np.arange(len(texts)), size + 1)
+    before, after = np.append(owner, max(len(texts) - 1, 0)), np.append(0, owner)  # the mark before a text, or the one after it, is its own
     places, periods = [], []
     for i, p in _grid(first, size):
         hit = words[i] == words[i + p]
@@ -171,10 +172,10 @@ def runs(texts: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if not places or not sum(map(len, places)):
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     i, p = np.concatenate(places), np.concatenate(periods)
-    right = Extensions(words, owner).of(i, i + p)
+    right = Extensions(words, after).of(i, i + p)
     # to the left: the same on the reversed array, where the later place comes first
     back = n - 1 - i + 1
-    left = Extensions(words[::-1].copy(), owner[::-1].copy()).of(back - p, back)
+    left = Extensions(words[::-1].copy(), before[::-1].copy()).of(back - p, back)
     start, length = i - left, left + right + p
     long = length >= np.maximum(LEAST, TIMES * p)
     start, length, p = start[long], length[long], p[long]
@@ -183,7 +184,7 @@ def runs(texts: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     # the same stretch under a multiple of its period comes later: the smallest period stays
     new = np.concatenate(([True], (start[1:] != start[:-1]) | (length[1:] != length[:-1])))[:len(start)]
     start, length, p = start[new], length[new], p[new]
-    doc = owner[start]
+    doc = after[start]
     order = np.lexsort((p, start))
     return doc[order], (start - first[doc])[order], length[order], p[order]
 

