@@ -18,10 +18,12 @@ text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,38 +39,47 @@ from tablewright.session import durable
 
 END_ID = 1
 SHARD = 1 << 17
-CACHE = 200_000  # words, and pieces of words, that a worker remembers
+CACHE, PIECES = 500_000, 300_000  # words, and pieces of words, in one generation of what a worker remembers
 BATCH = 256  # rows handed to Python at a time: texts may be long
-MAGIC = b"WVM1"
-BLOCK = 512  # bits between two entries of a rank directory
+MAGIC = b"WVM2"
+BLOCK = 1024  # bits between two entries of a rank directory
 COLUMNS = "part int, seq int, docs long, tokens long, payload binary"
 
 
+def ranks(plane: np.ndarray) -> np.ndarray:
+    """Ones before each block of a plane, and in all."""
+    ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
+    return np.concatenate(([0], np.cumsum(ones))).astype("<u4")
+
+
 class Shard:
     """Layout: magic, ids, documents, planes (u32 each); compressed lengths; directory (doc_id i64, null flag u8, length u32);
-    then for each plane its number of zeros (u32) and zstd-compressed packed bits. Numbers are little-endian."""
+    then for each plane its number of zeros (u32) and, zstd-compressed, its rank directory (ones before each ``BLOCK`` bits, u32) and packed bits.
+    A plane is decompressed when it is first used. Numbers are little-endian."""
 
-    def __init__(self, doc_ids: np.ndarray, missing: np.ndarray, lengths: np.ndarray, zeros: list[int], planes: list[np.ndarray]):
-        self.doc_ids, self.missing, self.lengths, self.zeros, self.planes = doc_ids, missing, lengths, zeros, planes
+    def __init__(self, doc_ids: np.ndarray, missing: np.ndarray, lengths: np.ndarray, zeros: list[int], bodies: list[bytes]):
+        self.doc_ids, self.missing, self.lengths, self.zeros, self.bodies = doc_ids, missing, lengths, zeros, bodies
         self.n = int(lengths.sum())
-        self._ranks: dict[int, np.ndarray] = {}
+        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray, doc_ids: list, lengths: list[int], width: int) -> Shard:
-        zeros, planes, now = [], [], ids
+        zeros, bodies, now = [], [], ids
+        packed = zstandard.ZstdCompressor(level=1).compress
         for b in range(width - 1, -1, -1):
             bit = (now & ids.dtype.type(1 << b)).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
+            plane = np.packbits(bit, bitorder="little")
+            bodies.append(packed(ranks(plane).tobytes() + plane.tobytes()))
             low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
             now = np.concatenate((now.take(low), now.take(high)))
         missing = np.array([d is None for d in doc_ids], dtype=np.uint8)
-        return cls(np.array([d or 0 for d in doc_ids], dtype="<i8"), missing, np.array(lengths, dtype="<u4"), zeros, planes)
+        return cls(np.array([d or 0 for d in doc_ids], dtype="<i8"), missing, np.array(lengths, dtype="<u4"), zeros, bodies)
 
     def write(self) -> bytes:
         packed = zstandard.ZstdCompressor(level=1).compress
         head = packed(self.doc_ids.tobytes() + self.missing.tobytes() + self.lengths.tobytes())
-        bodies = [packed(p.tobytes()) for p in self.planes]
+        bodies = self.bodies
         sizes = struct.pack(f"<{1 + len(bodies)}I", len(head), *map(len, bodies))
         zeros = struct.pack(f"<{len(self.zeros)}I", *self.zeros)
         return b"".join((MAGIC, struct.pack("<III", self.n, len(self.lengths), len(bodies)), sizes, zeros, head, *bodies))
@@ -83,19 +94,26 @@ class Shard:
         at = 20 + 8 * width
         parts = []
         for s in sizes:
-            parts.append(zstandard.decompress(data[at:at + s]))
+            parts.append(data[at:at + s])
             at += s
-        head = parts[0]
+        head = zstandard.decompress(parts[0])
         return cls(np.frombuffer(head, "<i8", docs), np.frombuffer(head, np.uint8, docs, 8 * docs), np.frombuffer(head, "<u4", docs, 9 * docs),
-                   list(zeros), [np.frombuffer(p, np.uint8) for p in parts[1:]])
+                   list(zeros), parts[1:])
+
+    def plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rank directory and packed bits of a plane."""
+        if level not in self._open:
+            body, entries = zstandard.decompress(self.bodies[level]), -(-self.n // BLOCK) + 1
+            self._open[level] = np.frombuffer(body, "<u4", entries), np.frombuffer(body, np.uint8, offset=4 * entries)
+        return self._open[level]
 
     def ids(self) -> np.ndarray:
         """All ids in order, planes undone from the last to the first."""
-        width = len(self.planes)
+        width = len(self.bodies)
         kind = np.uint16 if width <= 16 else np.uint32
         now = np.zeros(self.n, dtype=kind)
         for level in range(width - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(self.plane(level)[1], count=self.n, bitorder="little").view(bool)
             z, back = self.zeros[level], np.empty(self.n, dtype=kind)
             back[np.flatnonzero(~bit)] = now[:z]
             back[np.flatnonzero(bit)] = now[z:] | kind(1 << (width - 1 - level))
@@ -104,13 +122,10 @@ class Shard:
 
     def _rank(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane: a directory entry and the rest of one block."""
-        plane = self.planes[level]
-        if level not in self._ranks:
-            ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-            self._ranks[level] = np.concatenate(([0], np.cumsum(ones)))
+        before, plane = self.plane(level)
         block, rest = divmod(i, BLOCK)
         first = block * (BLOCK // 8)
-        return int(self._ranks[level][block]) + int(np.unpackbits(plane[first:first + BLOCK // 8], bitorder="little")[:rest].sum())
+        return int(before[block]) + int(np.unpackbits(plane[first:first + BLOCK // 8], bitorder="little")[:rest].sum())
 
     def _select(self, level: int, k: int, bit: int) -> int:
         """Place of the k-th (from 0) such bit of a plane, by bisection on rank."""
@@ -127,14 +142,14 @@ class Shard:
     def access(self, i: int) -> int:
         """The id at place i."""
         value = 0
-        for level in range(len(self.planes)):
+        for level in range(len(self.bodies)):
             before, after = self._rank(level, i), self._rank(level, i + 1)
             value = 2 * value + (after - before)
             i = self.zeros[level] + before if after > before else i - before
         return value
 
     def _range(self, value: int, lo: int, hi: int) -> tuple[int, int]:
-        width = len(self.planes)
+        width = len(self.bodies)
         if value >> width:
             return 0, 0
         for level in range(width):
@@ -152,16 +167,19 @@ class Shard:
         lo, hi = self._range(value, 0, self.n)
         out = []
         for i in range(lo, hi):
-            for level in range(len(self.planes) - 1, -1, -1):
-                bit = value >> (len(self.planes) - 1 - level) & 1
+            for level in range(len(self.bodies) - 1, -1, -1):
+                bit = value >> (len(self.bodies) - 1 - level) & 1
                 i = self._select(level, i - self.zeros[level] if bit else i, bit)
             out.append(i)
         return out
 
 
-# Words of ASCII and precomposed Latin letters: for these, lower() and the pattern do what the tokenizer's file prescribes
-SIMPLE = re.compile("[\\x21-\\x7eÀ-ÖØ-öø-ÿ]*")
-PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+# What SIMPLE and PIECE rebuild: the normaliser and splitter of a tokenizer file
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Words of ASCII and precomposed Latin letters: for these, lower() and the pattern do what such a file prescribes
+SIMPLE = re.compile("[\\x21-\\x7eÀ-ÖØ-öø-ÿ\n]*")
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|\n|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -171,41 +189,91 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-class Words(dict):
-    """Word in UTF-8 to its ids as bytes; a missing word is encoded by the tokenizer. Simple words go to its model piece by piece,
-    and pieces are remembered too ("Word," and "word" share one); any other word is encoded whole."""
+class Words:
+    """Encodes texts through their words. Words are remembered as ids in bytes in two generations of ``CACHE`` each; the words of a batch that are new
+    are encoded together: simple ones go to the tokenizer's model piece by piece, and pieces are remembered too ("Word," and "word" share one), any
+    other word is encoded whole. With a file of another normaliser or splitter, texts are encoded whole."""
 
     def __init__(self, path: str, dtype: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
-        self.tokenizer, self.dtype, self.pieces, self.letters = Tokenizer.from_file(path), dtype, {}, _byte_letters()
-        self.model = self.tokenizer.model
+        self.tokenizer, self.dtype, self.letters = Tokenizer.from_file(path), dtype, _byte_letters()
+        self.bare = Tokenizer(self.tokenizer.model)  # takes pieces between spaces
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.item = struct.Struct(dtype.replace("u2", "H").replace("u4", "I")).pack
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if SIMPLE.fullmatch(text) and not any(t in text for t in self.special):
-            found = b"".join([self.pieces.get(p) or self.piece(p) for p in PIECE.findall(text.lower())])
-        else:
-            found = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found
-        return found
+        self.words, self.older, self.pieces, self.older_pieces = {}, {}, {}, {}
+        settings = json.loads(self.tokenizer.to_str())
+        split, *more = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        model = settings["model"]
+        suffix = model.get("end_of_word_suffix") or " "
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.by_word = (settings["normalizer"] == NORMALIZER and split.get("pattern") == {"Regex": SPLITTER} and split.get("behavior") == "Removed" and bool(split.get("invert"))
+                        and [m["type"] for m in more] == ["ByteLevel"] and not more[0]["add_prefix_space"] and not more[0]["use_regex"]
+                        and model["type"] == "BPE" and suffix != " " and not model["dropout"] and not any(re.search(r"\s", t) for t in self.special))
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [self.packed(e.ids) for e in found]
+        parts = [(t or b"").split() for t in texts]
+        if len(self.words) > CACHE:
+            self.older, self.words = self.words, {}
+        unknown, older = [], self.older
+        for w in set(chain.from_iterable(parts)).difference(self.words):
+            if (found := older.get(w)) is None:
+                unknown.append(w)
+            else:
+                self.words[w] = found
+        self.learn(unknown)
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
+
+    def learn(self, words: list[bytes]) -> None:
+        joined = b"\n".join(words).decode("utf-8", "replace")
+        if not SIMPLE.fullmatch(joined) or any(t in joined for t in self.special):
+            plain = []
+            for w, text in zip(words, joined.split("\n")):
+                if SIMPLE.fullmatch(text) and not any(t in text for t in self.special):
+                    plain.append(w)
+                else:
+                    self.words[w] = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            words, joined = plain, b"\n".join(plain).decode("utf-8", "replace")
+        if not words:
+            return
+        if len(self.pieces) > PIECES:
+            self.older_pieces, self.pieces = self.pieces, {}
+        listed = PIECE.findall(joined.lower())
+        self.learn_pieces(set(listed).difference(self.pieces, ("\n",)))
+        get, known, made, at = self.pieces.get, self.words, [], 0
+        for found in map(get, listed):
+            if found is None:  # the end of a word
+                known[words[at]] = made[0] if len(made) == 1 else b"".join(made)
+                made, at = [], at + 1
+            else:
+                made.append(found)
+        known[words[at]] = b"".join(made)
+
+    def learn_pieces(self, wanted: set[str]) -> None:
+        older = self.older_pieces
+        fresh = []
+        for p in wanted:
+            if (found := older.get(p)) is None:
+                fresh.append(p)
+            else:
+                self.pieces[p] = found
+        if not fresh:
+            return
+        plain = [p if p.isascii() else "".join([self.letters[b] for b in p.encode()]) for p in fresh]
+        ids = np.array(self.bare.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids)
+        data, size = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * size).tolist()  # every piece has its last token marked
+        self.pieces.update({p: data[x:y] for p, x, y in zip(fresh, [0, *ends], ends)})
 
     def packed(self, ids: list[int]) -> bytes:
         return b"".join([self.item(i) for i in ids])
 
-    def piece(self, text: str) -> bytes:
-        plain = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
-        found = self.packed([t.id for t in self.model.tokenize(plain)])
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        self.pieces[text] = found
-        return found
-
 
 def encoder(path: str, end_id: int = END_ID, dtype: str = "<u4"):
     """Function from UTF-8 texts to their ids as bytes, end id included."""
@@ -215,8 +283,7 @@ def encoder(path: str, end_id: int = END_ID, dtype: str = "<u4"):
     kept = tokenizers.__dict__.setdefault("_words_by_file", {})
     words = kept.get((path, dtype)) or kept.setdefault((path, dtype), Words(path, dtype))
     end = np.array([end_id], dtype=dtype).tobytes()
-    get = words.__getitem__
-    return lambda texts: [b"".join(map(get, (t or b"").split())) + end for t in texts]
+    return lambda texts: [ids + end for ids in words.encode(texts)]
 
 
 def id_width(path: str, end_id: int = END_ID) -> int:

@@ -29,15 +29,15 @@ def test_shard_round_trip(n, width):
         assert s.count(v, n // 4, n // 2) == (ids[n // 4:n // 2] == v).sum()
 
 
-def check(docs, shard=tokens.SHARD):
-    t = Tokenizer.from_file(PATH)
+def check(docs, shard=tokens.SHARD, path=PATH):
+    t = Tokenizer.from_file(path)
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want, start = [], 0
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [tokens.END_ID]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
-    got = [tuple(r) for r in tokens.report(docs, PATH, shard=shard).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    got = [tuple(r) for r in tokens.report(docs, path, shard=shard).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
@@ -57,3 +57,28 @@ def test_odd_rows(odd, spark):
 
 def test_no_rows(nothing):
     assert tokens.report(nothing, PATH).count() == 0
+
+
+def test_another_tokenizer(odd):
+    """A file with other rules is not taken for one that splits at white space."""
+    check(odd, path=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_generations(monkeypatch):
+    """Words forgotten and met again, pieces shared, special and rare words among plain ones."""
+    monkeypatch.setattr(tokens, "CACHE", 3)
+    monkeypatch.setattr(tokens, "PIECES", 2)
+    t, w = Tokenizer.from_file(PATH), tokens.Words(PATH, "<u2")
+    texts = ["The cat's 12 hats, naïve <|endoftext|>x", "cat The dog", "ΌΔΟΣ dog", "a b c d e f", "the cat the dog", "", " \t\n", "x<|startoftext|>y 3.14 don't"] * 3
+    for at in range(0, len(texts), 2):
+        got = w.encode([x.encode() for x in texts[at:at + 2]])
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts[at:at + 2]]
+
+
+def test_directory_in_the_file():
+    """Rank entries are read from the file, and only the planes that a lookup passes are opened."""
+    ids = np.arange(5000, dtype="<u2") % 7
+    s = tokens.Shard.read(tokens.Shard.build(ids, [1], [5000], 3).write())
+    assert not s._open and s.count(8) == 0 and not s._open
+    before, plane = s.plane(0)
+    assert before.tolist() == tokens.ranks(plane).tolist() and s.count(3) == (ids == 3).sum()
