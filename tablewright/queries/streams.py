@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.queries.base import query, table
 from tablewright.session import shared_folder
 from tablewright.streaming import events as E
+from tablewright.streaming import limits as L
 
 UNORDERED = "4000 days"  # the written files come in no order of time, so nothing in them may count as late
 DOUBLE = "SELECT event_id, ts, user_id, event_type FROM events UNION ALL SELECT event_id, ts + INTERVAL 10 MINUTE, user_id, 'again' FROM events"
@@ -44,6 +45,48 @@ def once_stream(spark, sf):
     return drained(spark, unique).select("event_id", "user_id")
 
 
+def parts_stream(spark, df, part, n=3):
+    """A derived table as a stream of ``n`` micro-batches: the rows whose ``part`` is 0, then 1, and so on, each a file of its own."""
+    folder = shared_folder(spark)
+    marked = df.withColumn("_part", part)
+    for k in range(n):  # one after the other: files are read in the order they were written
+        marked.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    return E.read_events(spark, folder, df.schema)
+
+
+def by_time(df, n=3):
+    """Number of the slice of the table's time that a row falls in."""
+    lo, hi = df.agg(F.min(L.micros()), F.max(L.micros())).first()
+    return F.floor((L.micros() - lo) * n / (hi - lo + 1))
+
+
+LATE = """WITH e AS (SELECT *, event_id % 3 AS batch FROM events), m AS (SELECT batch, max(ts) AS t FROM e GROUP BY 1),
+w AS (SELECT batch, max(t) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 DAY AS mark FROM m),
+s AS (SELECT e.*, coalesce(ts < mark, false) AS late FROM e JOIN w USING (batch))
+"""
+
+
+def split_late(spark, sf):
+    """Three micro-batches over the whole span of time: rows ten days behind the newest of earlier ones go aside."""
+    df = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    out = shared_folder(spark)
+    E.run_to_end(parts_stream(spark, df, F.col("event_id") % 3), f"{out}/checkpoint", E.late_aside(out, "10 days", E.save_batch(f"{out}/data")))
+    return spark.read.parquet(f"{out}/data").drop("batch"), E.late_rows(spark, out)
+
+
+@query("x01_late", LATE + "SELECT event_id, batch FROM s WHERE late")
+def late(spark, sf):
+    return split_late(spark, sf)[1].select("event_id", "batch")
+
+
+@query("x04_late_counts", LATE + "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS late FROM s GROUP BY 1, 2")
+def late_counts(spark, sf):
+    """The trend of what came in time, and beside it what came too late."""
+    kept, aside = (E.daily_trend_batch(df) for df in split_late(spark, sf))
+    both = kept.join(aside.withColumnRenamed("n", "late"), ["day", "event_type"], "full")
+    return both.select("day", "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("late", F.lit(0)).alias("late"))
+
+
 LATEST = """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
 
 
@@ -164,6 +207,52 @@ def log(spark, sf):
     return E.bursts_batch(table(spark, sf, "events"), "user_id", 3600, 2)
 
 
+SPAN = 6 * 3600
+
+
+def first_windows(closed=""):
+    return f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, epoch_us(ts) AS us FROM events),
+w AS (SELECT user_id, min(us) AS s FROM e GROUP BY 1
+  UNION ALL SELECT e.user_id, min(e.us) FROM w JOIN e ON e.user_id = w.user_id AND e.us >= w.s + {SPAN}000000 GROUP BY e.user_id)
+SELECT w.user_id, s AS start_us, count(*) AS n FROM w JOIN e ON e.user_id = w.user_id AND e.us >= s AND e.us < s + {SPAN}000000 {closed} GROUP BY 1, 2 HAVING count(*) > 2"""
+
+
+def admitted(passed=""):
+    return f"""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+q AS (SELECT event_id, user_id, us, rn, [us] AS log, true AS admitted, cast(NULL AS BIGINT) AS retry_after FROM e WHERE rn = 1
+  UNION ALL SELECT event_id, user_id, us, rn, CASE WHEN len(k) < 2 THEN list_append(k, us) ELSE k END, len(k) < 2, CASE WHEN len(k) >= 2 THEN greatest(1, ({SPAN}000000 - (us - k[1])) // 1000000) END
+  FROM (SELECT e.*, list_filter(q.log, lambda t: e.us - t < {SPAN}000000) AS k FROM q JOIN e ON e.user_id = q.user_id AND e.rn = q.rn + 1))
+SELECT event_id, user_id, admitted, retry_after FROM q {passed}"""
+
+
+MARK = "(SELECT epoch_ms(max(ts) - INTERVAL 1 HOUR) * 1000 FROM events)"
+
+
+@query("x06_bursts_first", first_windows())
+def first(spark, sf):
+    return L.first_event_windows(table(spark, sf, "events"), "user_id", SPAN).where("n > 2")
+
+
+@query("x06_bursts_first_stream", first_windows(f"AND s + {SPAN}000000 <= {MARK}"))
+def first_stream(spark, sf):
+    """Windows that the watermark has closed; the rest is still open."""
+    df = table(spark, sf, "events").select("event_id", "ts", "user_id")
+    return drained(spark, L.first_event_windows_stream(parts_stream(spark, df, by_time(df)), "user_id", SPAN, "1 hour")).where("n > 2")
+
+
+@query("x06_admitted", admitted())
+def admitted_batch(spark, sf):
+    return L.admitted_log(table(spark, sf, "events"), "user_id", SPAN, 2)
+
+
+@query("x06_admitted_stream", admitted(f"WHERE us < {MARK}"))
+def admitted_stream(spark, sf):
+    df = table(spark, sf, "events").select("event_id", "ts", "user_id")
+    return drained(spark, L.admitted_log_stream(parts_stream(spark, df, by_time(df)), "user_id", SPAN, 2, "1 hour"))
+
+
 ROUTED = f"""SELECT event_id, CASE WHEN s IN ('failed') THEN 'dead_letter' ELSE 'needs_review' END AS route FROM (
   SELECT event_id, CASE event_type WHEN 'view' THEN 'failed' WHEN 'error' THEN 'quarantined' ELSE 'other' END AS s FROM events) WHERE s <> 'other'"""
 

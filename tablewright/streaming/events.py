@@ -18,6 +18,7 @@ from tablewright.functions.convert import merge_json_maps
 from tablewright.operators.kpi import STATUSES, normalized_status
 from tablewright.operators.ordered import orderable
 from tablewright.operators.rows import first_per_key
+from tablewright.streaming.keyed import KeyedTable, latest
 
 LATENESS = "1 day"
 SESSION_MINUTES = 30
@@ -71,23 +72,43 @@ def once_batch(events: DataFrame, key: str = "event_id") -> DataFrame:
 
 # -- latest row per key ---------------------------------------------------------------------------------------------
 
-def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return first_per_key(events, keys, [F.desc(c) for c in order + orderable(events, keys + order)])
-
-
 def upsert_into(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Append the latest row per key of each micro-batch; ``current`` reads the table.
-
-    The log is written by batch number, so a batch that runs twice replaces itself. Nothing old is rewritten.
-    """
+    """Keeps the newest row per key in a compacted table (``keyed.KeyedTable``); ``current`` reads it. A batch that runs twice changes nothing."""
     def write(df: DataFrame, batch: int) -> None:
-        latest(df, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        KeyedTable(df.sparkSession, path, keys, order).merge(df, batch)
 
     return write
 
 
 def current(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    return latest(spark.read.parquet(path).drop("batch"), keys, order)
+    return KeyedTable(spark, path, keys, order).read()
+
+
+# -- late rows --------------------------------------------------------------------------------------------------------
+
+def late_aside(path: str, lateness: str, write: Callable[[DataFrame, int], None], ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """Sink in front of another: rows older than the watermark (newest time of all earlier batches, less ``lateness``) go to a side table, the
+    rest to ``write``. The newest time so far is kept with each batch, so a batch that runs again is split in the same way."""
+    def split(df: DataFrame, batch: int) -> None:
+        spark, seen = df.sparkSession, None
+        if batch:
+            seen = spark.read.parquet(f"{path}/seen/batch={batch - 1}").first()[0]
+        df.persist()
+        try:
+            late = F.coalesce(F.col(ts) < F.lit(seen) - F.expr(f"INTERVAL {lateness}"), F.lit(False)) if seen is not None else F.lit(False)
+            df.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
+            write(df.where(~late), batch)
+            newest = F.greatest(F.max(ts), F.lit(seen).cast(df.schema[ts].dataType)).alias("seen")
+            df.agg(newest).write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
+        finally:
+            df.unpersist()
+
+    return split
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What ``late_aside`` kept back, with the number of the batch it came in."""
+    return spark.read.parquet(f"{path}/late").withColumn("batch", F.col("batch").cast("bigint"))
 
 
 # -- job state from callbacks -----------------------------------------------------------------------------------------
@@ -110,21 +131,22 @@ def callback_status(status: Column, error: Column, errors: Column | None = None,
     return state.otherwise(mapped)
 
 
-def roll_forward(jobs: DataFrame, callbacks: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Jobs (job_id, status, summary map) after all callbacks (job_id, ts, event_id, status, error, summary map).
-
-    Optional columns of the callbacks: ``errors`` (array) and ``reported`` (the payload's own status). Callbacks with an unknown
-    status change nothing. The state comes from the last callback. Of the summary each key keeps its last value, so the fold over the
-    callbacks of a job is a grouped maximum per key and a job with very many callbacks needs no single task.
-    """
-    at = F.struct(*order)
+def callback_entries(callbacks: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """What callbacks (job_id, ts, event_id, status, error, summary map) say, one row for each thing: the state under ``=``, a summary key
+    under ``k`` and its name. Optional columns: ``errors`` (array) and ``reported`` (the payload's own status). Callbacks with an unknown status say nothing."""
     more = [F.col(c) if c in callbacks.columns else None for c in ("errors", "reported")]
-    callbacks = callbacks.withColumn("_state", callback_status(F.col("status"), F.col("error"), *more)).where("_state IS NOT NULL")
-    last = callbacks.groupBy(job).agg(F.max_by("_state", at).alias("_status"), F.max("ts").alias("completed_at"))
-    entries = callbacks.select(job, at.alias("_at"), F.explode("summary").alias("_k", "_v"))
-    newest = entries.groupBy(job, "_k").agg(F.max_by("_v", "_at").alias("_v"))
-    maps = newest.groupBy(job).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("_new"))  # one entry per distinct key
-    joined = jobs.join(last, job, "left").join(maps, job, "left")
+    known = callbacks.withColumn("_state", callback_status(F.col("status"), F.col("error"), *more)).where("_state IS NOT NULL")
+    states = known.select(job, *order, F.lit("=").alias("entry"), F.col("_state").alias("value"))
+    keys = known.select(job, *order, F.explode("summary").alias("_k", "value")).select(job, *order, F.concat(F.lit("k"), "_k").alias("entry"), "value")
+    return states.unionByName(keys)
+
+
+def with_entries(jobs: DataFrame, entries: DataFrame, job: str = "job_id") -> DataFrame:
+    """Jobs (job_id, status, summary map) with the newest entries (one row per job and entry) applied."""
+    state = F.col("entry") == "="
+    pair = F.when(~state, F.struct(F.substring("entry", 2, 1 << 30).alias("k"), F.col("value").alias("v")))
+    said = entries.groupBy(job).agg(F.max(F.when(state, F.col("value"))).alias("_status"), F.max(F.when(state, F.col("ts"))).alias("completed_at"), F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("_new"))
+    joined = jobs.join(said, job, "left")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     merged = merge_json_maps(F.coalesce("summary", empty), F.coalesce("_new", empty), PROTECTED_KEYS)
     status = F.coalesce("_status", "status")
@@ -132,14 +154,25 @@ def roll_forward(jobs: DataFrame, callbacks: DataFrame, job: str = "job_id", ord
     return joined.select(job, status.alias("status"), F.when(F.col("_status").isNotNull(), with_status).otherwise(F.col("summary")).alias("summary"), "completed_at")
 
 
+def roll_forward(jobs: DataFrame, callbacks: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """Jobs after all callbacks. The state comes from the last callback; of the summary each key keeps its last value, so the fold over the callbacks of
+    a job is a grouped maximum per entry, and a job with very many callbacks needs no single task."""
+    newest = callback_entries(callbacks, job, order).groupBy(job, "entry").agg(F.max_by(F.struct("ts", "value"), F.struct(*order)).alias("_n"))
+    return with_entries(jobs, newest.select(job, "entry", "_n.ts", "_n.value"), job)
+
+
+ENTRY = ["job_id", "entry"], ["ts", "event_id"]
+
+
 def roll_forward_into(path: str) -> Callable[[DataFrame, int], None]:
-    """Stream sink for callbacks: logged per batch, once per event id."""
-    return upsert_into(path, ["job_id", "event_id"], ["ts"])
+    """Stream sink for callbacks: folded into a compacted table of the newest entries, which callbacks received again do not change."""
+    fold = upsert_into(path, *ENTRY)
+    return lambda df, batch: fold(callback_entries(df), batch)
 
 
 def rolled_forward(spark: SparkSession, path: str, jobs: DataFrame) -> DataFrame:
-    """State of the jobs after everything in the callback log."""
-    return roll_forward(jobs, current(spark, path, ["job_id", "event_id"], ["ts"]))
+    """State of the jobs after everything received; reads live entries only."""
+    return with_entries(jobs, current(spark, path, *ENTRY))
 
 
 # -- trend ------------------------------------------------------------------------------------------------------------

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.streaming import events as E
+from tablewright.streaming.keyed import KeyedTable
 
 
 def test_callbacks_roll_jobs_forward(spark, tmp_path):
@@ -20,17 +22,65 @@ def test_callbacks_roll_jobs_forward(spark, tmp_path):
     assert got == {1: ("succeeded", {"intent_id": "old", "progress": "100", "status": "succeeded"}), 2: ("failed", {"note": "x", "status": "failed"}), 3: ("queued", {"k": "v"})}
 
 
-def test_a_batch_that_runs_twice_replaces_itself(spark, tmp_path):
-    path = str(tmp_path / "log")
-    df = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (2, 1, "z")], "k long, ts long, v string")
+def newest(rows):
+    out = {}
+    for k, ts, v in rows:
+        out[k] = max(out.get(k, (ts, v)), (ts, v))
+    return sorted((k, *x) for k, x in out.items())
+
+
+def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(1, 5, "x"), (1, 7, "y"), (2, 1, "z")]
+    df = spark.createDataFrame(rows, "k long, ts long, v string")
     write = E.upsert_into(path, ["k"], ["ts"])
     write(df, 0)
-    write(df, 0)
+    write(df.withColumn("ts", F.col("ts") + 100), 0)
     write(df.where("k = 2").withColumn("ts", F.col("ts") + 9), 1)
-    assert spark.read.parquet(path).count() == 3
     assert sorted(tuple(r) for r in E.current(spark, path, ["k"], ["ts"]).select("k", "ts", "v").collect()) == [(1, 7, "y"), (2, 10, "z")]
 
 
+def test_keyed_table_stays_small(spark, tmp_path):
+    """Many batches over few keys: few segments, and reading costs about the live keys."""
+    table, rows = KeyedTable(spark, str(tmp_path / "table"), ["k"], ["ts"]), []
+    for batch in range(12):
+        new = [(k, batch * 10 + k % 3, f"{batch}.{k}") for k in range(batch % 5, 40, 1 + batch % 4)]
+        rows += new
+        table.merge(spark.createDataFrame(new, "k long, ts long, v string"), batch)
+        _, parts = table.segments()
+        assert sum(n for _, n in parts) <= 2 * 40 + 40 and all(a[1] > 2 * b[1] for a, b in zip(parts, parts[1:]))
+    assert sorted(tuple(r) for r in table.read().collect()) == newest(rows)
+    assert table.clean() > 0
+    assert sorted(tuple(r) for r in table.read().collect()) == newest(rows) and table.clean() == 0
+
+
+def test_killed_before_the_swap(spark, tmp_path, monkeypatch):
+    """A batch whose segment is written but not published is not there, and runs again as if for the first time."""
+    table = KeyedTable(spark, str(tmp_path / "table"), ["k"], ["ts"])
+    one, two = [(1, 1, "a"), (2, 1, "b")], [(2, 5, "c"), (3, 1, "d")]
+    frame = lambda rows: spark.createDataFrame(rows, "k long, ts long, v string")
+    table.merge(frame(one), 0)
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            table.merge(frame(two), 1)
+    assert sorted(tuple(r) for r in table.read().collect()) == newest(one) and table.segments()[0] == 0
+    table.merge(frame(two), 1)
+    assert sorted(tuple(r) for r in table.read().collect()) == newest(one + two)
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    """Rows behind the newest time of earlier batches by more than the bound go aside, also when a batch runs again."""
+    path, at = str(tmp_path), lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    batches = [[(1, at(50)), (2, at(1))], [(3, at(39)), (4, at(40)), (5, None), (6, at(60))], [(7, at(49)), (8, at(51))]]
+    kept = []
+    sink = E.late_aside(path, "10 hours", lambda df, b: kept.append((b, sorted(r[0] for r in df.collect()))))
+    for b in (0, 1, 1, 2):
+        sink(spark.createDataFrame(batches[b], "id long, ts timestamp_ntz"), b)
+    assert kept == [(0, [1, 2]), (1, [4, 5, 6]), (1, [4, 5, 6]), (2, [8])]
+    assert sorted((r.id, r.batch) for r in E.late_rows(spark, path).collect()) == [(3, 1), (7, 2)]
+
+
 def test_callback_words(spark):
     rows = [("complete", None, None, None), ("completed", " ", ["", None], None), ("succeeded", None, ["x"], "complete"), ("complete", "boom", None, "quarantined"), ("running", None, None, "Partial"),
             ("nonsense", None, None, "complete"), (None, None, None, None), ("awaiting_confirmation", "e", None, "other"), ("partial", None, None, "completed")]
