@@ -5,8 +5,8 @@ one task. Here rows are cut into balanced blocks by (keys, order); each block is
 from a carry value of the blocks before it. Only the first key of a block can have begun in an earlier block, so the
 carry table has at most one row per block: it is small whatever the data size and may be broadcast.
 
-A row's block follows from its own values and a list of cut points taken from a sample, so nothing is written: the
-input is read for the sample, for the carry and for the result. An input that gives other rows each time it is
+A row's block follows from its own values and a list of cut points taken from a sample; only this list is written. The
+input is read for its size, for the sample, for the carry and for the result. An input that gives other rows each time it is
 read (random values, arrival order) must be made durable first.
 """
 
@@ -20,7 +20,9 @@ from tablewright.operators.columns import money_rounded, require
 from tablewright.session import durable
 
 BLOCK = "_block"
-PER_BLOCK = 64
+PER_BLOCK = 32  # sampled rows for each block
+ROWS_PER_BLOCK, MOST_BLOCKS = 4_000_000, 1 << 15
+PORTION = 1024  # equal rows that stay together
 
 
 def _let(value: Column, body) -> Column:
@@ -39,22 +41,45 @@ def _place(cuts: Column, at: Column, n: int) -> Column:
     return i
 
 
+def _cuts(df: DataFrame, at: Column, n: int, rows: int) -> DataFrame:
+    """One row, ``_cuts``: up to n - 1 sorted cut points with about the same number of rows between them; a value that many rows share stands there
+    several times. They come from a random sample of about ``PER_BLOCK`` rows for each block, and are written, so that every reader cuts alike."""
+    sample = df.select(at.alias("_at")).sample(min(1.0, n * PER_BLOCK / max(rows, 1)), seed=7)
+    step = F.greatest(F.floor(F.size("_all") / n), F.lit(1)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), F.lit(max(1, n - 1))), lambda i: F.get("_all", i * step))
+    return durable(sample.agg(F.array_sort(F.collect_list("_at")).alias("_all")).select(F.filter(picked, lambda c: c.isNotNull()).alias("_cuts")))
+
+
 def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Balanced, ordered blocks. ``order`` must be a total order within the keys.
+    """Balanced, ordered blocks. ``order`` must be a total order within the keys; rows alike in it are in no order among themselves.
 
-    About ``PER_BLOCK`` sampled rows for each block are sorted in one place; their number follows the blocks, not the rows.
+    The number of blocks follows the number of rows. A row's block follows from its own values, but rows of a value that fills more than a block are spread over all
+    blocks between its cuts: they are counted by their whole content, and each portion of ``PORTION`` copies goes to a block by its hash.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.count()
+    n = min(MOST_BLOCKS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_BLOCK)))
     at = F.struct(*[F.col(c) for c in keys + order])
-    every = max(1, df.count() // (n * PER_BLOCK))
-    sample = df.select(at.alias("_at")).where(F.pmod(F.xxhash64("_at"), F.lit(every)) == 0)
-    ranks = F.array_sort(F.collect_list("_at"))
-    step = F.greatest(F.floor(F.size("_all") / n), F.lit(1)).cast("int")
-    picked = F.transform(F.sequence(F.lit(1), F.lit(max(1, n - 1))), lambda i: F.get("_all", i * step))
-    cuts = sample.agg(ranks.alias("_all")).select(F.filter(picked, lambda c: c.isNotNull()).alias("_cuts"))
-    # the optimiser folds _cuts into its one use, so the list is not copied into rows
-    marked = df.withColumn("_at", at).withColumn("_cuts", cuts.scalar())
-    return marked.withColumn(BLOCK, _let(F.col("_cuts"), lambda c: _place(c, F.col("_at"), n))).drop("_at", "_cuts")
+    cuts = _cuts(df, at, n, rows)
+
+    def marked(of: DataFrame) -> DataFrame:
+        # the optimiser folds _cuts into its one use, so the list is not copied into rows
+        return of.withColumn("_at", at).withColumn("_cuts", cuts.select("_cuts").scalar())
+
+    light = marked(df)
+    block = _let(F.col("_cuts"), lambda c: _place(c, F.col("_at"), n))
+    if not cuts.where(F.size("_cuts") > F.size(F.array_distinct("_cuts"))).count():
+        return light.withColumn(BLOCK, block).drop("_at", "_cuts")
+    repeated = cuts.select(F.filter(F.array_distinct("_cuts"), lambda c: F.size(F.filter("_cuts", lambda x: x == c)) > 1).alias("_heavy"))
+    heavy = F.array_contains(repeated.scalar(), at)
+    counted = df.where(heavy).groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    portions = counted.withColumn("_c", F.explode(F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {PORTION} as int)"))))
+    spread = F.xxhash64("_c", *[c for c, t in df.dtypes if "map<" not in t])
+    portions = portions.withColumn("_h", spread).repartition("_h").withColumn("_n", F.least(F.lit(PORTION), F.col("_n") - F.col("_c") * PORTION))
+    copies = marked(portions.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))))
+    same = F.size(F.filter("_cuts", lambda c: c == F.col("_at")))
+    first = block - same
+    copies = copies.withColumn(BLOCK, (first + F.pmod(F.col("_h"), (same + 1).cast("bigint"))).cast("int"))
+    return light.where(~heavy).withColumn(BLOCK, block).drop("_at", "_cuts").unionByName(copies.select(*[F.col(f"`{c}`") for c in df.columns], BLOCK))
 
 
 def _carry(blocks: DataFrame, keys: list[str], per_block: Column, over_blocks) -> DataFrame:

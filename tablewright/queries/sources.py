@@ -33,6 +33,31 @@ def tsv_scan(spark, sf):
     return delimited(spark, sf, "\t")
 
 
+@query("s01_reordered_header", f"SELECT cast(c_custkey AS string) AS id, {NA_SQL} AS segment, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer")
+def reordered_header(spark, sf):
+    """Columns stand in the files in another order than they are asked for, with one more between them."""
+    folder = shared_folder(spark)
+    df = table(spark, sf, "customer").select(F.expr(NA).alias("segment"), F.col("c_nationkey"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN c_name END").alias("name"), F.col("c_custkey").cast("string").alias("id"))
+    df.write.option("header", True).option("escape", '"').csv(folder)
+    return R.read_delimited(spark, folder, ["id", "segment", "name"])
+
+
+CELL = "concat(c_name, CASE c_custkey % 5 WHEN 0 THEN '{0}second \"line\"' WHEN 1 THEN ', one' WHEN 2 THEN '{0}{0}\"{0}' WHEN 3 THEN '' ELSE ' 5\" pipe' END)"
+
+
+@query("s01_multiline_cells", f"""
+SELECT cast(c_custkey AS string) AS id, {CELL.replace("{0}", "' || chr(10) || '")} AS note, c_mktsegment AS segment FROM customer""")
+def multiline_cells(spark, sf):
+    """Cells with line ends, quotes and separators make the round trip; two files' headers differ in order."""
+    folder = shared_folder(spark)
+    df = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.expr(CELL.replace("{0}", "\\n")).alias("note"), F.col("c_mktsegment").alias("segment"))
+    odd = F.col("id").cast("bigint") % 2 == 1
+    plain = {"header": True, "escape": "\"", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.where(odd).repartition(2).write.options(**plain).csv(folder)
+    df.where(~odd).select("segment", "note", "id").write.mode("append").options(**plain, quoteAll=True).csv(folder)
+    return R.read_delimited(spark, folder, ["id", "note", "segment"], multiline=True)
+
+
 def json_folder(spark, sf, wrapped):
     """Documents of at most 500 rows each, one per file."""
     folder = shared_folder(spark)
@@ -54,7 +79,18 @@ def json_array(spark, sf):
 
 @query("s03_json_object_scan", PART_SQL)
 def json_object(spark, sf):
-    return R.read_json_table(spark, json_folder(spark, sf, True), f"title string, rows array<struct<{PART.replace(' bigint', ': bigint').replace(' string', ': string')}>>")
+    return R.read_json_table(spark, json_folder(spark, sf, True), PART)
+
+
+@query("s03_first_list", PART_SQL)
+def json_first_list(spark, sf):
+    """Of several lists the first non-empty one with objects, in the order of the document; names in another order; no schema given."""
+    folder = shared_folder(spark)
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.floor(F.col("p_partkey") / 500).alias("bucket"))
+    body = F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_size")))
+    doc = F.concat(F.lit('{"title": "x", "none": [], "tags": ["a"], "zeta": '), body, F.lit(', "alpha": [{"p_partkey": -1}], "meta": {"n": 1}}'))
+    rows.groupBy("bucket").agg(doc.alias("value")).write.partitionBy("bucket").text(folder)
+    return R.read_json_table(spark, f"{folder}/bucket=*").select("p_partkey", "p_name", "p_size")
 
 
 @query("s04_text_scan", r"""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.ordered import number_rows
+from tablewright.session import shared_folder
+from tablewright.sources.delimited import read_by_header
 
 # Words that mean "no value" in delimited text.
 NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
@@ -17,27 +19,48 @@ def null_words_out(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*NULL_WORDS), F.col(c)) for c, t in df.dtypes if t == "string"})
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
-    """Header row, all columns as text, null words out; types come later by safe conversion.
+def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str = ",", multiline: bool = False) -> DataFrame:
+    """``columns`` by the names in the header row, all as text, null words out; types come later by safe conversion.
 
-    Giving the columns avoids a pass over the data to infer a schema.
+    The names are read from one file, and Spark checks the header of every other against them: a file with another order is an error, not a
+    swap. With ``multiline`` cells may hold line ends, and every file's own header counts (see ``delimited``); both cost more passes.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').schema(schema).csv(path)
-    return null_words_out(raw)
+    if multiline:
+        return null_words_out(read_by_header(spark, path, columns, sep))
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    names = reader.csv(path).columns
+    missing = [c for c in columns if c not in names]
+    if missing:
+        raise ValueError(f"columns {missing} are not in the header {names}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return null_words_out(reader.option("enforceSchema", False).schema(schema).csv(path).select(*[F.col(f"`{c}`") for c in columns]))
 
 
 def read_json_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Files that hold an array of objects, one object, or an object whose first list of objects is the table.
+    """Files that hold an array of objects, one flat object, or an object with lists in it, whose first non-empty list of objects, in the
+    order of the document, is the table. ``schema`` describes a record; without it the records are written once and inferred.
 
     A JSON document cannot be split, so it is one task per file; for large data write JSON lines and many files.
     """
-    reader = spark.read.option("multiLine", True)
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            return df.select(F.inline(f.name))
-    return df
+    docs = spark.read.text(path, wholetext=True).select(F.ltrim(F.regexp_replace("value", r"^[\s\uFEFF]+", "")).alias("value"))
+    texts = "array<string>"
+
+    def objects(value: Column) -> Column:
+        """The items of a list that is not empty and holds objects only, each as its own text; else null."""
+        items = F.when(value.startswith("["), F.from_json(value, texts))
+        return F.when((F.size(items) > 0) & F.forall(items, lambda x: F.coalesce(x.startswith("{"), F.lit(False))), items)
+
+    # a map keeps the order of the document, and nested values as their text
+    values = F.map_values(F.from_json("value", "map<string,string>"))
+    nested = F.exists(values, lambda v: F.coalesce(v.startswith("[") | v.startswith("{"), F.lit(False)))
+    lists = F.filter(F.transform(values, objects), lambda x: x.isNotNull())
+    inner = F.when(~nested, F.array("value")).otherwise(F.get(lists, F.lit(0)))
+    rows = docs.select(F.explode(F.when(F.col("value").startswith("["), objects(F.col("value"))).when(F.size(values) > 0, inner)).alias("value"))
+    if schema is None:
+        folder = shared_folder(spark)
+        rows.select(F.regexp_replace("value", r"[\r\n]+", " ")).write.text(folder)  # line ends stand between tokens only
+        return spark.read.json(folder)
+    return rows.select(F.from_json("value", schema).alias("_r")).select("_r.*")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

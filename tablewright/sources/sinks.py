@@ -14,7 +14,9 @@ def safe_columns(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    safe_columns(df).write.mode("overwrite").option("header", True).csv(path)
+    """Quotes are doubled and white space is kept, so that any reader gets back what was written (line ends in cells: ``read_delimited(multiline=True)``)."""
+    as_is = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    safe_columns(df).write.mode("overwrite").options(header=True, **as_is).csv(path)
 
 
 def write_json(df: DataFrame, path: str, title: str = "Report") -> None:
