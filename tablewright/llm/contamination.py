@@ -61,7 +61,8 @@ def _slot(w: Column) -> Column:
 
 
 def _template(w: Column) -> Column:
-    return F.when(w.startswith(NAME), "<name>").when(w.startswith(UNIT), "<unit>").when(_number(w), "<number>").otherwise(w)
+    # marks and digits come before the letters, so plain words take one comparison
+    return F.when(w >= "a", w).when(w.startswith(NAME), "<name>").when(w.startswith(UNIT), "<unit>").when(_number(w), "<number>").otherwise(w)
 
 
 def _hashed(df: DataFrame) -> DataFrame:
