@@ -7,10 +7,12 @@ is an aggregation of the counted (source, size) pairs, and the multipliers stay
 
 Rates become whole copies: the whole part is certain, and one copy more goes to documents in the order of (a hash uniform
 minus the fraction) until the source's words are as near to its target as one document allows. The cut in that order is found
-on a histogram first, then exactly inside one of its ``BUCKETS`` buckets. Copies are a function of source, doc_id and size.
+on a histogram first, then exactly inside one of its ``BUCKETS`` buckets. The place of a row is a hash of its columns (without maps).
+Rows alike in all of them share a place; where the cut falls among them they are counted and k of the n get the copy.
 
-Defined cases: null text has size 0; null source is a source of its own, last in order; rows alike in source, doc_id and size get the
-same number of copies; sources without words have target 0, and their documents are taken once; an empty table gives an empty result.
+Defined cases: null text has size 0; null source is a source of its own, last in order; repeated rows are documents of their own, and
+where the mix takes some of them, which ones shows in no column; sources without words have target 0, and their documents are taken
+once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +28,21 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BUCKETS = 4096
 ROUNDS, STEPS, NEAR = 30, 3, 1e-7  # a round is a written table
+BLOCK = 4096  # rows alike that one task deals with at a time
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("bigint")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """64 bits of all columns that can be hashed: maps cannot."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("bigint").alias("size"))
+    """doc_id, source, size in words, and row_hash, which tells rows with one doc_id apart."""
+    return docs.select("doc_id", "source", _size().alias("size"), _row_hash(docs).alias("row_hash"))
 
 
 def targets(of: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -97,7 +109,7 @@ def _with_order(of: DataFrame, params: DataFrame, most: float) -> DataFrame:
     p = params.withColumnRenamed("source", "_s")
     joined = of.join(if_small(p), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.round(_rate(F.col("size") / F.col("_mean"), most), 9))
-    uniform = F.pmod(F.xxhash64("doc_id", "size", "source"), F.lit(1 << 52)) / float(1 << 52)
+    uniform = F.pmod(F.xxhash64("row_hash", "size"), F.lit(1 << 52)) / float(1 << 52)
     return joined.withColumn("_rate", rate).withColumn("whole", F.floor("_rate")).withColumn(
         "v", F.when((F.col("whole") < most) & (F.col("size") > 0), uniform - (F.col("_rate") - F.col("whole"))))
 
@@ -107,7 +119,8 @@ def _bucket(v: Column) -> Column:
 
 
 def cuts(of: DataFrame, params: DataFrame, most: float = MOST) -> DataFrame:
-    """Adds ``cut`` to ``params``: documents with v up to it get one copy more."""
+    """Adds the cut to ``params``: rows before (cut, cut_hash) in the order of (v, row_hash) get one copy more, and ``cut_take`` of
+    the ``cut_alike`` rows that lie on it."""
     rows = _with_order(of, params, most)
     by = rows.groupBy("source", _bucket(F.col("v")).alias("_b")).agg(F.sum("size").alias("_sum"), F.sum(F.col("whole") * F.col("size")).alias("_sure"), F.min("target").alias("target"))
     need = F.col("target") - F.sum("_sure").over(W.partitionBy("source"))
@@ -116,25 +129,44 @@ def cuts(of: DataFrame, params: DataFrame, most: float = MOST) -> DataFrame:
     edge = by.where("_b IS NOT NULL AND upto > need").groupBy("source").agg(F.min_by(F.struct("_b", (F.col("need") - (F.col("upto") - F.col("_sum"))).alias("left")), "_b").alias("e"))
     edge = durable(edge.select(F.col("source").alias("_s"), F.col("e._b").alias("_edge"), F.col("e.left").alias("_left")))
     last = rows.join(if_small(edge), F.col("source").eqNullSafe(F.col("_s"))).where(_bucket(F.col("v")) == F.col("_edge"))
-    run = F.sum("size").over(W.partitionBy("source").orderBy("v", "doc_id", "size"))  # one bucket of each source
-    taken = last.withColumn("_run", run).where(F.col("_run") - F.col("size") / 2 <= F.col("_left"))
-    exact = taken.groupBy(F.col("source").alias("_s")).agg(F.max("v").alias("_v"))
+    alike = last.groupBy("source", "v", "row_hash", "size", "_left").agg(F.count(F.lit(1)).alias("n"))
+    # one bucket of each source, with repeated rows already counted
+    before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(W.partitionBy("source").orderBy("v", "row_hash").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    take = F.least("n", F.floor((F.col("_left") - F.col("_before")) / F.col("size") + 0.5))
+    begun = alike.withColumn("_before", before).where(F.col("_before") + F.col("size") / 2 <= F.col("_left"))
+    at = F.struct(F.col("v").alias("cut"), F.col("row_hash").alias("cut_hash"), take.cast("bigint").alias("cut_take"), F.col("n").alias("cut_alike"))
+    exact = begun.groupBy(F.col("source").alias("_s")).agg(F.max(at).alias("_at"))
     joined = params.join(edge, params["source"].eqNullSafe(edge["_s"]), "left").drop("_s").join(exact, params["source"].eqNullSafe(exact["_s"]), "left").drop("_s")
-    at = F.when(F.col("_edge").isNull(), F.lit(2.0)).otherwise(F.coalesce("_v", F.col("_edge") * (2.0 / BUCKETS) - 1.0 - 1e-12))
-    return joined.withColumn("cut", at).drop("_edge", "_left", "_v")
+    nobody = F.when(F.col("_edge").isNull(), F.lit(2.0)).otherwise(F.col("_edge") * (2.0 / BUCKETS) - 1.0 - 1e-12)  # no row lies there
+    joined = joined.withColumn("cut", F.coalesce("_at.cut", nobody))
+    return joined.withColumns({c: F.coalesce(f"_at.{c}", F.lit(0).cast("bigint")) for c in ("cut_hash", "cut_take", "cut_alike")}).drop("_edge", "_left", "_at")
 
 
 def plan(of: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row for each source: docs, source_size, target, lam, cut."""
+    """One row for each source: docs, source_size, target, lam and the cut (see ``cuts``)."""
     goal = durable(targets(of, weights, share, most))
     return durable(cuts(of, multipliers(of, goal, most), most))
 
 
 def with_copies(of: DataFrame, params: DataFrame, most: float = MOST) -> DataFrame:
-    """Rows of ``of`` (doc_id, source, size and more) with source_size, target and copies."""
+    """Rows of ``of`` (doc_id, source, size, row_hash and more) with source_size, target and copies."""
     rows = _with_order(of, params, most)
-    copies = (F.col("whole") + F.coalesce((F.col("v") <= F.col("cut")).cast("int"), F.lit(0))).cast("bigint")
-    return rows.select(*of.columns, "source_size", "target", copies.alias("copies"))
+    on_cut = F.coalesce((F.col("v") == F.col("cut")) & (F.col("row_hash") == F.col("cut_hash")), F.lit(False))
+    split = on_cut & (F.col("cut_take") < F.col("cut_alike"))
+    more = (F.col("v") < F.col("cut")) | ((F.col("v") == F.col("cut")) & (F.col("row_hash") <= F.col("cut_hash")))
+    names = [*of.columns, "source_size", "target"]
+    if not params.where("cut_take < cut_alike").limit(1).count():
+        return rows.select(*names, (F.col("whole") + F.coalesce(more.cast("int"), F.lit(0))).cast("bigint").alias("copies"))
+    plain = rows.where(~split).select(*names, (F.col("whole") + F.coalesce(more.cast("int"), F.lit(0))).cast("bigint").alias("copies"))
+    # repeated rows are counted on the map side, then dealt out again in blocks
+    counted = rows.where(split).groupBy(*names, "whole", "cut_take").agg(F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy("source").orderBy(F.to_json(F.struct(*of.columns)))  # one row of a source, unless maps differ
+    counted = counted.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+    blocks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(BLOCK).cast("bigint"))))
+    each = F.sequence("_from", F.least(F.col("_from") + BLOCK, F.col("_n")) - 1)
+    dealt = blocks.repartition("source", "_from").withColumn("_i", F.explode(each))
+    lucky = (F.col("_before") + F.col("_i") < F.col("cut_take")).cast("int")
+    return plain.unionByName(dealt.select(*names, (F.col("whole") + lucky).cast("bigint").alias("copies")))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -147,8 +179,7 @@ def report(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it."""
     params = plan(durable(sizes(docs)))
-    size = F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("bigint")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # columns of any name ride along
-    of = docs.select(row.alias("_row"), "doc_id", "source", size.alias("size"))
+    of = docs.select(row.alias("_row"), "doc_id", "source", _size().alias("size"), _row_hash(docs).alias("row_hash"))
     out = with_copies(of, params).where("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
