@@ -40,3 +40,20 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_stages_on_odd_rows(spark, sf, odd, nothing):
+    """Each stage by itself: nulls, empty and long texts, repeated rows, clashing columns; then no rows at all."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = odd.count()
+    kept = {name: stages[name](spark, odd, sf) for name in stages}
+    for name, out in kept.items():
+        assert name == "token_shards" or out.columns == odd.columns
+    blank = {3, 4, 5, 12, 13}
+    assert kept["toxicity"].count() == kept["decontamination"].count() == kept["token_shards"].count() == rows
+    single = [r["doc_id"] for r in kept["near_duplicates"].collect()]
+    assert len(single) == len(set(single)) and blank & set(single) == {3} and 1 in single and 2 not in single
+    mixed = [r["doc_id"] for r in kept["mixing"].collect()]
+    assert blank <= set(mixed) and all(mixed.count(i) == 1 for i in blank)
+    for name in stages:
+        assert stages[name](spark, nothing, sf).count() == 0
