@@ -379,3 +379,11 @@ def test_map_columns_settle_no_ties(spark):
     assert sorted(r.running_total_n for r in running_total(df, "n", ["k"]).collect()) == [5, 12, 19]
     assert K.drop_duplicates(df, ["k"], order=["n"]).count() == 2
     assert once_batch(df).count() == 2
+
+
+def test_styles_of_acronyms_and_digits():
+    names = ("HTTPServer2Port", "order2Item", "_Total__Amount ", "A", "iPhone 15-Pro", "__", "ABC")
+    assert [C.styled_name(n, "snake_case") for n in names] == ["http_server2_port", "order2_item", "total_amount", "a", "i_phone_15_pro", "", "abc"]
+    assert [C.styled_name(n, "camel_case") for n in names] == ["httpServer2Port", "order2Item", "totalAmount", "a", "iPhone15Pro", "", "abc"]
+    assert [C.styled_name(n, "pascal_case") for n in names] == ["HttpServer2Port", "Order2Item", "TotalAmount", "A", "IPhone15Pro", "", "Abc"]
+    assert C.styled_name("  Mixed Case ", "lowercase") == "mixed case"
