@@ -58,7 +58,7 @@ def _is_date(dtype: str) -> bool:
 
 def _plain(df: DataFrame) -> DataFrame:
     """Only columns with simple values; nested ones have no text form to profile."""
-    return df.select(*[c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "variant"))])
+    return df.select(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "variant"))])
 
 
 def table_profile(df: DataFrame, size_bytes: int | None = None) -> DataFrame:

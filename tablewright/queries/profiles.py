@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import profile as P
+from tablewright.operators import states as S
 from tablewright.operators.columns import LEDGER_ALIASES
 from tablewright.queries.base import query, table, view
+from tablewright.session import shared_folder
 
 SHEET = ("sheet",)
 COLS = {"id": "bigint", "full_name": "string", "segment": "string", "balance_text": "string", "balance": "double", "gender": "string",
@@ -198,3 +200,44 @@ SELECT "column", CASE WHEN "column" = 'id' THEN 'identifier' WHEN dtype IN ('big
   WHEN distinct_count < (null_count + non_null_count) * 0.5 THEN 'category' ELSE 'dimension' END AS field_role FROM ({PROFILE_SQL})""", uses=SHEET)
 def field_role(spark, sf):
     return P.result_fields(P.column_profile(sheet(spark, sf))).select("column", "field_role")
+
+
+def order_states(spark, sf):
+    """States of the orders by year: the years up to 1999 first, later ones as a second load, 1999 once more as a corrected one."""
+    orders = table(spark, sf, "orders").withColumn("part", F.year("o_orderdate"))
+    path = shared_folder(spark)
+    for load in (F.coalesce(F.col("part") < 2000, F.lit(True)), F.col("part") >= 2000, F.col("part") == 1999):
+        S.refresh(orders.where(load), "part", path)
+    return S.stored(spark, path)
+
+
+ORDER_COLS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}
+
+
+def states_sql(c, t):
+    number, text, date = t in ("bigint", "double"), t == "string", t == "timestamp"
+    day = "'%Y-%m-%dT%H:%M:%S'"
+    return f"""SELECT '{c}' AS "column", count(*) - count({c}) AS null_count, count({c}) AS non_null_count,
+  {f'cast(min({c}) AS double)' if number else 'cast(NULL AS double)'} AS numeric_min, {f'cast(max({c}) AS double)' if number else 'cast(NULL AS double)'} AS numeric_max,
+  {f'strftime(min({c}), {day})' if date else 'cast(NULL AS varchar)'} AS date_min, {f'strftime(max({c}), {day})' if date else 'cast(NULL AS varchar)'} AS date_max,
+  {f'round(avg(length({c})), 6)' if text else 'cast(NULL AS double)'} AS average_text_length FROM orders"""
+
+
+@query("q02_profile_from_states", "\nUNION ALL\n".join(states_sql(c, t) for c, t in ORDER_COLS.items()))
+def profile_from_states(spark, sf):
+    exact = S.profile(order_states(spark, sf)).drop("ordinal", "dtype", "distinct_count", "quantiles")
+    return exact.withColumn("average_text_length", F.round("average_text_length", 6))
+
+
+@query("q02_estimates_from_states")  # sketches: held to their bounds by a test
+def estimates_from_states(spark, sf):
+    return S.profile(order_states(spark, sf)).select("column", "distinct_count", "quantiles")
+
+
+STATE_VALUES = "\nUNION ALL\n".join(f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c}""" for c in ("o_orderstatus", "o_orderpriority"))
+
+
+@query("q03_frequent_from_states", f"""
+SELECT * FROM (SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank, value, n FROM ({STATE_VALUES})) WHERE rank <= 5""")
+def frequent_from_states(spark, sf):
+    return S.frequent_values(order_states(spark, sf).where(F.col("column").isin("o_orderstatus", "o_orderpriority")))
