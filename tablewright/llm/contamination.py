@@ -35,7 +35,8 @@ UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mile", "mil
 NAME, UNIT = "\u0001", "\u0002"  # marks in front of a word
 MARK = " " + NAME
 INSIDE = r" (?<=[\p{L}\p{N},;:)] )(?=\p{Lu}\p{Ll})"  # the space first: other characters fail at once
-TOKEN = r"\x01\p{L}+(?:(?:['’-]| \x01)\p{L}+)*|\p{L}+(?:['’-]\p{L}+)*|[0-9]+(?:[.,:/][0-9]+)*"
+# possessive: the same matches, but a word of any length takes no stack for its parts
+TOKEN = r"\x01\p{L}+(?:(?:['’-]| \x01)\p{L}+)*+|\p{L}+(?:['’-]\p{L}+)*+|[0-9]+(?:[.,:/][0-9]+)*+"
 
 
 def _tokens(text: Column) -> Column:

@@ -124,3 +124,10 @@ def test_clean_and_odd_rows(spark, odd, nothing):
     assert contamination.report(nothing, bench).count() == 0
     assert contamination.report(odd, spark.createDataFrame([], BENCH)).count() == 0
     assert contamination.clean(odd, spark.createDataFrame([], BENCH)).count() == odd.count()
+
+
+def test_words_of_many_parts(spark):
+    """Names, hyphenated words and numbers of 20,000 parts take no deep stack, and the text around them is still judged."""
+    long = ("and " + "Otto " * 20_000, "ab" + "-ab" * 20_000, "1" + ",234" * 20_000)
+    docs = [(i, f"{x}. {ITEM}. {x}") for i, x in enumerate(long)] + [(9, " ".join(long))]
+    assert {r["doc_id"] for r in run(spark, docs, [(1, ITEM)])} == {0, 1, 2}
