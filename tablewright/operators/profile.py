@@ -7,6 +7,7 @@ fills a third of a column is one row per task in the shuffle.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from tablewright.operators.columns import is_numeric
 from tablewright.operators.rows import first_per_key
 
 SAMPLE_VALUES = 5
+TASK_CELLS = 2_000_000  # cells whose values one task counts before the shuffle
 LARGE_BYTES = 50_000_000
 
 # Name parts behind the semantic guess of a column.
@@ -61,6 +63,28 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "variant"))])
 
 
+def _spread(df: DataFrame, width: int) -> DataFrame:
+    """Rows dealt evenly over so many tasks that each counts about ``TASK_CELLS`` cells; a file read by one task would else be counted by one."""
+    parts = math.ceil(df.count() * width / TASK_CELLS)
+    return df.repartition(parts, F.monotonically_increasing_id()) if parts > 1 else df
+
+
+def _value_key(c: Column, dtype: str) -> Column:
+    """Text that is equal exactly where the values are: one zero, and moments by their number."""
+    if dtype in ("float", "double"):
+        c = c + F.lit(0).cast(dtype)
+    elif dtype == "timestamp":
+        c = F.unix_micros(c)
+    return (F.collation_key(c) if dtype.startswith("string collate") else c).cast("string")
+
+
+def _distinct_counts(flat: DataFrame) -> DataFrame:
+    """(ordinal, distinct_count) of every column with a value. Only a column's number and a value are kept in memory and shuffled for each distinct cell."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), _value_key(F.col(f"`{c}`"), t).alias("value")) for i, (c, t) in enumerate(flat.dtypes)])
+    found = _spread(flat, len(flat.columns)).select(F.inline(pairs)).where("value IS NOT NULL").distinct()
+    return found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
+
+
 def table_profile(df: DataFrame, size_bytes: int | None = None) -> DataFrame:
     """Rows, columns, duplicate rows and a warning for large tables; one grouping pass."""
     groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
@@ -76,26 +100,31 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     ``exact=False`` takes sketch-based distinct counts: no row expansion, one light pass for very wide tables.
     """
     flat = _plain(df)
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     rows = F.count(F.lit(1))
     aggs, structs = [], []
     for i, (c, t) in enumerate(flat.dtypes):
         col = F.col(f"`{c}`")
         aggs += [rows.alias("_rows")] if not i else []
-        aggs += [F.count(col).alias(f"n{i}"), distinct(col).alias(f"d{i}")]
+        aggs += [F.count(col).alias(f"n{i}")] + ([] if exact else [F.approx_count_distinct(col).alias(f"d{i}")])
         aggs += [F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}")] if is_numeric(t) or _is_date(t) else []
         aggs += [F.avg(F.length(col)).alias(f"len{i}")] if t == "string" else []
         number, date, text = is_numeric(t), _is_date(t), t == "string"
         stamp = "yyyy-MM-dd'T'HH:mm:ss"
         structs.append(F.struct(
             F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(t).alias("dtype"),
-            (F.col("_rows") - F.col(f"n{i}")).alias("null_count"), F.col(f"n{i}").alias("non_null_count"), F.col(f"d{i}").alias("distinct_count"),
+            (F.col("_rows") - F.col(f"n{i}")).alias("null_count"), F.col(f"n{i}").alias("non_null_count"),
+            (F.lit(0).cast("bigint") if exact else F.col(f"d{i}")).alias("distinct_count"),
             (F.col(f"lo{i}").cast("double") if number else F.lit(None).cast("double")).alias("numeric_min"),
             (F.col(f"hi{i}").cast("double") if number else F.lit(None).cast("double")).alias("numeric_max"),
             (F.date_format(F.col(f"lo{i}"), stamp) if date else F.lit(None).cast("string")).alias("date_min"),
             (F.date_format(F.col(f"hi{i}"), stamp) if date else F.lit(None).cast("string")).alias("date_max"),
             (F.col(f"len{i}") if text else F.lit(None).cast("double")).alias("average_text_length")))
-    return flat.agg(*aggs).select(F.inline(F.array(*structs)))
+    base = flat.agg(*aggs).select(F.inline(F.array(*structs)))
+    if not exact:
+        return base
+    counted = _distinct_counts(flat).select(F.col("ordinal").alias("_ordinal"), F.col("distinct_count").alias("_distinct"))
+    joined = base.join(F.broadcast(counted), F.col("ordinal") == F.col("_ordinal"), "left")  # one row per column on both sides
+    return joined.withColumn("distinct_count", F.coalesce("_distinct", "distinct_count")).drop("_ordinal", "_distinct")
 
 
 def cells(df: DataFrame, order: Column, cols: list[str] | None = None) -> DataFrame:
@@ -107,7 +136,7 @@ def cells(df: DataFrame, order: Column, cols: list[str] | None = None) -> DataFr
 
 def value_counts(df: DataFrame, order: Column, cols: list[str] | None = None) -> DataFrame:
     """(column, value, n, first): how often each value occurs and where it appears first."""
-    return cells(df, order, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    return cells(_spread(df, len(cols or _plain(df).columns)), order, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
 
 
 def sample_values(counts: DataFrame, kind: str, k: int = SAMPLE_VALUES, seed: int = 7) -> DataFrame:
@@ -267,17 +296,19 @@ def lean_profile(df: DataFrame, order: Column, samples: int = 3) -> DataFrame:
     for i, c in enumerate(flat.columns):
         t = F.col(f"`{c}`").cast("string")
         number = V.to_number(t)
-        aggs += [F.count(t).alias(f"n{i}"), F.count_distinct(F.when(t != "", t)).alias(f"d{i}"), F.min(number).alias(f"lo{i}"),
+        aggs += [F.count(t).alias(f"n{i}"), F.min(number).alias(f"lo{i}"),
                  F.max(number).alias(f"hi{i}"), F.min(t).alias(f"tlo{i}"), F.max(t).alias(f"thi{i}")]
         structs.append(F.struct(
             F.lit(c).alias("column"), (F.col(f"n{i}") < F.col("_rows")).alias("nullable"), (F.col("_rows") - F.col(f"n{i}")).alias("null_count"),
-            F.col(f"d{i}").alias("distinct_count"), F.col(f"lo{i}").alias("min_number"), F.col(f"hi{i}").alias("max_number"),
+            F.col(f"lo{i}").alias("min_number"), F.col(f"hi{i}").alias("max_number"),
             F.when(F.col(f"lo{i}").isNull(), F.col(f"tlo{i}")).alias("min_text"), F.when(F.col(f"lo{i}").isNull(), F.col(f"thi{i}")).alias("max_text")))
     base = flat.agg(*aggs).select(F.inline(F.array(*structs)))
     counts = value_counts(df, order, flat.columns).where("value <> ''")
+    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("_d"))
     firsts = first_per_key(counts, ["column"], [F.asc("first"), F.asc("value")], samples, rank="_r")
     shown = firsts.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda s: s["value"]).alias("samples"))
-    return base.join(shown, "column", "left")
+    out = base.join(F.broadcast(distinct), "column", "left").join(shown, "column", "left")  # one row per column in all three
+    return out.select("column", "nullable", "null_count", F.coalesce("_d", F.lit(0).cast("bigint")).alias("distinct_count"), "min_number", "max_number", "min_text", "max_text", "samples")
 
 
 def result_fields(profile: DataFrame, rows: int | None = None) -> DataFrame:

@@ -387,3 +387,16 @@ def test_styles_of_acronyms_and_digits():
     assert [C.styled_name(n, "camel_case") for n in names] == ["httpServer2Port", "order2Item", "totalAmount", "a", "iPhone15Pro", "", "abc"]
     assert [C.styled_name(n, "pascal_case") for n in names] == ["HttpServer2Port", "Order2Item", "TotalAmount", "A", "IPhone15Pro", "", "Abc"]
     assert C.styled_name("  Mixed Case ", "lowercase") == "mixed case"
+
+
+def test_distinct_counts_are_spread_and_exact(spark, monkeypatch):
+    """Values are counted on rows dealt to several tasks, without a row for each column of a row that carries all others; equal values count once."""
+    rows = [(i, float(i % 3), -0.0 if i % 2 else 0.0, float("nan"), dt.datetime(2024, 1, 1, 0, 0, 0, i % 5), f"v{i % 50}", None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, x double, zero double, n double, at timestamp, v string, none string").coalesce(1)
+    want = {"id": 1000, "x": 3, "zero": 1, "n": 1, "at": 5, "v": 50, "none": 0}
+    monkeypatch.setattr(P, "TASK_CELLS", 700)
+    profile, lean = P.column_profile(df), P.lean_profile(df.drop("zero", "n", "at"), F.col("id"))
+    assert {r.column: r.distinct_count for r in profile.collect()} == want
+    assert {r.column: r.distinct_count for r in lean.collect()} == {c: want[c] for c in ("id", "x", "v", "none")}
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "RepartitionByExpression" in plan
