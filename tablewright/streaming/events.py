@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -189,31 +190,45 @@ def daily_trend_batch(events: DataFrame, status: str = "event_type") -> DataFram
 
 # -- session expiry -----------------------------------------------------------------------------------------------------
 
-EXPIRED = "session_id long, expired_at timestamp, state string"
-HELD = "started_at timestamp, deadline timestamp"
+BUCKETS = 1024  # of session ids: a call of the state function takes a bucket, as a call for each session costs more than its work
+EXPIRED = "none boolean, id long, us long"
+HELD = "sessions binary"  # rows of SESSION
+SESSION = [("none", "?"), ("id", "<i8"), ("start", "<i8"), ("due", "<i8")]  # id unless it is null, start in microseconds, timeout in milliseconds
 
 
-def expire_sessions(sessions: DataFrame, lateness: str = LATENESS, minutes: int = SESSION_MINUTES) -> DataFrame:
-    """Stream of sessions (session_id, ts) to stream of expired ones. State per session is two timestamps.
+def expire_sessions(sessions: DataFrame, lateness: str = LATENESS, minutes: int = SESSION_MINUTES, buckets: int = BUCKETS) -> DataFrame:
+    """Stream of sessions (session_id, ts) to stream of expired ones. State per session is its id and two times, kept together for a bucket of ids.
 
-    The start of a session is held; when event time passes its fixed deadline it goes to quarantine.
+    The start of a session is held; when event time passes its fixed deadline it goes to quarantine. Rows without a time open nothing. A batch
+    writes the buckets it touches anew, so ``buckets`` should follow the number of open sessions if there are many millions.
     """
+    span = minutes * 60_000_000
+    names = [n for n, _ in SESSION]
+
     def expire(key, frames, state):  # nested, so that it travels to the executors by value
-        if state.hasTimedOut:
-            _, deadline = state.get
+        rows = pd.DataFrame(np.frombuffer(state.get[0] if state.exists else b"", dtype=SESSION)).assign(fresh=False)
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            new = [f.groupby(["none", "id"], as_index=False).agg(start=("us", "min")) for f in frames]
+            rows = pd.concat([rows, *[f.assign(due=np.int64(0), fresh=True) for f in new]])
+            rows = rows.groupby(["none", "id"], as_index=False).agg(start=("start", "min"), due=("due", "max"), fresh=("fresh", "any"))
+            rows["due"] = rows["due"].where(~rows["fresh"], ((rows["start"] + span) // 1000).clip(lower=mark + 1))
+        over = ~rows["fresh"] & (rows["due"] < mark)
+        held, out = rows[~over], rows[over]
+        if len(held):
+            state.update((held[names].to_records(index=False).astype(SESSION).tobytes(),))
+            state.setTimeoutTimestamp(max(int(held["due"].min()), mark, 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "expired_at": [deadline], "state": ["quarantined"]})
-            return
-        for frame in frames:
-            start = frame["ts"].min()
-            if state.exists:
-                start = min(start, state.get[0])
-            deadline = start + pd.Timedelta(minutes=minutes)
-            state.update((start, deadline))
-            state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-
-    grouped = sessions.withWatermark("ts", lateness).groupBy("session_id")
-    return grouped.applyInPandasWithState(expire, EXPIRED, HELD, "append", "EventTimeTimeout")
+        if len(out):
+            yield pd.DataFrame({"none": out["none"], "id": out["id"], "us": out["start"] + span})
+
+    none = F.col("session_id").isNull().alias("none")
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
+    timed = sessions.where("ts IS NOT NULL").withWatermark("ts", lateness)
+    grouped = timed.select(bucket, "ts", none, F.coalesce(F.col("session_id").cast("bigint"), F.lit(0)).alias("id"), F.unix_micros("ts").alias("us")).groupBy("bucket")
+    out = grouped.applyInPandasWithState(expire, EXPIRED, HELD, "append", "EventTimeTimeout")
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("session_id"), F.timestamp_micros("us").alias("expired_at"), F.lit("quarantined").alias("state"))
 
 
 def expire_sessions_batch(sessions: DataFrame, now: str) -> DataFrame:

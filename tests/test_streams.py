@@ -87,3 +87,23 @@ def test_callback_words(spark):
     df = spark.createDataFrame(rows, "s string, e string, es array<string>, r string")
     got = [r[0] for r in df.select(E.callback_status(F.col("s"), F.col("e"), F.col("es"), F.col("r"))).collect()]
     assert got == ["succeeded", "succeeded", "failed", "failed", "failed", None, None, "awaiting_confirmation", "succeeded"]
+
+
+def test_sessions_expire_by_buckets(spark, tmp_path):
+    """State is kept for buckets of sessions; each session still ends by its own first time, in whatever batch that comes."""
+    at = dt.datetime(2024, 1, 1, 10)
+    minute = lambda m: at + dt.timedelta(minutes=m)
+    big = (1 << 53) + 1
+    batches = [[(i, minute(i % 7)) for i in range(3000)] + [(None, minute(3)), (big, minute(5)), (7, None)], [(5, minute(1)), (big, minute(4)), (9000, minute(95))], [(9001, minute(300))], [(5, minute(290))]]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    seen = []
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "session_id long, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(source)
+        E.run_to_end(E.expire_sessions(E.read_events(spark, source, df.schema), "1 hour"), str(tmp_path / "ckpt"), lambda df, b, i=i: df.write.parquet(f"{out}/{i}-{b}"))
+        seen.append(spark.read.format("statestore").load(str(tmp_path / "ckpt")).count())
+    assert 0 < seen[0] <= E.BUCKETS
+    got = sorted(map(tuple, spark.read.parquet(f"{out}/*").collect()), key=str)
+    first = {**{i: minute(i % 7) for i in range(3000)}, None: minute(3), big: minute(4), 9000: minute(95), 5: minute(1)}
+    want = [(k, t + dt.timedelta(minutes=30), "quarantined") for k, t in first.items()]
+    assert got == sorted(want, key=str)
