@@ -8,8 +8,9 @@ prefix of that length, and where they lie in streams that differ the run is boil
 prefixes. This is the host's suffix array sorted to the depth that decides, as a hash grouping, so a host with a third of all pages
 is spread over all tasks. Pages whose whole streams are equal (mirrors) are one content and no evidence against each other.
 
-The text of an explicit article is the page's main text and never removed by evidence: articles repeat legitimately. On a page
-without one, the words of unmarked blocks that no repeated run covers stay; a block that keeps none is gone.
+The index judges the words of an explicit article too, as a stream of its own, but articles repeat legitimately: a run inside one goes
+only if it stands in at least ``ARTICLES`` articles of the host that differ, and outside articles on no fewer contents than inside; a line that
+many articles hold and a few pages quote stays, as do shorter blocks of an article. On a page without one, the words of unmarked blocks that no repeated run covers stay. A block that keeps no word is gone.
 
 Defined cases: null html or url is empty text; a page without text gives an empty string; unclosed and stray tags are tolerated;
 repeated rows are one content for the repeats and all get a result; an empty table gives an empty result.
@@ -20,17 +21,20 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BROADCAST_ROWS
+from tablewright.llm.common import BROADCAST_ROWS, if_small
 from tablewright.llm.urls import host_and_path
 from tablewright.session import durable
 
 DEPTH = 8
+ARTICLES = 3
+FACTOR = 0x9E3779B97F4A7C15  # odd
 # fixed values
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template iframe object svg canvas select option textarea button math audio video head title datalist".split())
@@ -176,17 +180,18 @@ def blocks(html: str | None) -> list[tuple[str, str]]:
 
 
 def main_text(found: list[tuple[str, str]], runs: list[tuple[int, int]]) -> list[str]:
-    """The article's blocks; on a page without an article the words of open blocks that no run (begin, end) of the stream covers."""
-    article = [t for t, z in found if z == "a"]
-    if article:
-        return article
+    """The article's blocks, on a page without an article the open blocks, without the words that a run (begin, end) of their stream covers."""
+    article = any(z == "a" for _, z in found)
+    kept = "a" if article else "o"
     if not runs:
-        return [t for t, z in found if z == "o"]
+        return [t for t, z in found if z == kept]
     gone = {i for begin, end in runs for i in range(begin, end)}
     out, at = [], 0
     for text, zone in found:
+        if article and zone != "a":
+            continue
         words = text.split()
-        if zone == "o":
+        if zone == kept:
             out.append(" ".join(w for i, w in enumerate(words, at) if i not in gone))
         at += len(words)
     return [t for t in out if t]
@@ -196,6 +201,23 @@ def _key(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _window_keys(words: list[str], depth: int) -> np.ndarray:
+    """Keys of all suffixes' first ``depth`` words."""
+    known = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words)}
+    hashes = np.array([known[w] for w in words], dtype=np.uint64)
+    n = max(len(words) - depth + 1, 0)
+    keys = np.zeros(n, dtype=np.uint64)
+    for k in range(depth):
+        keys = keys * np.uint64(FACTOR) + hashes[k:k + n]  # modulo 2 ** 64
+    return keys.view(np.int64)
+
+
+def article_keys(found: list[tuple[str, str]], depth: int = DEPTH) -> tuple[int, np.ndarray]:
+    """Hash of the article's stream and the keys of its suffixes."""
+    words = [w for t, z in found if z == "a" for w in t.split()]
+    return _key(words), _window_keys(words, depth)
+
+
 def suffixes(found: list[tuple[str, str]], depth: int = DEPTH) -> tuple[int, list[tuple[int, int, int, bool]]]:
     """Hash of the stream, and (begin, end, key, whether it can decide anything) of its suffixes' first ``depth`` words and of short blocks.
 
@@ -212,8 +234,8 @@ def suffixes(found: list[tuple[str, str]], depth: int = DEPTH) -> tuple[int, lis
                 out.append((len(words), len(words) + len(block), _key(block), free and zone == "o"))
             words += block
             open_ += [free and zone == "o"] * len(block)
-    for i in range(len(words) - depth + 1):
-        out.append((i, i + depth, _key(words[i:i + depth]), any(open_[i:i + depth])))
+    for i, key in enumerate(_window_keys(words, depth).tolist()):
+        out.append((i, i + depth, key, any(open_[i:i + depth])))
     return _key(words), out
 
 
@@ -235,11 +257,32 @@ def stream(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows.select("host", "_page", "c.content", F.explode("c.keys").alias("k")).select("host", "_page", "content", "k.*")
 
 
+def articles(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """host, _page, content (hash of the article's stream), begin, end and key of every suffix inside articles."""
+
+    @F.pandas_udf("struct<content:bigint,keys:array<bigint>>")
+    def cut(htmls: pd.Series) -> pd.DataFrame:
+        rows = [article_keys(blocks(h), depth) for h in htmls]
+        return pd.DataFrame({"content": pd.Series([c for c, _ in rows], dtype="int64"), "keys": pd.Series([k for _, k in rows], dtype="object")})
+
+    host, _ = host_and_path(F.col("url"))
+    rows = pages.select(host.alias("host"), _page_key().alias("_page"), cut("html").alias("c"))
+    flat = rows.select("host", "_page", "c.content", F.posexplode("c.keys").alias("begin", "key"))
+    return flat.select("host", "_page", "content", "begin", (F.col("begin") + depth).alias("end"), "key")
+
+
 def boilerplate(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """_page, begin, end: the repeated runs of its stream, joined where they touch, for pages on which they decide."""
     every = durable(stream(pages, depth))
-    shared = every.groupBy("host", "key").agg(F.min("content").alias("_lo"), F.max("content").alias("_hi")).where("_lo <> _hi").select("host", "key")
-    hit = every.where("open").select("host", "_page", "begin", "end", "key").distinct().join(shared, ["host", "key"], "left_semi")
+    repeated = every.groupBy("host", "key").agg(F.min("content").alias("_lo"), F.max("content").alias("_hi"), F.max(F.col("end") - F.col("begin")).alias("_n")).where("_lo <> _hi")
+    shared = durable(repeated.select("host", "key", "_n"))
+    spans = ["_page", "begin", "end"]
+    hit = every.where("open").select("host", *spans, "key").distinct().join(shared, ["host", "key"], "left_semi").select(spans)
+    inside = durable(articles(pages, depth).join(if_small(shared.where(F.col("_n") == depth).drop("_n")), ["host", "key"], "left_semi"))
+    contents = lambda df, n: df.select("host", "key", "content").distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias(n))
+    often = contents(inside, "_in").where(F.col("_in") >= ARTICLES)
+    frame = contents(every.join(often, ["host", "key"], "left_semi"), "_out").join(often, ["host", "key"]).where(F.col("_out") >= F.col("_in"))
+    hit = hit.unionByName(inside.select("host", *spans, "key").distinct().join(frame, ["host", "key"], "left_semi").select(spans))
     order = W.partitionBy("_page").orderBy("begin", "end")  # bounded by one page
     apart = F.coalesce(F.col("begin") > F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     numbered = hit.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))

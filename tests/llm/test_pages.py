@@ -99,3 +99,18 @@ def test_odd_pages(spark):
     assert len(out) == 6 and sum(r["text"] == "just text <b> 🙂" for r in out) == 2
     assert {r["page_id"]: r["text"] for r in out}[1] == "" and {r["page_id"]: r["text"] for r in out}[2] == "deep"
     assert pages.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_articles_are_judged_by_the_index(spark):
+    """Boilerplate of the host goes from articles that share it; what only articles share, or more of them than frames, stays, as do runs of one article and short blocks."""
+    call, quote, title, line = prose(1, 12), prose(2, 12), prose(3, 10), prose(4, 10)
+    def page(i, more=""):
+        quoted = f"<aside>{line}</aside>" if i < 2 else ""
+        return f"<article><h1>Notes</h1><p>{prose(20 + i, 15)} {call} {quote}</p>{more}<p>{line}</p></article>{quoted}<aside><p>{title}</p><p>Notes</p></aside><footer>{call} {prose(50 + i, 9)}</footer>"
+    rows = [(i, f"http://h.com/{i}", page(i)) for i in range(3)] + [(3, "http://h.com/3", page(3, f"<p>{title}</p>")), (4, "http://h.com/4", page(3, f"<p>{title}</p>"))]
+    rows += [(i, "http://other.com/", page(i)) for i in (5, 6)]
+    got = extract(spark, rows)
+    for i in range(3):
+        assert got[i][0] == f"Notes\n\n{prose(20 + i, 15)} {quote}\n\n{line}"
+    assert got[3][0] == got[4][0] == f"Notes\n\n{prose(23, 15)} {quote}\n\n{title}\n\n{line}"
+    assert got[5][0] == f"Notes\n\n{prose(25, 15)} {call} {quote}\n\n{line}"
