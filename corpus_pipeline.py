@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import contamination, mixing, neardup, tokens, toxicity
+from tablewright.llm.common import small_batches
 from tablewright.queries.base import table
 from tablewright.session import durable
 
@@ -22,7 +23,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Rows that the grammar, learned from the labels, does not score as toxic. Null and empty texts stay; repeated rows share a verdict; without
     labels the seeds decide; further columns ride along under any name; an empty table stays empty."""
     grammar = toxicity.learn(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    return docs.where(toxicity.accepts(F.col("text"), grammar))
+    with small_batches(spark):  # whole texts go to Python: written here, while the bound on a batch holds
+        return durable(docs.where(toxicity.accepts(F.col("text"), grammar)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ from tablewright.session import durable
 
 END_ID = 1
 SHARD = 1 << 17
-CACHE, PIECES = 500_000, 300_000  # words, and pieces of words, in one generation of what a worker remembers
+CACHE, PIECES = 40 << 20, 20 << 20  # bytes, about, of words, and of pieces of words, in one generation of what a worker remembers
+ENTRY, LETTER = 180, 3  # bytes, about, that an entry takes, and each of its letters with its ids
 BATCH = 256  # rows handed to Python at a time: texts may be long
 MAGIC = b"WVM2"
 BLOCK = 1024  # bits between two entries of a rank directory
@@ -189,8 +190,12 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+def _weight(entries: set) -> int:
+    return ENTRY * len(entries) + LETTER * sum(map(len, entries))
+
+
 class Words:
-    """Encodes texts through their words. Words are remembered as ids in bytes in two generations of ``CACHE`` each; the words of a batch that are new
+    """Encodes texts through their words. Words are remembered as ids in bytes in two generations of about ``CACHE`` bytes each; the words of a batch that are new
     are encoded together: simple ones go to the tokenizer's model piece by piece, and pieces are remembered too ("Word," and "word" share one), any
     other word is encoded whole. With a file of another normaliser or splitter, texts are encoded whole."""
 
@@ -203,6 +208,7 @@ class Words:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.item = struct.Struct(dtype.replace("u2", "H").replace("u4", "I")).pack
         self.words, self.older, self.pieces, self.older_pieces = {}, {}, {}, {}
+        self.held, self.held_pieces = 0, 0  # bytes, about, of the newer generations
         settings = json.loads(self.tokenizer.to_str())
         split, *more = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         model = settings["model"]
@@ -218,10 +224,12 @@ class Words:
             found = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [self.packed(e.ids) for e in found]
         parts = [(t or b"").split() for t in texts]
-        if len(self.words) > CACHE:
-            self.older, self.words = self.words, {}
+        if self.held > CACHE:
+            self.older, self.words, self.held = self.words, {}, 0
         unknown, older = [], self.older
-        for w in set(chain.from_iterable(parts)).difference(self.words):
+        fresh = set(chain.from_iterable(parts)).difference(self.words)
+        self.held += _weight(fresh)
+        for w in fresh:
             if (found := older.get(w)) is None:
                 unknown.append(w)
             else:
@@ -242,10 +250,12 @@ class Words:
             words, joined = plain, b"\n".join(plain).decode("utf-8", "replace")
         if not words:
             return
-        if len(self.pieces) > PIECES:
-            self.older_pieces, self.pieces = self.pieces, {}
+        if self.held_pieces > PIECES:
+            self.older_pieces, self.pieces, self.held_pieces = self.pieces, {}, 0
         listed = PIECE.findall(joined.lower())
-        self.learn_pieces(set(listed).difference(self.pieces, ("\n",)))
+        fresh = set(listed).difference(self.pieces, ("\n",))
+        self.held_pieces += _weight(fresh)
+        self.learn_pieces(fresh)
         get, known, made, at = self.pieces.get, self.words, [], 0
         for found in map(get, listed):
             if found is None:  # the end of a word

@@ -27,13 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import fold, if_small, words
+from tablewright.llm.common import fold, if_small, small_batches, words
 from tablewright.session import durable
 
 HELD = 5  # rows whose fold is 0 are never learned from
 SAMPLE = 20_000  # labelled documents that the fit reads at most
 STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that may become entries
 MIN_DOCS, MIN_ODDS, MAX_ENTRIES = 5, 2.0, 2_000
+HELD_COUNTS = 50_000  # counts that a task holds, beyond the words of one document
 
 # fixed values: seeds of the classes
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless", "disgusting", "clown",
@@ -148,19 +149,31 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("text", "toxic")
 
 
+def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words and word beginnings with their documents by class: partial counts, handed on whenever ``HELD_COUNTS`` are held."""
+    counts: Counter = Counter()
+
+    def handed() -> pd.DataFrame:
+        return pd.DataFrame({"w": [w for w, _ in counts], "t": [t for _, t in counts], "n": list(counts.values())}).astype({"w": "object", "t": "int32", "n": "int64"})
+
+    for part in parts:
+        for text, toxic in zip(part["text"], part["toxic"]):
+            seen = set(WORD.findall((text or "").lower()))
+            seen |= {w[:n] + "*" for w in seen for n in STEMS if len(w) > n}
+            counts.update((w, int(toxic)) for w in seen)
+            if len(counts) >= HELD_COUNTS:
+                yield handed()
+                counts.clear()
+    yield handed()
+
+
 def learn(train: DataFrame) -> Grammar:
     """Entries by document frequency in both classes, then the curve on the evidence of the training rows."""
-    train = durable(train)  # at most SAMPLE documents and their copies
+    with small_batches(train.sparkSession):
+        return _learned(durable(train))  # at most SAMPLE documents and their copies
 
-    def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            counts: Counter = Counter()
-            for text, toxic in zip(part["text"], part["toxic"]):
-                seen = set(WORD.findall((text or "").lower()))
-                seen |= {w[:n] + "*" for w in seen for n in STEMS if len(w) > n}
-                counts.update((w, int(toxic)) for w in seen)
-            yield pd.DataFrame([(w, t, n) for (w, t), n in counts.items()], columns=["w", "t", "n"])
 
+def _learned(train: DataFrame) -> Grammar:
     totals = {r[0]: r[1] for r in train.groupBy(F.col("toxic").cast("int")).count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:

@@ -82,3 +82,17 @@ def test_directory_in_the_file():
     assert not s._open and s.count(8) == 0 and not s._open
     before, plane = s.plane(0)
     assert before.tolist() == tokens.ranks(plane).tolist() and s.count(3) == (ids == 3).sum()
+
+
+def test_remembered_bytes(monkeypatch):
+    """What a worker remembers is bounded in bytes: few long words are as much as many short ones."""
+    monkeypatch.setattr(tokens, "CACHE", 1 << 20)
+    monkeypatch.setattr(tokens, "PIECES", 1 << 20)
+    w, t = tokens.Words(PATH, "<u2"), Tokenizer.from_file(PATH)
+    for batch in range(30):
+        texts = [" ".join(f"{'stone' * 200}{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + batch % 26)}{batch}" for i in range(200))]
+        got = w.encode([texts[0].encode()])
+        if batch % 10 == 0:
+            assert got[0] == w.packed(t.encode(texts[0], add_special_tokens=False).ids)
+        for kept in ((w.words, w.older), (w.pieces, w.older_pieces)):
+            assert sum(len(k) + len(v) for d in kept for k, v in d.items()) < 3 << 20

@@ -1,6 +1,9 @@
 """Grammar cases, learning only from the right rows, and held-out accuracy."""
 
 import zlib
+from collections import Counter
+
+import pandas as pd
 
 from tablewright.llm import toxicity
 
@@ -55,3 +58,22 @@ def test_odd_rows(spark, odd, nothing):
     out = toxicity.scored(odd, g).collect()
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in out)
     assert toxicity.scored(nothing, g).count() == 0
+
+
+def test_counts_handed_on(monkeypatch):
+    """A task never holds the words of all its documents; the partial counts add up."""
+    texts = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)} shared alone" for i in range(400)] + [None]
+    parts = [pd.DataFrame({"text": texts[:200], "toxic": [i % 2 for i in range(200)]}), pd.DataFrame({"text": texts[200:], "toxic": [i % 2 for i in range(201)]})]
+    whole = list(toxicity.entries(iter(parts)))
+    monkeypatch.setattr(toxicity, "HELD_COUNTS", 50)
+    some = list(toxicity.entries(iter(parts)))
+    assert max(map(len, some)) < 70 and len(some) > len(whole) == 1
+
+    def summed(frames):
+        out = Counter()
+        for f in frames:
+            for w, t, n in f.itertuples(index=False):
+                out[w, t] += n
+        return out
+
+    assert summed(some) == summed(whole) and summed(whole)["shared", 0] == 200
