@@ -48,7 +48,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document, as ``tokens.report`` returns it: null and empty texts have the end id only, repeated rows follow each other, further
     columns are ignored, an empty table gives an empty result."""
-    return tokens.report(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.report(docs, public_tokenizers.path("word_bpe_49k.json"), share=0.4)  # the workers live on into other stages
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -39,7 +39,7 @@ from tablewright.session import durable
 
 END_ID = 1
 SHARD = 1 << 17
-CACHE, PIECES = 40 << 20, 20 << 20  # bytes, about, of words, and of pieces of words, in one generation of what a worker remembers
+CACHE, PIECES = 100 << 20, 60 << 20  # bytes, about, of words, and of pieces of words, in one generation of what a worker remembers
 ENTRY, LETTER = 180, 3  # bytes, about, that an entry takes, and each of its letters with its ids
 BATCH = 256  # rows handed to Python at a time: texts may be long
 MAGIC = b"WVM2"
@@ -197,9 +197,9 @@ def _weight(entries: set) -> int:
 class Words:
     """Encodes texts through their words. Words are remembered as ids in bytes in two generations of about ``CACHE`` bytes each; the words of a batch that are new
     are encoded together: simple ones go to the tokenizer's model piece by piece, and pieces are remembered too ("Word," and "word" share one), any
-    other word is encoded whole. With a file of another normaliser or splitter, texts are encoded whole."""
+    other word is encoded whole. With a file of another normaliser or splitter, texts are encoded whole. ``share`` of these bounds holds: less memory, more work."""
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, share: float = 1.0):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.dtype, self.letters = Tokenizer.from_file(path), dtype, _byte_letters()
@@ -208,7 +208,7 @@ class Words:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.item = struct.Struct(dtype.replace("u2", "H").replace("u4", "I")).pack
         self.words, self.older, self.pieces, self.older_pieces = {}, {}, {}, {}
-        self.held, self.held_pieces = 0, 0  # bytes, about, of the newer generations
+        self.share, self.held, self.held_pieces = share, 0, 0  # bytes, about, of the newer generations
         settings = json.loads(self.tokenizer.to_str())
         split, *more = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         model = settings["model"]
@@ -224,7 +224,7 @@ class Words:
             found = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [self.packed(e.ids) for e in found]
         parts = [(t or b"").split() for t in texts]
-        if self.held > CACHE:
+        if self.held > CACHE * self.share:
             self.older, self.words, self.held = self.words, {}, 0
         unknown, older = [], self.older
         fresh = set(chain.from_iterable(parts)).difference(self.words)
@@ -250,7 +250,7 @@ class Words:
             words, joined = plain, b"\n".join(plain).decode("utf-8", "replace")
         if not words:
             return
-        if self.held_pieces > PIECES:
+        if self.held_pieces > PIECES * self.share:
             self.older_pieces, self.pieces, self.held_pieces = self.pieces, {}, 0
         listed = PIECE.findall(joined.lower())
         fresh = set(listed).difference(self.pieces, ("\n",))
@@ -285,13 +285,13 @@ class Words:
         return b"".join([self.item(i) for i in ids])
 
 
-def encoder(path: str, end_id: int = END_ID, dtype: str = "<u4"):
+def encoder(path: str, end_id: int = END_ID, dtype: str = "<u4", share: float = 1.0):
     """Function from UTF-8 texts to their ids as bytes, end id included."""
     import tokenizers
 
     # kept in the worker process between its tasks: this function travels by value, so its own module has no lasting state there
     kept = tokenizers.__dict__.setdefault("_words_by_file", {})
-    words = kept.get((path, dtype)) or kept.setdefault((path, dtype), Words(path, dtype))
+    words = kept.get((path, dtype, share)) or kept.setdefault((path, dtype, share), Words(path, dtype, share))
     end = np.array([end_id], dtype=dtype).tobytes()
     return lambda texts: [ids + end for ids in words.encode(texts)]
 
@@ -302,14 +302,14 @@ def id_width(path: str, end_id: int = END_ID) -> int:
     return max(1, max(Tokenizer.from_file(path).get_vocab_size() - 1, end_id).bit_length())
 
 
-def write(docs: DataFrame, path: str, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
+def write(docs: DataFrame, path: str, end_id: int = END_ID, shard: int = SHARD, share: float = 1.0) -> DataFrame:
     """The written shards, read back as a table."""
     width = id_width(path, end_id)
     ordered = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     dtype = "<u2" if width <= 16 else "<u4"
 
     def shards(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end_id, dtype)
+        encode = encoder(path, end_id, dtype, share)
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, held, size = [], [], [], 0
         item = np.dtype(dtype).itemsize
@@ -359,9 +359,9 @@ def read(shards: DataFrame) -> DataFrame:
     return shards.select("part", "seq", "payload").mapInPandas(rows, "part int, seq int, idx long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
-def report(docs: DataFrame, path: str, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
+def report(docs: DataFrame, path: str, end_id: int = END_ID, shard: int = SHARD, share: float = 1.0) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shards."""
-    shards = write(docs, path, end_id, shard)
+    shards = write(docs, path, end_id, shard, share)
     sizes = shards.select("part", "seq", "tokens")
     parts = sizes.groupBy("part").agg(F.sum("tokens").alias("_all"))  # one row for each partition
     before = parts.select(F.col("part").alias("_p"), F.coalesce(F.sum("_all").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
