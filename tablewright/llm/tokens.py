@@ -22,12 +22,12 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,8 +39,9 @@ from tablewright.session import durable
 
 END_ID = 1
 SHARD = 1 << 17
-CACHE, PIECES = 100 << 20, 60 << 20  # bytes, about, of words, and of pieces of words, in one generation of what a worker remembers
-ENTRY, LETTER = 180, 3  # bytes, about, that an entry takes, and each of its letters with its ids
+CACHE, PIECES = 16 << 20, 10 << 20  # bytes of words, and of pieces of words, with their ids in one generation of what a worker remembers
+CHUNK = 8 << 20  # bytes of text, about, that are encoded at a time: the more, the fewer words are looked up again
+TOGETHER = 20_000  # pieces that the tokenizer gets at a time: it takes far more memory than their letters
 BATCH = 256  # rows handed to Python at a time: texts may be long
 MAGIC = b"WVM2"
 BLOCK = 1024  # bits between two entries of a rank directory
@@ -178,9 +179,9 @@ class Shard:
 # What SIMPLE and PIECE rebuild: the normaliser and splitter of a tokenizer file
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# Words of ASCII and precomposed Latin letters: for these, lower() and the pattern do what such a file prescribes
-SIMPLE = re.compile("[\\x21-\\x7eÀ-ÖØ-öø-ÿ\n]*")
-PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|\n|[^\sa-z0-9ß-öø-ÿ]+")
+# Words of ASCII and precomposed Latin letters: for these, lower case and the pattern do what such a file prescribes
+SIMPLE = "^[\\x21-\\x7eÀ-ÖØ-öø-ÿ]*$"
+PIECE = r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -190,25 +191,55 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-def _weight(entries: set) -> int:
-    return ENTRY * len(entries) + LETTER * sum(map(len, entries))
+class Known:
+    """Different words, or pieces of words, and the ids of each, as Arrow columns."""
+
+    def __init__(self, names: list[pa.Array] = (), ids: list[pa.Array] = ()):
+        self.names = pa.concat_arrays(names or [pa.array([], pa.large_string())])
+        self.ids = pa.concat_arrays(ids or [pa.array([], pa.large_binary())])
+        self.nbytes = self.names.nbytes + self.ids.nbytes
+
+    def items(self) -> Iterator[tuple[str, bytes]]:
+        return zip(self.names.to_pylist(), self.ids.to_pylist())
+
+    def places(self, wanted: pa.Array) -> np.ndarray:
+        """Where each stands, -1 if nowhere."""
+        return np.array(pc.fill_null(pc.index_in(wanted, value_set=self.names), -1))
+
+    def recall(self, older: Known, wanted: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> tuple[Known, pa.Array]:
+        """These and whatever else is wanted, taken from the older ones or learned; the ids of what is wanted, which has no two alike."""
+        at = self.places(wanted)
+        new = np.flatnonzero(at < 0)
+        missing = wanted.take(new)
+        old = older.places(missing)
+        again, unknown = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        at[new[np.concatenate((again, unknown))]] = np.arange(len(self.names), len(self.names) + len(new))
+        fresh = missing.take(unknown)
+        made = Known([self.names, missing.take(again), fresh], [self.ids, older.ids.take(old[again]), learn(fresh)])
+        return made, made.ids.take(at)
+
+
+def spans(ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The ids joined between these places, for each two that follow each other."""
+    _, offsets, data = ids.buffers()
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.frombuffer(offsets, np.int64, len(ids) + 1)[ends]), data])
 
 
 class Words:
-    """Encodes texts through their words. Words are remembered as ids in bytes in two generations of about ``CACHE`` bytes each; the words of a batch that are new
+    """Encodes texts through their words. Words are remembered with their ids in two generations of about ``CACHE`` bytes each; the words of a batch that are new
     are encoded together: simple ones go to the tokenizer's model piece by piece, and pieces are remembered too ("Word," and "word" share one), any
     other word is encoded whole. With a file of another normaliser or splitter, texts are encoded whole. ``share`` of these bounds holds: less memory, more work."""
 
     def __init__(self, path: str, dtype: str, share: float = 1.0):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.dtype, self.letters = Tokenizer.from_file(path), dtype, _byte_letters()
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.letters = {b: letter for b, letter in _byte_letters().items() if b != 32}  # pieces hold no space
         self.bare = Tokenizer(self.tokenizer.model)  # takes pieces between spaces
         self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.item = struct.Struct(dtype.replace("u2", "H").replace("u4", "I")).pack
-        self.words, self.older, self.pieces, self.older_pieces = {}, {}, {}, {}
-        self.share, self.held, self.held_pieces = share, 0, 0  # bytes, about, of the newer generations
+        self.words, self.older, self.pieces, self.older_pieces, self.share = Known(), Known(), Known(), Known(), share
         settings = json.loads(self.tokenizer.to_str())
         split, *more = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         model = settings["model"]
@@ -219,72 +250,70 @@ class Words:
                         and [m["type"] for m in more] == ["ByteLevel"] and not more[0]["add_prefix_space"] and not more[0]["use_regex"]
                         and model["type"] == "BPE" and suffix != " " and not model["dropout"] and not any(re.search(r"\s", t) for t in self.special))
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+    def encode(self, texts: list[bytes | None] | pa.Array) -> list[bytes]:
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary()), b"")
         if not self.by_word:
-            found = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in column.to_pylist()], add_special_tokens=False)
             return [self.packed(e.ids) for e in found]
-        parts = [(t or b"").split() for t in texts]
-        if self.held > CACHE * self.share:
-            self.older, self.words, self.held = self.words, {}, 0
-        unknown, older = [], self.older
-        fresh = set(chain.from_iterable(parts)).difference(self.words)
-        self.held += _weight(fresh)
-        for w in fresh:
-            if (found := older.get(w)) is None:
-                unknown.append(w)
-            else:
-                self.words[w] = found
-        self.learn(unknown)
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    def learn(self, words: list[bytes]) -> None:
-        joined = b"\n".join(words).decode("utf-8", "replace")
-        if not SIMPLE.fullmatch(joined) or any(t in joined for t in self.special):
-            plain = []
-            for w, text in zip(words, joined.split("\n")):
-                if SIMPLE.fullmatch(text) and not any(t in text for t in self.special):
-                    plain.append(w)
-                else:
-                    self.words[w] = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            words, joined = plain, b"\n".join(plain).decode("utf-8", "replace")
-        if not words:
-            return
-        if self.held_pieces > PIECES * self.share:
-            self.older_pieces, self.pieces, self.held_pieces = self.pieces, {}, 0
-        listed = PIECE.findall(joined.lower())
-        fresh = set(listed).difference(self.pieces, ("\n",))
-        self.held_pieces += _weight(fresh)
-        self.learn_pieces(fresh)
-        get, known, made, at = self.pieces.get, self.words, [], 0
-        for found in map(get, listed):
-            if found is None:  # the end of a word
-                known[words[at]] = made[0] if len(made) == 1 else b"".join(made)
-                made, at = [], at + 1
-            else:
-                made.append(found)
-        known[words[at]] = b"".join(made)
-
-    def learn_pieces(self, wanted: set[str]) -> None:
-        older = self.older_pieces
-        fresh = []
-        for p in wanted:
-            if (found := older.get(p)) is None:
-                fresh.append(p)
-            else:
-                self.pieces[p] = found
-        if not fresh:
-            return
-        plain = [p if p.isascii() else "".join([self.letters[b] for b in p.encode()]) for p in fresh]
-        ids = np.array(self.bare.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids)
-        data, size = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-        ends = ((np.flatnonzero(self.last[ids]) + 1) * size).tolist()  # every piece has its last token marked
-        self.pieces.update({p: data[x:y] for p, x, y in zip(fresh, [0, *ends], ends)})
+        parts = pc.ascii_split_whitespace(column.view(pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        if self.words.nbytes > CACHE * self.share:
+            self.words, self.older = Known(), self.words
+        self.words, ids = self.words.recall(self.older, coded.dictionary, self.learn)
+        return spans(ids.take(coded.indices), parts.offsets.to_numpy()).to_numpy(zero_copy_only=False).tolist()
+
+    def learn(self, words: pa.Array) -> pa.Array:
+        simple = pc.match_substring_regex(words, SIMPLE)
+        for t in self.special:
+            simple = pc.and_not(simple, pc.match_substring(words, t))
+        mask = simple.to_numpy(zero_copy_only=False)
+        if mask.all():
+            return self.learn_simple(words)
+        rest = words.filter(pc.invert(simple)).view(pa.large_binary()).to_pylist()
+        whole = [self.packed(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids) for w in rest]
+        ids = pa.concat_arrays([self.learn_simple(words.filter(simple)), pa.array(whole, pa.large_binary())])
+        return ids.take(np.argsort(np.concatenate((np.flatnonzero(mask), np.flatnonzero(~mask)))))
+
+    def learn_simple(self, words: pa.Array) -> pa.Array:
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words), PIECE, r"\0 "))
+        coded = parts.flatten().dictionary_encode()
+        if self.pieces.nbytes > PIECES * self.share:
+            self.pieces, self.older_pieces = Known(), self.pieces
+        self.pieces, ids = self.pieces.recall(self.older_pieces, coded.dictionary, self.learn_pieces)
+        return spans(ids.take(coded.indices), parts.offsets.to_numpy())
+
+    def learn_pieces(self, pieces: pa.Array) -> pa.Array:
+        names, made = pieces.to_numpy(zero_copy_only=False).tolist(), [np.empty(0, self.dtype)]
+        for at in range(0, len(names), TOGETHER):
+            listed = " ".join(names[at:at + TOGETHER]).encode().decode("latin-1").translate(self.letters)
+            made.append(np.array(self.bare.encode_batch_fast([listed], add_special_tokens=False)[0].ids, dtype=self.dtype))
+        ids = np.concatenate(made)
+        ends = np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1)) * ids.itemsize  # every piece has its last token marked
+        filled = np.cumsum(np.concatenate(([0], np.array(pc.binary_length(pieces)) > 0)))  # the end of a word is an empty piece without ids
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends[filled]), pa.py_buffer(ids)])
 
     def packed(self, ids: list[int]) -> bytes:
         return b"".join([self.item(i) for i in ids])
 
 
+def chunks(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[tuple[list, pa.Array]]:
+    """The two columns of all batches, in order, until their rows have about so many bytes. A row is not cut."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            held.append(batch.slice(at, BATCH))
+            n += held[-1].nbytes
+            if n >= size:
+                yield _joined(held)
+                held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    return [i for rows in held for i in rows.column(0).to_pylist()], pa.concat_arrays([rows.column(1).cast(pa.large_binary()) for rows in held])
+
+
 def encoder(path: str, end_id: int = END_ID, dtype: str = "<u4", share: float = 1.0):
     """Function from UTF-8 texts to their ids as bytes, end id included."""
     import tokenizers
@@ -319,18 +348,16 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, shard: int = SHARD,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()),
                                                pa.array([made.write()], pa.binary())], ["part", "seq", "docs", "tokens", "payload"])
 
-        for batch in parts:
-            for at in range(0, batch.num_rows, BATCH):
-                rows = batch.slice(at, BATCH)
-                for i, data in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
-                    n = len(data) // item
-                    if size and size + n > shard:
-                        yield closed()
-                        ids, lengths, held, size, seq = [], [], [], 0, seq + 1
-                    ids.append(i)
-                    lengths.append(n)
-                    held.append(data)
-                    size += n
+        for keys, texts in chunks(parts, CHUNK * share):
+            for i, data in zip(keys, encode(texts)):
+                n = len(data) // item
+                if size and size + n > shard:
+                    yield closed()
+                    ids, lengths, held, size, seq = [], [], [], 0, seq + 1
+                ids.append(i)
+                lengths.append(n)
+                held.append(data)
+                size += n
         if ids:
             yield closed()
 

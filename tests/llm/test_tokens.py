@@ -1,10 +1,12 @@
 """Round trips of the shard format, and the query against encoding whole texts."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -96,3 +98,42 @@ def test_remembered_bytes(monkeypatch):
             assert got[0] == w.packed(t.encode(texts[0], add_special_tokens=False).ids)
         for kept in ((w.words, w.older), (w.pieces, w.older_pieces)):
             assert sum(len(k) + len(v) for d in kept for k, v in d.items()) < 3 << 20
+
+
+def test_words_met_again():
+    """A word that comes again makes no Python object, and a word that is remembered takes few bytes."""
+    w, again = tokens.Words(PATH, "<u2"), ["stone"] * 300_000
+    w.encode([b"stone"])
+    texts = [" ".join(again).encode()]
+    tracemalloc.start()
+    try:
+        got = w.encode(texts)
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20
+        assert got == [w.encode([b"stone"])[0] * 300_000]
+        del got
+        rare = [" ".join(f"st{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}ne," for i in range(17_000)).encode()]
+        before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        w.encode(rare)
+        assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before < 17_000 * 120  # words and pieces
+    finally:
+        tracemalloc.stop()
+
+
+def test_mixed_words():
+    """Plain, rare, special and broken words and none, as lists and as columns, in one call and in several, equal the tokenizer."""
+    t, w = Tokenizer.from_file(PATH), tokens.Words(PATH, "<u2")
+    texts = [b"\xff\xfe a \xc3", b"", b"  \x0b ", "Ünï ΌΔΟΣ's ×÷ ½ x<|endoftext|>y plain 12ab\x1c".encode(), None, "é ÉÀß it'll'S \x85 \x00".encode()]
+    for column in (texts, pa.array(texts, pa.large_binary()), texts[::-1], pa.array([b"x", *texts], pa.large_binary())[1:]):
+        want = [t.encode(x.decode("utf-8", "replace") if x else "", add_special_tokens=False).ids for x in (column if isinstance(column, list) else column.to_pylist())]
+        assert [np.frombuffer(g, "<u2").tolist() for g in w.encode(column)] == want
+    assert w.encode([]) == [] and w.encode([None]) == [b""]
+
+
+def test_chunks():
+    """Rows are handed over by their bytes, in order, over the borders of batches."""
+    texts = [None if i % 7 == 3 else b"x" * (i % 50) for i in range(5000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 500), pa.int64()), pa.array(texts[a:a + 500], pa.binary())], ["i", "t"]) for a in range(0, 5000, 500)]
+    got = list(tokens.chunks(iter(batches), 30_000))
+    assert [i for keys, _ in got for i in keys] == list(range(5000)) and [x for _, c in got for x in c.to_pylist()] == texts
+    assert max(len(keys) for keys, _ in got) > 500 and len(got) > 3
+    assert list(tokens.chunks(iter([]), 30_000)) == []
