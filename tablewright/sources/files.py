@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,9 @@ from tablewright.sources.delimited import read_by_header
 NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
               "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# The largest file that is taken into memory as one value; a task holds several copies of it.
+WHOLE_BYTES = 64 << 20
+
 
 def null_words_out(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*NULL_WORDS), F.col(c)) for c, t in df.dtypes if t == "string"})
@@ -86,9 +93,51 @@ def preview(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 
 def file_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, size_bytes, fingerprint): SHA-256 of the bytes of each file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("fingerprint"))
+    """(path, size_bytes, fingerprint): SHA-256 of the bytes of each file, of any size.
+
+    A hash takes its bytes in order, so a file is one task. Local and mounted files are read piece by piece in it. Those of another store are
+    read by Spark, which only gives a file as one value: up to ``WHOLE_BYTES`` in the tasks, larger ones piece by piece on the driver, now.
+    """
+    @F.udf("string")
+    def hashed(file):  # nested, so that it travels to the executors by value
+        with open(file.removeprefix("file:"), "rb", buffering=0) as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+
+    paths = {True: [], False: []}
+    for p in [path] if isinstance(path, str) else path:
+        paths[_hadoop_file(spark, p)[0].getUri().getScheme() == "file"].append(p)
+    out = []
+    facts = ["path", F.col("length").alias("size_bytes")]
+    if paths[True]:
+        out.append(spark.read.format("binaryFile").load(paths[True]).select(*facts, hashed("path").alias("fingerprint")))
+    if paths[False]:
+        files, small = spark.read.format("binaryFile").load(paths[False]), F.col("length") <= WHOLE_BYTES  # a file beyond it is not opened
+        out.append(files.where(small).select(*facts, F.sha2("content", 256).alias("fingerprint")))
+        if large := [r.path for r in files.where(~small).select("path").collect()]:
+            out.append(_hashed_on_driver(spark, large))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _hadoop_file(spark: SparkSession, path: str):
+    """(file system, path) as Spark itself resolves them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _hashed_on_driver(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """File facts of ``paths``, read by the driver's JVM, a few files at a time."""
+    digest = spark._jvm.org.apache.commons.codec.digest.DigestUtils
+
+    def one(path: str) -> tuple[str, int, str]:
+        fs, at = _hadoop_file(spark, path)
+        stream = fs.open(at)
+        try:
+            return path, fs.getFileStatus(at).getLen(), digest.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(4) as pool:
+        return spark.createDataFrame(list(pool.map(one, paths)), "path string, size_bytes long, fingerprint string")
 
 
 def folder_facts(files: DataFrame) -> DataFrame:

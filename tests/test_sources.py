@@ -1,6 +1,7 @@
 """Delimited and JSON files against Python's own readers."""
 
 import csv
+import hashlib
 import io
 import json
 import random
@@ -82,3 +83,35 @@ def test_json_documents(spark, tmp_path, schema):
         folder = put(tmp_path / "j", f"{i}.json", ("\n " if i % 2 else "") + json.dumps(d, indent=i % 3 or None))
     want = sorted(repr((r.get("k"), r.get("s"))) for d in docs for r in first_rows(d))
     assert sorted(repr((r.k, r.s)) for r in files.read_json_table(spark, folder, schema).collect()) == want
+
+
+def test_file_facts_beyond_two_gigabytes(spark, tmp_path):
+    """A file that no single value can hold (sparse), beside small ones with odd names."""
+    names = {"a b%20c#.bin": b"\xef\xbb\xbfx\r\n\x00", "t.csv.gz": b"not packed"}
+    for name, body in names.items():
+        (tmp_path / name).write_bytes(body)
+    with open(tmp_path / "large", "wb") as f:
+        f.truncate(2**31 + 5)
+        f.seek(2**31 + 1)
+        f.write(b"end")
+    want = {}
+    for p in tmp_path.iterdir():
+        with open(p, "rb") as f:
+            want[f"file:{p}"] = (p.stat().st_size, hashlib.file_digest(f, "sha256").hexdigest())
+    got = files.file_facts(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == 3
+    assert {r.path: (r.size_bytes, r.fingerprint) for r in got} == want
+    only = files.file_facts(spark, [str(tmp_path / "large"), str(tmp_path / "t*.gz")])
+    assert {r.path for r in only.select("path").collect()} == {f"file:{tmp_path}/large", f"file:{tmp_path}/t.csv.gz"}
+
+
+def test_file_facts_of_another_store(spark, tmp_path, monkeypatch):
+    """Files that Python cannot open: small ones by tasks, those above the limit by the driver, none left out or twice."""
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1000)
+    spark.conf.set("fs.viewfs.mounttable.facts.link./in", f"file://{tmp_path}")
+    for name, n in (("a", 1), ("b c%20", 1000), ("d", 1001), ("e f%20.gz", 300_000)):
+        (tmp_path / name).write_bytes(random.Random(n).randbytes(n))
+    got = files.file_facts(spark, "viewfs://facts/in").collect()
+    assert sorted(tuple(r) for r in got) == sorted(
+        (f"viewfs://facts/in/{p.name}", p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir())
+    assert files.file_facts(spark, "viewfs://facts/in/a").columns == ["path", "size_bytes", "fingerprint"]
